@@ -10,6 +10,13 @@ from flowtriage import schema as S
 from flowtriage.functions.flow import finite_or_null, lenient_double
 
 
+# Output name -> (accepted normalised headers, type).
+TRANSPORT_COLUMNS = {
+    "src_ip": (("src ip", "src_ip", "source ip"), "string"),
+    "src_port": (("src port", "src_port", "source port"), "int"),
+}
+
+
 def normalise_headers(columns: Iterable[str], aliases: Mapping[str, str] = S.COLUMN_ALIASES) -> list[str | None]:
     """Lower-case canonical name per input column, None for a repeated one.
 
@@ -62,6 +69,7 @@ def canonicalise(
     fallbacks: bool = False,
     keep: Mapping[str, Column | str] | None = None,
     units: Mapping[str, float] | None = None,
+    transport: bool = False,
 ) -> DataFrame:
     """Project any dialect to the 61 features plus ``Label``.
 
@@ -71,6 +79,7 @@ def canonicalise(
     with the cleaned row without a join. ``units`` multiplies single features.
     Everything is one projection and one filter, so column pruning reaches the
     scan: features nobody selects afterwards are only read for the filter.
+    ``transport`` adds nullable ``src_ip`` and ``src_port``.
     """
     if on_bad not in ("drop", "zero"):
         raise ValueError("on_bad must be 'drop' or 'zero'")
@@ -106,6 +115,11 @@ def canonicalise(
         label = F.lit("Unknown")
     output.append(label.alias("Label"))
     output += [F.col(c).alias(c.removeprefix("_keep_")) for c in carried]
+    if transport:
+        for name, (spellings, kind) in TRANSPORT_COLUMNS.items():
+            found = next((position[n] for n in spellings if n in position), None)
+            value = F.lit(None) if found is None else F.col(found)
+            output.append((value.try_cast(kind) if found else value.cast(kind)).alias(name))
 
     condition = None
     for test in checked:
@@ -139,7 +153,7 @@ def before_after_sample(df: DataFrame, raw_columns: list[str], order: str, label
     numeric = [n for n, t in df.dtypes if n in raw_columns and t in ("double", "float", "int", "bigint")]
     before = df.orderBy(order).limit(rows).select(
         F.lit("raw").alias("view"), F.col(order).alias("row_id"), *[shown(c) for c in raw_columns],
-        F.lit(None).cast("int").alias("is_threat"),
+        F.lit(None).cast("string").alias("is_threat"),
     )
     after = drop_bad_rows(df, numeric).orderBy(order).limit(rows).select(
         F.lit("processed").alias("view"), F.col(order).alias("row_id"),
@@ -147,6 +161,6 @@ def before_after_sample(df: DataFrame, raw_columns: list[str], order: str, label
             (F.bround(F.col(c).cast("double"), 4) if c in numeric else F.col(c)).cast("string").alias(c)
             for c in raw_columns
         ],
-        (F.lower(F.trim(F.col(label))) != "benign").cast("int").alias("is_threat"),
+        (F.lower(F.trim(F.col(label))) != "benign").cast("int").cast("string").alias("is_threat"),
     )
     return before.unionByName(after)

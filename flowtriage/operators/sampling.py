@@ -199,7 +199,7 @@ def round_robin(
         turn = turn - F.coalesce((F.col(label) == reserved).cast("int"), F.lit(0))
     chosen = ranked.withColumn("_turn", turn).orderBy("_turn", label).limit(n_rows)
     return chosen.withColumn(
-        "position", F.row_number().over(Window.orderBy("_turn", label))
+        "position", F.row_number().over(Window.orderBy("_turn", label)).cast("long")
     ).drop("rn", "_order", "_turn")
 
 

@@ -128,6 +128,17 @@ SELECT month, count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE
     THEN CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) / count(*) FILTER (WHERE y = 1) ELSE 1e0 END, 5) AS positive_weight
 FROM items GROUP BY 1""",
     "l06_isotonic_calibration": DECISIONS_SQL + "," + _ISOTONIC.format(source="decisions") + "SELECT s AS threat_score, round(calibrated, 5) AS calibrated FROM fits",
+    # Scores between two fitted points are interpolated, outside ones clipped.
+    "l07_calibrated_score": DECISIONS_SQL + f"""
+, sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY {_HASH}) AS rn, count(*) OVER (PARTITION BY chunk) AS c FROM decisions)
+  WHERE rn <= least(c // 20, 10000)),""" + _ISOTONIC.format(source="sample") + """
+, near AS (SELECT d.s, max(f.s) FILTER (WHERE f.s <= d.s) AS lo, min(f.s) FILTER (WHERE f.s >= d.s) AS hi
+  FROM (SELECT DISTINCT threat_score AS s FROM decisions) d, fits f GROUP BY d.s),
+calibrated AS (SELECT near.s, CASE WHEN lo IS NULL THEN b.calibrated WHEN hi IS NULL OR hi = lo THEN a.calibrated
+    ELSE a.calibrated + (b.calibrated - a.calibrated) * (near.s - lo) / (hi - lo) END AS score
+  FROM near LEFT JOIN fits a ON a.s = lo LEFT JOIN fits b ON b.s = hi)
+SELECT count(*) AS n, round(avg(y), 5) AS label_rate, round(avg(score), 4) AS mean_score
+FROM decisions JOIN calibrated ON s = threat_score""",
     "l11_calibration_eligibility": DECISIONS_SQL + f"""
 , cal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY {_HASH}) AS rn, count(*) OVER (PARTITION BY chunk) AS c FROM decisions)
   WHERE rn <= least(c // 100, 10000))

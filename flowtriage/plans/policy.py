@@ -9,7 +9,7 @@ from flowtriage.functions import triage
 from flowtriage.operators import policy
 from flowtriage.operators.ordered import threat_density
 from flowtriage.plans.aggregates import DENSITY_SQL, LEARNED_SQL, learned_policy
-from flowtriage.plans.tables import PORT_CLASS_SQL, decisions
+from flowtriage.plans.tables import PORT_CLASS_SQL, decisions, reward_sql
 from flowtriage.plans.windows import BLOCK
 
 # A deterministic policy that reaches every branch of the decision rule; the
@@ -123,6 +123,40 @@ decided AS (SELECT *, CASE WHEN state_visits = 0 THEN {_COLD}
     WHEN unvisited > 1 THEN CASE WHEN g0 = {_INF} THEN 0 ELSE 1 END
     WHEN g0 >= u1 AND g0 >= u2 THEN 0 WHEN u1 >= u2 THEN 1 ELSE 2 END AS act FROM ranked)"""
 
+# The online run as a recursion over the n-th flow of every (tb, lb, pb); the
+# 15 cells of a key (density x action) travel as two lists.
+_CHOOSE = f"""CASE WHEN n0 + n1 + n2 = 0 THEN {_COLD}
+  WHEN unvisited > 1 AND threat_score >= 0.7e0 THEN CASE WHEN u2 = {_INF} THEN 2 ELSE 1 END
+  WHEN unvisited > 1 AND threat_score >= 0.3e0 THEN CASE WHEN u1 = {_INF} THEN 1 ELSE 2 END
+  WHEN unvisited > 1 THEN CASE WHEN g0 = {_INF} THEN 0 ELSE 1 END
+  WHEN g0 >= u1 AND g0 >= u2 THEN 0 WHEN u1 >= u2 THEN 1 ELSE 2 END"""
+_ZEROS = ", ".join(["0"] * 15)
+REPLAY_SQL = DENSITY_SQL.replace("WITH events_with_k", "WITH RECURSIVE events_with_k") + f""",
+queued AS (SELECT *, row_number() OVER (PARTITION BY tb, lb, pb ORDER BY step) AS i FROM (
+  SELECT step, threat_score, analyst_load, y, CAST(floor(least(19e0, threat_score*20)) AS INT) AS tb,
+    CAST(floor(least(19e0, analyst_load*20)) AS INT) AS lb, CAST(floor(least(4e0, density_before*5)) AS INT) AS db,
+    CAST(floor(least(4e0, density_after*5)) AS INT) AS db2, {PORT_CLASS_SQL} AS pb FROM dense)),
+run AS (
+  SELECT tb, lb, pb, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS step, CAST(0 AS INT) AS action, 0e0 AS reward,
+    CAST(0 AS DOUBLE) AS newest, CAST(0 AS BIGINT) AS visits,
+    CAST([{_ZEROS}] AS DOUBLE[]) AS qs, CAST([{_ZEROS}] AS BIGINT[]) AS ns
+  FROM (SELECT DISTINCT tb, lb, pb FROM queued)
+  UNION ALL
+  SELECT tb, lb, pb, i, step, act, rw, newest, seen,
+    [CASE WHEN x = cell THEN newest ELSE qs[x] END FOR x IN range(1, 16)],
+    [CASE WHEN x = cell THEN seen ELSE ns[x] END FOR x IN range(1, 16)]
+  FROM (SELECT *, qs[cell] + 0.15e0 / (1 + 0.001e0 * seen) * (rw - qs[cell]) AS newest FROM (
+    SELECT *, ns[cell] + 1 AS seen FROM (
+      SELECT *, db2 * 3 + act + 1 AS cell, {reward_sql('y', 'act', 'analyst_load', 'threat_score')} AS rw FROM (
+        SELECT *, CAST({_CHOOSE} AS INT) AS act FROM (
+          SELECT *, CAST(g0 = {_INF} AS INT) + CAST(u1 = {_INF} AS INT) + CAST(u2 = {_INF} AS INT) AS unvisited FROM (
+            SELECT *, CASE WHEN threat_score >= 0.7e0 OR (threat_score >= 0.3e0 AND (n1 = 0 OR n2 = 0)) THEN -{_INF} ELSE u0 END AS g0 FROM (
+              SELECT *, {_UCB.replace('step + 500', 'step')} FROM (
+                SELECT o.*, qs, ns, qs[db*3+1] AS q0, qs[db*3+2] AS q1, qs[db*3+3] AS q2,
+                  ns[db*3+1] AS n0, ns[db*3+2] AS n1, ns[db*3+3] AS n2
+                FROM run r JOIN queued o ON o.tb = r.tb AND o.lb = r.lb AND o.pb = r.pb AND o.i = r.i + 1))))))))
+)"""
+
 
 def _shown_sql(expr: str, name: str) -> str:
     return f"CASE WHEN isinf({expr}) THEN sign({expr}) * 1e9 ELSE round({expr}, 4) END AS {name}"
@@ -137,6 +171,8 @@ ORACLES = {
     "b08_policy_update": LEARNED_SQL + "SELECT tb, lb, db, pb, action, round(q, 3) AS q, visits FROM learned",
     "b09_policy_migration": LEARNED_SQL.replace(f"{PORT_CLASS_SQL} AS pb FROM dense", "0 AS pb FROM dense")
     + "SELECT tb, lb, db, p.c AS pb, action, round(q, 3) AS q, visits FROM learned, (VALUES (0), (1), (2)) p(c)",
+    "b11_online_replay": REPLAY_SQL + """
+SELECT step, tb, lb, pb, action, round(reward, 4) AS reward, round(newest, 3) AS q, visits FROM run WHERE i > 0""",
     "b10_frozen_decision": DECIDED_SQL + """
 SELECT step, tb, lb, db, pb, act AS action,
   round(CASE WHEN state_visits = 0 THEN 1e0 ELSE greatest(0.01e0, 1 / (1 + 0.001e0 * state_visits)) END, 6) AS epsilon FROM decided""",

@@ -200,5 +200,15 @@ WHERE k % 30 >= (CASE WHEN lower(trim(label)) = 'benign' THEN 20 ELSE 11 END) GR
     "p14_lenient_numbers": FLOWS_SQL + f"""
 SELECT flow_id, CASE WHEN isfinite(v) THEN v ELSE 0e0 END AS value
 FROM (SELECT flow_id, TRY_CAST({_MESSY_SQL} AS DOUBLE) AS v FROM flows)""",
+    "p21_before_after": FLOWS_SQL + f"""
+, raw AS (SELECT flow_id, dst_port, {_BROKEN_SQL} AS flow_duration, tot_fwd_pkts, label FROM flows)
+(SELECT 'raw' AS view, flow_id AS row_id, CAST(dst_port AS VARCHAR) AS dst_port,
+  CASE WHEN flow_duration IS NULL OR isnan(flow_duration) THEN 'NaN' WHEN isinf(flow_duration) THEN 'Inf'
+    ELSE CAST(flow_duration AS VARCHAR) END AS flow_duration,
+  CAST(tot_fwd_pkts AS VARCHAR) AS tot_fwd_pkts, CAST(NULL AS VARCHAR) AS is_threat FROM raw ORDER BY flow_id LIMIT 5)
+UNION ALL
+(SELECT 'processed', flow_id, CAST(CAST(dst_port AS DOUBLE) AS VARCHAR), CAST(round(flow_duration, 4) AS VARCHAR),
+  CAST(CAST(tot_fwd_pkts AS DOUBLE) AS VARCHAR), CASE WHEN lower(trim(label)) = 'benign' THEN '0' ELSE '1' END
+  FROM raw WHERE isfinite(flow_duration) ORDER BY flow_id LIMIT 5)""",
     "j04_realign_raw": FLOWS_SQL + f"SELECT flow_id, src_ip, CAST(dst_port AS INT) AS dst_port FROM flows WHERE {_KEPT}",
 }

@@ -1,3 +1,132 @@
-"""Streaming jobs run over the tables (filled in below)."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Streaming jobs run to completion over the event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowtriage.plans.aggregates import LEARNED_SQL
+from flowtriage.plans.policy import _COLD
+from flowtriage.plans.projections import SRC_PORT_SQL, _MASKS
+from flowtriage.plans.tables import (
+    FLOWS_SQL, LEVEL_SQL, Y_SQL, confusion_sql, events_as_flows, flows, reward_sql, table, with_decisions,
+)
+from flowtriage.plans.windows import BLOCK, DAY_SECONDS, WINDOW_SQL, _ALL, _COUNTS_SQL, _EXPR, _ROUNDED
+from flowtriage.sources.sinks import load_policy
+from flowtriage.sources.workspace import new_folder
+from flowtriage.streaming import behaviour_state, jobs
+
+
+def flow_stream(spark, folder):
+    schema = table(spark, folder, "events").schema
+    return events_as_flows(jobs.file_stream(spark, folder, schema, "events.parquet"))
+
+
+def _triaged(source):
+    return jobs.triage_flows(source.withColumn("src_port", F.expr(SRC_PORT_SQL)), packet_rate=None)
+
+
+def r01_stream_triage(spark, folder):
+    done = jobs.run_to_table(_triaged(flow_stream(spark, folder)).select("flow_id", "route", "action", "level", "outcome"))
+    return done
+
+
+def r02_running_metrics(spark, folder):
+    return jobs.latest_metrics(_triaged(flow_stream(spark, folder)))
+
+
+def r03_stateful_behaviour(spark, folder):
+    measured = behaviour_state.stream_behaviour(flow_stream(spark, folder), window_seconds=DAY_SECONDS)
+    done = jobs.run_to_table(measured)
+    return done.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in _ALL])
+
+
+def r04_online_learning(spark, folder):
+    """Policy learned from the stream, starting empty."""
+    stream = with_decisions(flow_stream(spark, folder)).drop("action", "reward")
+    learner = jobs.OnlineLearner(new_folder(spark, "learner"))
+    jobs.run_batches(stream, learner)
+    learned, _ = load_policy(spark, learner.policy_folder)
+    return learned.select("tb", "lb", "db", "pb", "action", F.round("q", 3).alias("q"), "visits")
+
+
+def r05_progress_snapshots(spark, folder):
+    root = new_folder(spark, "progress")
+    jobs.run_batches(with_decisions(flow_stream(spark, folder)), jobs.ProgressWriter(root, every=1_000, block_rows=BLOCK))
+    shots = spark.read.option("basePath", f"{root}/snapshots").parquet(f"{root}/snapshots")
+    return shots.select("step", F.round("cumulative_reward", 0).alias("cumulative_reward"), *[F.bround(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def r06_header_and_summary(spark, folder):
+    header = jobs.stream_header(_triaged(flows(spark, folder)))
+    return header.withColumn("kind", F.lit("header"))
+
+
+def r07_dead_letters(spark, folder):
+    messy = flow_stream(spark, folder).withColumn(
+        "raw", F.expr("CASE k % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL ELSE CAST(k AS VARCHAR(10)) END")
+    )
+    usable, broken = jobs.split_valid(messy.select("flow_id", "raw"), ["raw"])
+    good, bad = jobs.run_to_table(usable), jobs.run_to_table(broken)
+    return good.agg(F.count("*").alias("n"), F.sum("flow_id").alias("ids")).withColumn("part", F.lit("usable")).unionByName(
+        bad.agg(F.count("*").alias("n"), F.sum("flow_id").alias("ids")).withColumn("part", F.lit("dead"))
+    )
+
+
+def r08_event_time_windows(spark, folder):
+    windows = jobs.windowed_behaviour(flow_stream(spark, folder), "1 hour", "24 hours", "12 hours")
+    done = jobs.run_to_table(windows)
+    return done.select("src_ip", F.unix_seconds("window_start").alias("start"), "flows", "short", F.round("avg_duration", 5).alias("avg_duration"))
+
+
+def r09_state_reset(spark, folder):
+    """A flow with k = 0 resets its source; later flows start a new window."""
+    stream = flow_stream(spark, folder).withColumn("control", F.when(F.col("k") == 0, "reset"))
+    measured = behaviour_state.stream_behaviour(stream, window_seconds=10 * DAY_SECONDS)
+    return jobs.run_to_table(measured).select("flow_id", "beh_flow_count_window")
+
+
+QUERIES = {f.__name__: f for f in (
+    r01_stream_triage, r02_running_metrics, r03_stateful_behaviour, r04_online_learning, r05_progress_snapshots,
+    r06_header_and_summary, r07_dead_letters, r08_event_time_windows, r09_state_reset,
+)}
+
+_TRIAGED_SQL = FLOWS_SQL + f""",
+routed AS (SELECT *, CASE WHEN auth THEN 'auth' WHEN web THEN 'web' ELSE 'main' END AS route, {Y_SQL} AS y FROM ({_MASKS})),
+triaged AS (SELECT *, CASE WHEN threat_score >= 0.75e0 THEN 2
+  WHEN threat_score >= (CASE WHEN route <> 'main' THEN 0.30e0 ELSE 0.35e0 END) THEN 1 ELSE 0 END AS action FROM routed)
+"""
+
+ORACLES = {
+    "r01_stream_triage": _TRIAGED_SQL + f"""
+SELECT flow_id, route, action, {LEVEL_SQL} AS level, CASE WHEN y = 1 AND action >= 1 THEN 'TP' WHEN action >= 1 THEN 'FP'
+  WHEN y = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM triaged""",
+    "r02_running_metrics": _TRIAGED_SQL + f"""
+SELECT tp, fp, fn, tn, CAST(round_even(precision, 4) AS DOUBLE) AS precision, CAST(round_even(recall, 4) AS DOUBLE) AS recall,
+  CAST(round_even(2*precision*recall/greatest(precision+recall, 1e-9), 4) AS DOUBLE) AS f1, CAST(round_even(fpr, 4) AS DOUBLE) AS fpr
+FROM (SELECT *, CAST(tp AS DOUBLE)/greatest(tp+fp,1) AS precision, CAST(tp AS DOUBLE)/greatest(tp+fn,1) AS recall,
+  CAST(fp AS DOUBLE)/greatest(fp+tn,1) AS fpr FROM (SELECT {confusion_sql('action >= 1')} FROM triaged))""",
+    "r03_stateful_behaviour": WINDOW_SQL + "SELECT flow_id, " + ", ".join(f"round({_EXPR[c]}, {_ROUNDED.get(c, 8)}) AS {c}" for c in _ALL) + " FROM scored",
+    # From an empty policy every decision is a cold start; then one fold.
+    "r04_online_learning": LEARNED_SQL.replace(
+        "placed AS (SELECT step, reward, action,",
+        f"placed AS (SELECT step, {reward_sql('y', _COLD, 'analyst_load', 'threat_score')} AS reward, {_COLD} AS action,",
+    ) + "SELECT tb, lb, db, pb, action, round(q, 3) AS q, visits FROM learned",
+    "r05_progress_snapshots": _COUNTS_SQL + """
+SELECT step, round(cumulative_reward, 0) AS cumulative_reward, CAST(round_even(precision, 4) AS DOUBLE) AS precision,
+  CAST(round_even(recall, 4) AS DOUBLE) AS recall, CAST(round_even(f1, 4) AS DOUBLE) AS f1 FROM series WHERE step % 1000 = 0""",
+    "r06_header_and_summary": FLOWS_SQL + f"""
+SELECT 'header' AS kind, count(*) AS total, count(*) FILTER (WHERE {Y_SQL} = 1) AS n_attacks, count(*) FILTER (WHERE {Y_SQL} = 0) AS n_benign FROM flows""",
+    "r07_dead_letters": FLOWS_SQL + """
+SELECT CASE WHEN k % 6 IN (0, 1, 2) THEN 'dead' ELSE 'usable' END AS part, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids FROM flows GROUP BY 1""",
+    "r08_event_time_windows": FLOWS_SQL + """,
+spread AS (SELECT src_ip, flow_duration, CAST(epoch(ts) AS BIGINT) // 43200 * 43200 - s.back AS start
+  FROM flows, (VALUES (0), (43200)) s(back))
+SELECT src_ip, CAST(start AS BIGINT) AS start, count(*) AS flows, count(*) FILTER (WHERE flow_duration < 1000) AS short,
+  round(avg(flow_duration), 5) AS avg_duration
+FROM spread WHERE start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM flows) GROUP BY 1, 2""",
+    "r09_state_reset": FLOWS_SQL + """,
+spells AS (SELECT *, count(*) FILTER (WHERE k = 0) OVER (PARTITION BY src_ip ORDER BY step ROWS UNBOUNDED PRECEDING) AS spell FROM flows),
+counted AS (SELECT flow_id, k, count(*) FILTER (WHERE k > 0) OVER (PARTITION BY src_ip, spell ORDER BY ts RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) AS c,
+  count(*) FILTER (WHERE k > 0) OVER (PARTITION BY src_ip, spell ORDER BY step ROWS UNBOUNDED PRECEDING) AS r FROM spells)
+SELECT flow_id, CAST(least(c, r, 200) AS DOUBLE) AS beh_flow_count_window FROM counted WHERE k > 0""",
+}

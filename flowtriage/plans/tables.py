@@ -41,11 +41,13 @@ def split_columns(text: str) -> list[str]:
     return [*parts, current.strip()]
 
 
+def events_as_flows(events: DataFrame) -> DataFrame:
+    keyed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return keyed.selectExpr(*split_columns(_FLOW_COLUMNS))
+
+
 def flows(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
-    return events.selectExpr(*split_columns(_FLOW_COLUMNS))
+    return events_as_flows(table(spark, folder, "events"))
 
 
 FLOWS_SQL = f"""
@@ -56,8 +58,11 @@ flows AS (SELECT {_FLOW_COLUMNS} FROM events_with_k)
 
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return with_decisions(flows(spark, folder))
+
+
+def with_decisions(base: DataFrame) -> DataFrame:
     """Flows with truth, load, a threshold action and its reward."""
-    base = flows(spark, folder)
     score, port = F.col("threat_score"), F.col("dst_port")
     return (
         base.withColumns(

@@ -17,6 +17,7 @@ BLOCK = 4_096  # small enough that the test tables span several blocks
 _ROUNDED = {
     "beh_conn_rate_per_min": 8, "beh_short_flow_ratio": 8, "beh_unique_dst_ports": 1, "beh_pkt_size_std": 6,
     "beh_flow_count_window": 1, "beh_large_payload_ratio": 8, "beh_avg_duration": 5,
+    "behaviour_score": 10,
 }
 
 
@@ -149,7 +150,7 @@ def _stats(frame: str) -> str:
 
 
 _SCORED = """
-measured AS (SELECT *, n / greatest(1e0, epoch_us(ts) / 1e6 - epoch_us(first) / 1e6) * 60 AS rate FROM suffix),
+measured AS (SELECT *, n / greatest(1e0, (epoch_us(ts) - epoch_us(first)) / 1e6) * 60 AS rate FROM suffix),
 scored AS (SELECT *, least(1e0, greatest(0e0, 0.35e0*least(1e0, rate/300) + 0.20e0*short/n + 0.15e0*least(1e0, ports/20e0)
     + 0.20e0*large/n + 0.10e0*least(1e0, dur/120000))) AS score FROM measured)
 """
