@@ -45,6 +45,27 @@ def with_source_rank(flows: DataFrame, source: str, step: str, block_rows: int =
     )
 
 
+def reset_spells(
+    flows: DataFrame, reset: Column, source: str = "src_ip", step: str = "step", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``spell``: how many resets of its source a flow has seen.
+
+    Clearing a source's window is the same as giving its later flows a new
+    key. Resets are summed per step block first, so hot sources stay split.
+    """
+    flag = F.coalesce(reset, F.lit(False)).cast("long")
+    based = flows.withColumn("_sb", block_of(F.col(step), block_rows * RANK_BLOCKS)).withColumn("_flag", flag)
+    totals = based.groupBy(source, "_sb").agg(F.sum("_flag").alias("resets"))
+    offsets = preceding_totals(totals, "_sb", ["resets"], keys=(source,))
+    within = Window.partitionBy(source, "_sb").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        based.withColumn("_in", F.sum("_flag").over(within))
+        .join(offsets, [source, "_sb"])
+        .withColumn("spell", F.col("_in") + F.col("before_resets"))
+        .drop("_sb", "_flag", "_in", "before_resets")
+    )
+
+
 def _merge(before: Column, peers: Column) -> Column:
     """Parts of the window: strictly earlier flows, and flows at the same instant."""
     return F.coalesce(before, F.lit(0)) + peers

@@ -107,7 +107,7 @@ def train_detector(df: DataFrame, features: list[str], truth: str, settings: Det
     )
     if settings.eval_column:
         booster = booster.setValidationIndicatorCol(settings.eval_column)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assembler, booster]).fit(prepared)
 
 

@@ -13,7 +13,7 @@ from flowtriage.plans.tables import (
 from flowtriage.plans.windows import BLOCK, DAY_SECONDS, WINDOW_SQL, _ALL, _COUNTS_SQL, _EXPR, _ROUNDED
 from flowtriage.sources.sinks import load_policy
 from flowtriage.sources.workspace import new_folder
-from flowtriage.streaming import behaviour_state, jobs
+from flowtriage.streaming import jobs
 
 
 def flow_stream(spark, folder):
@@ -34,9 +34,14 @@ def r02_running_metrics(spark, folder):
     return jobs.latest_metrics(_triaged(flow_stream(spark, folder)))
 
 
+def _batched_behaviour(spark, stream, seconds):
+    batches = jobs.BehaviourBatches(new_folder(spark, "behaviour"), seconds, block_rows=BLOCK)
+    jobs.run_batches(stream, batches)
+    return spark.read.option("basePath", batches.results_folder).parquet(batches.results_folder)
+
+
 def r03_stateful_behaviour(spark, folder):
-    measured = behaviour_state.stream_behaviour(flow_stream(spark, folder), window_seconds=DAY_SECONDS)
-    done = jobs.run_to_table(measured)
+    done = _batched_behaviour(spark, flow_stream(spark, folder), DAY_SECONDS)
     return done.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in _ALL])
 
 
@@ -81,8 +86,7 @@ def r08_event_time_windows(spark, folder):
 def r09_state_reset(spark, folder):
     """A flow with k = 0 resets its source; later flows start a new window."""
     stream = flow_stream(spark, folder).withColumn("control", F.when(F.col("k") == 0, "reset"))
-    measured = behaviour_state.stream_behaviour(stream, window_seconds=10 * DAY_SECONDS)
-    return jobs.run_to_table(measured).select("flow_id", "beh_flow_count_window")
+    return _batched_behaviour(spark, stream, 10 * DAY_SECONDS).select("flow_id", "beh_flow_count_window")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -19,7 +19,7 @@ _FLOW_COLUMNS = """
              WHEN 4 THEN 3389 WHEN 5 THEN 21 WHEN 6 THEN 53 ELSE 445 END AS dst_port,
   value * 1000 AS flow_duration, k + 1 AS tot_fwd_pkts,
   value * 100 AS totlen_fwd_pkts, value * 100 / (k + 1) AS pkt_size_avg,
-  (k + 1) * 1e6 / (value * 1000) AS flow_pkts_s,
+  coalesce((k + 1) * 1e6 / nullif(value * 1000, 0), 0e0) AS flow_pkts_s,
   CASE event_type WHEN 'error' THEN 'DoS_Hulk' WHEN 'signup' THEN ' Port_Scan '
        WHEN 'purchase' THEN 'Benign' WHEN 'view' THEN 'BENIGN ' ELSE 'benign' END AS label,
   round(k / 99e0, 4) AS threat_score,

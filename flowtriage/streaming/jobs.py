@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowtriage import schema as S
 from flowtriage.functions import flow, triage
-from flowtriage.operators import metrics, models, ordered, policy
+from flowtriage.operators import behaviour, metrics, models, ordered, policy
 from flowtriage.sources.sinks import load_policy, load_version, save_policy, save_version
 from flowtriage.sources.workspace import new_folder
 
@@ -122,6 +122,58 @@ def windowed_behaviour(flows: DataFrame, delay: str = "60 seconds", length: str
     ).select("src_ip", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "flows", "short", "ports", "avg_duration")
 
 
+class BehaviourBatches:
+    """Exact behaviour windows over micro-batches of any size and skew.
+
+    Each batch runs the split window operator with the stored last flows of
+    every source as history, then stores the new last flows. Steps must rise
+    from batch to batch. A row whose ``control`` is 'reset' clears its source.
+    """
+
+    def __init__(
+        self, folder: str, window_seconds: int = S.BEHAVIOUR_WINDOW_SECONDS,
+        max_flows: int = S.BEHAVIOUR_MAX_FLOWS, block_rows: int = ordered.BLOCK_ROWS,
+    ) -> None:
+        self.root = folder.rstrip("/")
+        self.seconds, self.max_flows, self.block_rows = window_seconds, max_flows, block_rows
+
+    @property
+    def results_folder(self) -> str:
+        return f"{self.root}/results"
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        if "control" not in batch.columns:
+            batch = batch.withColumn("control", F.lit(None).cast("string"))
+        history, _ = load_version(spark, f"{self.root}/tails", at_most=number)
+        needed = ["src_ip", "step", "ts", *behaviour.ATTRIBUTES]
+        everything = batch.withColumn("_seen", F.lit(False))
+        if history is not None:
+            everything = everything.unionByName(
+                history.withColumn("ts", F.col("ts").cast(batch.schema["ts"].dataType)).withColumn("_seen", F.lit(True)),
+                allowMissingColumns=True,
+            )
+        is_reset = F.col("control") == "reset"
+        spelled = behaviour.reset_spells(everything, is_reset, block_rows=self.block_rows).filter(
+            F.col("control").isNull() | ~is_reset
+        )
+        keyed = spelled.withColumn("src_key", F.concat_ws("#", "src_ip", "spell"))
+        measured = behaviour.behaviour_features(
+            keyed, self.seconds, self.max_flows, source="src_key", block_rows=self.block_rows
+        ).filter(~F.col("_seen"))
+        save_version(measured.drop("_seen", "spell", "src_key", "control"), self.results_folder, number)
+        last_spell = everything.filter(~F.col("_seen")).groupBy("src_ip").agg(F.count_if(is_reset).alias("spell"))
+        # Sources absent from this batch keep spell 0, their only one.
+        current = keyed.join(last_spell, "src_ip", "left").filter(
+            keyed["spell"] == F.coalesce(last_spell["spell"], F.lit(0))
+        ).select(*[keyed[c] for c in needed])
+        save_version(
+            behaviour.behaviour_tail(current, self.max_flows, block_rows=self.block_rows), f"{self.root}/tails", number + 1
+        )
+
+
 class OnlineLearner:
     """Per micro-batch: decide with the stored policy, learn, store the next version.
 
