@@ -131,10 +131,11 @@ def behaviour_features(
     elif mode == "event_time":
         peers = Window.partitionBy(*keys, "_us").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
         earlier = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-window_seconds * 1_000_000, -1)
+        # The finest window last: the partitioning and order of the first serve all three.
         parts = (
-            split.select("*", *_window_stats(peers, "p_"))
-            .select("*", *_window_stats(capped, "c_"))
+            split.select("*", *_window_stats(capped, "c_"))
             .select("*", *_window_stats(earlier, "e_"))
+            .select("*", *_window_stats(peers, "p_"))
         )
         measured = _shorter_suffix(parts, max_flows)
         elapsed = F.greatest(F.lit(1.0), (F.col("_us") - F.col("first")) / 1e6)

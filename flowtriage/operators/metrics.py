@@ -256,13 +256,16 @@ def reward_distribution(df: DataFrame, action: Column, reward: Column) -> DataFr
     boxed = summary.select("action", "n", "low", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), "high",
                            (q[0] - spread).alias("_lo"), (q[2] + spread).alias("_hi"))
     # Whiskers: the extreme rewards within 1.5 quartile spreads of the box.
+    # Null-safe keys keep the counted table free of inferred filters, so its
+    # shuffle is computed once and reused.
+    limits = boxed.select(F.col("action").alias("_a"), "_lo", "_hi")
     whiskers = (
-        values.join(F.broadcast(boxed.select("action", "_lo", "_hi")), "action")
-        .filter(F.col("r").between(F.col("_lo"), F.col("_hi")))
-        .groupBy("action")
-        .agg(F.min("r").alias("whisker_low"), F.max("r").alias("whisker_high"))
+        values.join(F.broadcast(limits), F.col("action").eqNullSafe(F.col("_a")))
+        .withColumn("_near", F.when(F.col("r").between(F.col("_lo"), F.col("_hi")), F.col("r")))
+        .groupBy("_a")
+        .agg(F.min("_near").alias("whisker_low"), F.max("_near").alias("whisker_high"))
     )
-    return boxed.drop("_lo", "_hi").join(whiskers, "action")
+    return boxed.drop("_lo", "_hi").join(whiskers, F.col("action").eqNullSafe(F.col("_a"))).drop("_a")
 
 
 def outcome_share(df: DataFrame, truth: Column, action: Column) -> DataFrame:

@@ -64,26 +64,29 @@ def threat_density(
 
 
 def preceding_totals(totals: DataFrame, index: str, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exclusive prefix sums over a table of per-block totals, in two levels.
+    """Exclusive prefix sums over a table of per-block totals.
 
-    Blocks are grouped by 1,024; the windows run inside a group and then over
-    the group totals. The only ordered pass that is not split any further sees
-    one row per key and group, i.e. one per 1,024 blocks of rows.
+    Per key, one window: it sees a row per block, not per input row. Without
+    keys the blocks are grouped by 1,024 and summed in two levels, so the only
+    pass that is not split any further sees a row per 1,024 blocks.
     """
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(
+            *keys, index, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"before_{v}") for v in values]
+        )
     grouped = totals.withColumn("_group", F.floor(F.col(index) / BLOCKS_PER_GROUP).cast("long"))
-    group_totals = grouped.groupBy(*keys, "_group").agg(*[F.sum(v).alias(v) for v in values])
-    earlier_groups = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    group_totals = grouped.groupBy("_group").agg(*[F.sum(v).alias(v) for v in values])
+    earlier_groups = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     group_offsets = group_totals.select(
-        *keys, "_group",
-        *[F.coalesce(F.sum(v).over(earlier_groups), F.lit(0)).alias(f"_g_{v}") for v in values],
+        "_group", *[F.coalesce(F.sum(v).over(earlier_groups), F.lit(0)).alias(f"_g_{v}") for v in values]
     )
-    earlier_blocks = Window.partitionBy(*keys, "_group").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_blocks = Window.partitionBy("_group").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     within = grouped.select(
-        *keys, index, "_group",
-        *[F.coalesce(F.sum(v).over(earlier_blocks), F.lit(0)).alias(f"_b_{v}") for v in values],
+        index, "_group", *[F.coalesce(F.sum(v).over(earlier_blocks), F.lit(0)).alias(f"_b_{v}") for v in values]
     )
-    return within.join(group_offsets, [*keys, "_group"]).select(
-        *keys, index, *[(F.col(f"_b_{v}") + F.col(f"_g_{v}")).alias(f"before_{v}") for v in values]
+    return within.join(group_offsets, "_group").select(
+        index, *[(F.col(f"_b_{v}") + F.col(f"_g_{v}")).alias(f"before_{v}") for v in values]
     )
 
 

@@ -262,14 +262,16 @@ def representative_log(
     taken = F.lit(0)
     for name, limit in caps.items():
         taken = taken + F.least(F.count_if(F.col("_stratum") == name), F.lit(limit))
-    room = named.agg((n - taken).alias("room")).scalar()
-    spaced = _every_kth(named.filter(F.col("_stratum") == "dismissed"), step, room)
+    # Both numbers come from one aggregation.
+    sizes = named.agg(
+        F.struct((n - taken).alias("room"), F.count_if(F.col("_stratum") == "dismissed").alias("pool")).alias("s")
+    ).scalar()
+    spaced = _every_kth(named.filter(F.col("_stratum") == "dismissed"), step, sizes["room"], sizes["pool"])
     return random_part.unionByName(spaced).drop("_stratum").orderBy(step).limit(n)
 
 
-def _every_kth(rows: DataFrame, step: str, room: Column) -> DataFrame:
-    """``room`` rows at stride max(1, rows div room), counted in step order."""
-    pool = rows.agg(F.count("*").alias("n")).scalar()
+def _every_kth(rows: DataFrame, step: str, room: Column, pool: Column) -> DataFrame:
+    """``room`` of ``pool`` rows at stride max(1, pool div room), counted in step order."""
     stride = F.greatest(F.lit(1), F.floor(pool / F.greatest(F.lit(1), room))).cast("long")
     blocked = rows.withColumn("_blk", block_of(F.col(step), BLOCK_ROWS))
     offsets = preceding_totals(blocked.groupBy("_blk").agg(F.count("*").alias("n")), "_blk", ["n"])

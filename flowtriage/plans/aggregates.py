@@ -12,6 +12,7 @@ from flowtriage.plans.tables import (
     confusion_sql, decisions, flows, rates_sql, table,
 )
 from flowtriage.plans.projections import FAMILY_SQL
+from flowtriage.sources.workspace import durable
 from flowtriage.plans.windows import BLOCK, DAY_SECONDS, WINDOW_SQL
 
 FLOW_FEATURES = ["flow_duration", "tot_fwd_pkts", "totlen_fwd_pkts", "pkt_size_avg", "flow_pkts_s"]
@@ -162,7 +163,9 @@ def learned_policy(spark, folder):
     """Policy folded from the logged decisions, starting empty."""
     placed = threat_density(decisions(spark, folder), "threat_score", block_rows=BLOCK)
     state = triage.state_columns(F.col("threat_score"), F.col("analyst_load"), F.col("density_after"), F.col("dst_port"))
-    return policy.fold_updates(placed.withColumns(state), policy.empty_policy(spark), block_rows=BLOCK)
+    # The fold reads its updates three times; the density windows run once.
+    updates = durable(placed.withColumns(state).select(*policy.CELL, "reward", "step"))
+    return policy.fold_updates(updates, policy.empty_policy(spark), block_rows=BLOCK)
 
 
 def a19_policy_heatmap(spark, folder):

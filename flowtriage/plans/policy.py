@@ -11,6 +11,7 @@ from flowtriage.operators.ordered import threat_density
 from flowtriage.plans.aggregates import DENSITY_SQL, LEARNED_SQL, learned_policy
 from flowtriage.plans.tables import PORT_CLASS_SQL, decisions, reward_sql
 from flowtriage.plans.windows import BLOCK
+from flowtriage.sources.workspace import durable
 
 # A deterministic policy that reaches every branch of the decision rule; the
 # same text runs in both engines over the 18,000 cells.
@@ -79,7 +80,8 @@ def b09_policy_migration(spark, folder):
     """A policy learned without port classes, copied to each of them."""
     placed = dense(spark, folder)
     state = triage.state_columns(F.col("threat_score"), F.col("analyst_load"), F.col("density_after"), F.lit(0))
-    plain = policy.fold_updates(placed.withColumns(state), policy.empty_policy(spark), block_rows=BLOCK).drop("pb")
+    updates = durable(placed.withColumns(state).select(*policy.CELL, "reward", "step"))
+    plain = policy.fold_updates(updates, policy.empty_policy(spark), block_rows=BLOCK).drop("pb")
     return policy.migrate_without_ports(plain).select(*policy.CELL, F.round("q", 3).alias("q"), "visits")
 
 

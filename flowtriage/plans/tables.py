@@ -11,12 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-# The event table seen as network flows; the text runs in both engines.
+# The event table seen as network flows; the text runs in both engines, except
+# that the port is an array lookup in Spark so that k is evaluated once.
+_PORT_SQL = """CASE k % 8 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 8080 WHEN 3 THEN 22
+             WHEN 4 THEN 3389 WHEN 5 THEN 21 WHEN 6 THEN 53 ELSE 445 END"""
+_PORT_SPARK = "array(80, 443, 8080, 22, 3389, 21, 53, 445)[k % 8]"
 _FLOW_COLUMNS = """
   event_id AS flow_id, event_id + 1 AS step, ts,
   CAST(user_id AS VARCHAR(20)) AS src_ip,
-  CASE k % 8 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 8080 WHEN 3 THEN 22
-             WHEN 4 THEN 3389 WHEN 5 THEN 21 WHEN 6 THEN 53 ELSE 445 END AS dst_port,
+  {port} AS dst_port,
   value * 1000 AS flow_duration, k + 1 AS tot_fwd_pkts,
   value * 100 AS totlen_fwd_pkts, value * 100 / (k + 1) AS pkt_size_avg,
   coalesce((k + 1) * 1e6 / nullif(value * 1000, 0), 0e0) AS flow_pkts_s,
@@ -32,7 +35,7 @@ _FLOW_COLUMNS = """
 def split_columns(text: str) -> list[str]:
     parts, depth, current = [], 0, ""
     for char in text:
-        depth += (char == "(") - (char == ")")
+        depth += (char in "([") - (char in ")]")
         if char == "," and depth == 0:
             parts.append(current.strip())
             current = ""
@@ -43,7 +46,7 @@ def split_columns(text: str) -> list[str]:
 
 def events_as_flows(events: DataFrame) -> DataFrame:
     keyed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return keyed.selectExpr(*split_columns(_FLOW_COLUMNS))
+    return keyed.selectExpr(*split_columns(_FLOW_COLUMNS.format(port=_PORT_SPARK)))
 
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +56,7 @@ def flows(spark: SparkSession, folder: str) -> DataFrame:
 FLOWS_SQL = f"""
 WITH events_with_k AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-flows AS (SELECT {_FLOW_COLUMNS} FROM events_with_k)
+flows AS (SELECT {_FLOW_COLUMNS.format(port=_PORT_SQL)} FROM events_with_k)
 """
 
 
