@@ -346,6 +346,5 @@ STATE_SCHEMA = T.StructType(
         T.StructField("active_threats", T.LongType()),
         T.StructField("flagged_ips", T.LongType()),
         T.StructField("logs", T.ArrayType(DECISION_SCHEMA)),
-        T.StructField("_corrupt_record", T.StringType()),
     ]
 )

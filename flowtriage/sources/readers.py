@@ -138,11 +138,10 @@ def read_soc_events(spark: SparkSession, path: str, fallback: DataFrame | None =
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """A run-state document; a missing or broken one reads as no rows."""
     try:
-        document = spark.read.json(path, schema=S.STATE_SCHEMA, multiLine=True, mode="PERMISSIVE")
-        return document.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        document = spark.read.json(path, schema=S.STATE_SCHEMA, multiLine=True, mode="DROPMALFORMED")
+        return document.filter(F.col("events_captured").isNotNull())
     except AnalysisException:
-        empty = T.StructType([f for f in S.STATE_SCHEMA if f.name != "_corrupt_record"])
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], S.STATE_SCHEMA)
 
 
 def state_log(document: DataFrame) -> DataFrame:
