@@ -116,6 +116,7 @@ def soc_message_field(msg: Column, field: str) -> Column:
     return F.try_element_at(F.str_to_map(msg, F.lit("; "), F.lit("=")), F.lit(field))
 
 
-def hash_order(row_id: Column, seed: int | str) -> Column:
+def hash_order(row_id: Column, seed: int | str | Column) -> Column:
     """A reproducible shuffle key: the same rows always sort the same way."""
-    return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")))
+    suffix = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(row_id.cast("string"), F.lit(":"), suffix))

@@ -125,7 +125,7 @@ def dense_step(df: DataFrame, order_by: str, out: str = "step", slices: int = 1_
     key = F.col(order_by)
     dtype = dict(df.dtypes)[order_by]
     number = F.unix_micros(key.cast("timestamp")) if dtype.startswith("timestamp") else key
-    points = [i / slices for i in range(1, slices)]
+    points = _constant_array((i / slices for i in range(1, slices)), "double")
     bounds = df.select(F.percentile_approx(number, points, 10 * slices).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     sliced = _with_slice(df, number, bounds)
@@ -137,6 +137,11 @@ def dense_step(df: DataFrame, order_by: str, out: str = "step", slices: int = 1_
     )
 
 
+def _constant_array(values, kind: str) -> Column:
+    """A long constant array, parsed once by the optimizer from one string."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _with_slice(df: DataFrame, value: Column, bounds: list) -> DataFrame:
     """Add ``_slice``: how many of the sorted bounds are <= value.
 
@@ -146,7 +151,7 @@ def _with_slice(df: DataFrame, value: Column, bounds: list) -> DataFrame:
     if not bounds:
         return df.withColumn("_slice", F.lit(0).cast("long"))
     count = len(bounds)
-    edges = F.array(*[F.lit(b) for b in bounds])
+    edges = _constant_array(bounds, "double" if isinstance(bounds[0], float) else "bigint")
     strides = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))])
 
     def narrow(found: Column, stride: Column) -> Column:

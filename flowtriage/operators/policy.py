@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from flowtriage import schema as S
 from flowtriage.functions import triage
 from flowtriage.operators.ordered import BLOCK_ROWS, block_of, preceding_totals
-from flowtriage.sources.workspace import durable
+from flowtriage.sources.workspace import durable, new_folder
 
 STATE = ["tb", "lb", "db", "pb"]
 CELL = [*STATE, "action"]
@@ -263,16 +263,14 @@ def replay_online(
     # Densities and buckets are computed once; every round then reads its own
     # range of steps from the written table.
     prepared = durable(prepared)
-    pieces: list[DataFrame] = []
+    results = new_folder(spark, "replay")
     for low in rounds:
         part = prepared.filter(F.col("step").between(low, low + rows_per_round - 1))
-        done = durable(_replay_round(part, policy))
-        pieces.append(done)
+        path = f"{results}/first_step={low}"
+        _replay_round(part, policy).write.parquet(path)
+        done = spark.read.schema(REPLAY_RESULT).parquet(path)
         policy = durable(policy_after(done, policy))
-    result = pieces[0]
-    for piece in pieces[1:]:
-        result = result.unionByName(piece)
-    return result
+    return spark.read.schema(REPLAY_RESULT).parquet(f"{results}/*")
 
 
 def policy_after(replayed: DataFrame, policy: DataFrame) -> DataFrame:

@@ -12,16 +12,16 @@ from flowtriage import schema as S
 from flowtriage.functions.flow import binary_label, hash_order, literal_map
 from flowtriage.operators.ordered import BLOCK_ROWS, block_of, preceding_totals
 
-SALTS = 64
+SALTS = 256
 HASH_BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list, limit: int, salt: str, rank: str = "rn") -> DataFrame:
     """The first ``limit`` rows of every group, numbered in ``rank``.
 
-    Each group is first cut down inside 64 salted shares, so a group holding a
-    large part of the table is spread over 64 tasks and at most
-    ``64 * limit`` of its rows meet in one.
+    Each group is first cut down inside 256 salted shares, so a group holding a
+    large part of the table is spread over 256 tasks and at most
+    ``256 * limit`` of its rows meet in one.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
     in_share = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -35,6 +35,42 @@ def first_per_group(df: DataFrame, keys: list[str], order: list, limit: int, sal
     )
 
 
+def hash_sample(
+    df: DataFrame, keys: list[str], row_id: str, quota, seed: int | str | Column = 42, rank: str = "rn"
+) -> DataFrame:
+    """``quota`` random rows of every group, numbered in ``rank``.
+
+    ``quota`` maps the group's row count (a column) to the number wanted. The
+    count also tells below which hash value that many rows must lie, with a
+    margin of twelve standard deviations; rows above it are dropped in the
+    scan, so only little more than the sample is shuffled and ranked, however
+    large a group is. Should the margin ever not suffice, the query fails
+    rather than return a short sample.
+    """
+    n, wanted = F.col("_n"), F.col("_quota").cast("double")
+    reach = F.least(F.lit(1.0), (wanted + 12 * F.sqrt(wanted) + 200) / n)
+    cut = F.lower(F.lpad(F.hex(F.floor(reach * (16**8 - 1)).cast("long")), 8, "0"))
+    limits = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_quota", F.least(quota(n), n).cast("long"))
+        .withColumn("_cut", cut)
+        .drop("_n")
+    )
+    group = Window.partitionBy(*keys)
+    ranked = (
+        df.withColumn("_hash", hash_order(F.col(row_id), seed))
+        .join(limits, keys)
+        .filter(F.substring("_hash", 1, 8) <= F.col("_cut"))
+        .withColumn(rank, F.row_number().over(group.orderBy("_hash")))
+        .withColumn("_got", F.count("*").over(group))
+    )
+    short = F.raise_error(F.lit("sample margin exceeded")).cast("boolean")
+    return ranked.filter(F.when(F.col("_got") < F.col("_quota"), short).otherwise(F.col(rank) <= F.col("_quota"))).drop(
+        "_hash", "_quota", "_cut", "_got"
+    )
+
+
 def cap_per_file(df: DataFrame, file: str, row_order: str, rows: int) -> DataFrame:
     """The first ``rows`` rows of every file."""
     return first_per_group(df, [file], [F.col(row_order)], rows, row_order).drop("rn")
@@ -59,24 +95,15 @@ def calibration_sample(
     df: DataFrame, chunk: str, row_id: str, divisor: int = 20, cap: int = 10_000, seed: int = 42
 ) -> DataFrame:
     """min(n div 20, cap) random rows of every chunk of n rows."""
-    quota = df.groupBy(chunk).agg(
-        F.least(F.floor(F.count("*") / divisor), F.lit(cap)).cast("int").alias("quota")
-    )
-    order = hash_order(F.col(row_id), seed)
-    return (
-        first_per_group(df, [chunk], [order], cap, row_id)
-        .join(quota, chunk)
-        .filter(F.col("rn") <= F.col("quota"))
-        .drop("rn", "quota")
-    )
+    share = lambda n: F.least(F.floor(n / divisor), F.lit(cap))
+    return hash_sample(df, [chunk], row_id, share, seed).drop("rn")
 
 
 def class_seeds(
     df: DataFrame, chunk: str, truth: str, row_id: str, rows: int = 2_048, seed: int = 42
 ) -> DataFrame:
     """Up to ``rows`` random rows per class and chunk (candidate reference rows)."""
-    order = hash_order(F.col(row_id), seed)
-    return first_per_group(df, [chunk, truth], [order], rows, row_id).drop("rn")
+    return hash_sample(df, [chunk, truth], row_id, lambda n: F.lit(rows), seed).drop("rn")
 
 
 def newest_class_seeds(
@@ -149,8 +176,9 @@ def augment_single_class(
             F.when(F.col("lo") == 1, F.col("seen_0")).otherwise(F.col("seen_1")).alias(chunk),
         )
     )
+    lenders = df.join(needs.select(chunk, truth).distinct(), [chunk, truth], "left_semi")
     borrowed = (
-        class_seeds(df, chunk, truth, row_id, rows, seed)
+        class_seeds(lenders, chunk, truth, row_id, rows, seed)
         .join(needs, [chunk, truth])
         .withColumn("is_seed", F.lit(True))
     )
@@ -166,14 +194,8 @@ def ratio_sample(
     """
     attacks = max(0, round(n_rows * attack_ratio))
     quota = F.when(F.col("_class") == 1, attacks).otherwise(n_rows - attacks)
-    order = hash_order(F.col(row_id), seed)
-    classed = df.withColumn("_class", truth)
-    return (
-        first_per_group(classed, ["_class"], [order], max(attacks, n_rows - attacks), row_id)
-        .filter(F.col("rn") <= quota)
-        .withColumn("order_key", order)
-        .drop("rn", "_class")
-    )
+    picked = hash_sample(df.withColumn("_class", truth), ["_class"], row_id, lambda n: quota, seed)
+    return picked.withColumn("order_key", hash_order(F.col(row_id), seed)).drop("rn", "_class")
 
 
 def round_robin(
@@ -186,7 +208,7 @@ def round_robin(
     the picks.
     """
     order = hash_order(F.col(row_id), seed)
-    ranked = first_per_group(df, [label], [order], n_rows, row_id)
+    ranked = hash_sample(df, [label], row_id, lambda n: F.lit(n_rows), seed)
     ranked = ranked.withColumn("_order", order)
     turn = F.col("rn")
     if n_rows >= 10 and hard_labels:
@@ -245,23 +267,17 @@ def representative_log(
     stratum = (
         F.when(y == 1, "threat").when(a == 2, "escalated").when(a == 1, "monitored").otherwise("dismissed")
     )
-    seeds = F.when(y == 1, "42").when(a == 2, "43").otherwise("44")
     named = log.withColumn("_stratum", stratum)
     caps = {"threat": n // 2, "escalated": 10, "monitored": 15}
-    cap = F.when(F.col("_stratum") == "threat", caps["threat"]).when(
-        F.col("_stratum") == "escalated", caps["escalated"]
-    ).otherwise(caps["monitored"])
-    order = F.md5(F.concat(F.col(step).cast("string"), F.lit(":"), seeds))
-    random_part = (
-        first_per_group(
-            named.filter(F.col("_stratum") != "dismissed"), ["_stratum"], [order], max(caps.values()), step
-        )
-        .filter(F.col("rn") <= cap)
-        .drop("rn")
-    )
+    name = F.col("_stratum")
+    cap = F.when(name == "threat", caps["threat"]).when(name == "escalated", caps["escalated"]).otherwise(caps["monitored"])
+    seed = F.when(name == "threat", "42").when(name == "escalated", "43").otherwise("44")
+    random_part = hash_sample(
+        named.filter(name != "dismissed"), ["_stratum"], step, lambda rows: cap, seed
+    ).drop("rn")
     taken = F.lit(0)
-    for name, limit in caps.items():
-        taken = taken + F.least(F.count_if(F.col("_stratum") == name), F.lit(limit))
+    for kind, limit in caps.items():
+        taken = taken + F.least(F.count_if(name == kind), F.lit(limit))
     # Both numbers come from one aggregation.
     sizes = named.agg(
         F.struct((n - taken).alias("room"), F.count_if(F.col("_stratum") == "dismissed").alias("pool")).alias("s")
