@@ -47,10 +47,14 @@ def matches_attack_type(label: Column, attack_type: str) -> Column:
     return hit & found
 
 
+def is_finite(value: Column) -> Column:
+    """True for ordinary numbers; NaN sorts above infinity, null stays null."""
+    return F.abs(value.cast("double")) < float("inf")
+
+
 def finite_or_null(value: Column) -> Column:
     """NaN and both infinities become null."""
-    number = value.cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    return F.when(is_finite(value), value.cast("double"))
 
 
 def lenient_double(value: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowtriage import schema as S
-from flowtriage.functions.flow import finite_or_null, lenient_double
+from flowtriage.functions.flow import is_finite, lenient_double
 
 
 # Output name -> (accepted normalised headers, type).
@@ -103,8 +103,8 @@ def canonicalise(
         if on_bad == "zero":
             value = lenient_double(raw)
         else:
-            value = finite_or_null(raw.try_cast("double"))
-            checked.append(value.isNotNull())
+            value = raw.try_cast("double")
+            checked.append(is_finite(value))
         factor = (units or {}).get(feature)
         output.append((value * factor if factor else value).cast("float").alias(feature))
     if "label" in position:
@@ -132,7 +132,7 @@ def drop_bad_rows(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Drop rows whose listed numeric columns hold null, NaN or an infinity."""
     condition = F.lit(True)
     for column in columns:
-        condition = condition & finite_or_null(F.col(column)).isNotNull()
+        condition = condition & is_finite(F.col(column))
     return df.filter(condition)
 
 

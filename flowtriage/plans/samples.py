@@ -8,6 +8,7 @@ from flowtriage.functions import flow
 from flowtriage.operators import sampling
 from flowtriage.plans.projections import FAMILY_SQL
 from flowtriage.plans.tables import DECISIONS_SQL, FLOWS_SQL, Y_SQL, decisions, flows, table
+from flowtriage.sources.workspace import durable
 
 
 def t01_file_split(spark, folder):
@@ -25,8 +26,9 @@ def t04_result_page(spark, folder):
 
 
 def t05_representative_log(spark, folder):
-    log = decisions(spark, folder).withColumn("true_label", F.col("y"))
-    return sampling.representative_log(log).select("step", "threat_score", "action", "true_label")
+    # The log is read four times, so it is stored first, as a decision log would be.
+    log = durable(decisions(spark, folder).select("step", "threat_score", "action", F.col("y").alias("true_label")))
+    return sampling.representative_log(log)
 
 
 def t06_sorted_distribution(spark, folder):

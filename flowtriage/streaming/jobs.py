@@ -106,7 +106,7 @@ def split_valid(records: DataFrame, required: list[str]) -> tuple[DataFrame, Dat
     """Usable rows and dead letters: a bad record is set aside, the stream goes on."""
     usable = F.lit(True)
     for column in required:
-        usable = usable & flow.finite_or_null(F.col(column).try_cast("double")).isNotNull()
+        usable = usable & F.coalesce(flow.is_finite(F.col(column).try_cast("double")), F.lit(False))
     tagged = records.withColumn("_usable", usable)
     return tagged.filter("_usable").drop("_usable"), tagged.filter("NOT _usable").drop("_usable")
 
