@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowtriage import schema as S
 from flowtriage.functions.flow import on_service_port
 from flowtriage.operators.metrics import scaler_statistics
+from flowtriage.sources.workspace import checkpoint_root
 
 
 # -- scaling and weighting ---------------------------------------------------
@@ -107,6 +108,7 @@ def train_detector(df: DataFrame, features: list[str], truth: str, settings: Det
     )
     if settings.eval_column:
         booster = booster.setValidationIndicatorCol(settings.eval_column)
+    checkpoint_root(df.sparkSession)  # long fits cut their lineage there
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assembler, booster]).fit(prepared)
 

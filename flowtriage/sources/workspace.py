@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only unset (tests) falls back to /tmp."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="flowtriage-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    """The shared folder the cluster names; only unset (tests) falls back to /tmp.
+
+    The context's own checkpoint folder is set along with it when missing, so
+    iterative fits can cut their lineage too.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    root = named or current or tempfile.mkdtemp(prefix="flowtriage-")
+    if not current:
+        context.setCheckpointDir(root)
+    return root
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
