@@ -120,6 +120,15 @@ def soc_message_field(msg: Column, field: str) -> Column:
     return F.try_element_at(F.str_to_map(msg, F.lit("; "), F.lit("=")), F.lit(field))
 
 
+def micros_of(ts: Column, kind: str) -> Column:
+    """Microseconds on a time axis; zone-less timestamps ignore the session zone."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(ts.cast("timestamp"))
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("long")
+    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + minutes * 60_000_000 + second
+
+
 def hash_order(row_id: Column, seed: int | str | Column) -> Column:
     """A reproducible shuffle key: the same rows always sort the same way."""
     suffix = seed if isinstance(seed, Column) else F.lit(str(seed))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
+from flowtriage.functions.flow import micros_of
 from flowtriage.operators.ordered import BLOCK_ROWS, block_of, preceding_totals
 
 # Columns a flow needs: key, order, time and the four observed attributes.
@@ -120,7 +121,7 @@ def behaviour_features(
     split = (
         ranked.withColumn("_run", F.explode(F.sequence(own, last)))
         .withColumn("_halo", F.col("_run") != own)
-        .withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")) if mode == "event_time" else F.lit(0))
+        .withColumn("_us", micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0))
     )
     keys = (source, "_run")
     capped = Window.partitionBy(*keys).orderBy("_us", step).rowsBetween(-(max_flows - 1), 0)

@@ -103,7 +103,7 @@ def train_detector(df: DataFrame, features: list[str], truth: str, settings: Det
         seed=settings.seed,
         # One task aggregates one node's histograms; keep many nodes per pass.
         maxMemoryInMB=512,
-        cacheNodeIds=True,
+        cacheNodeIds=False,
         checkpointInterval=10,
     )
     if settings.eval_column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
 from flowtriage.functions import triage
-from flowtriage.functions.flow import phase_load
+from flowtriage.functions.flow import micros_of, phase_load
 
 BLOCK_ROWS = 65_536
 BLOCKS_PER_GROUP = 1_024
@@ -124,7 +124,7 @@ def dense_step(df: DataFrame, order_by: str, out: str = "step", slices: int = 1_
     """
     key = F.col(order_by)
     dtype = dict(df.dtypes)[order_by]
-    number = F.unix_micros(key.cast("timestamp")) if dtype.startswith("timestamp") else key
+    number = micros_of(key, dtype) if dtype.startswith("timestamp") else key
     points = _constant_array((i / slices for i in range(1, slices)), "double")
     bounds = df.select(F.percentile_approx(number, points, 10 * slices).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtriage import schema as S
+from flowtriage.functions.flow import micros_of
 from flowtriage.operators.behaviour import ATTRIBUTES, behaviour_score
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -106,7 +107,7 @@ def stream_behaviour(
         flows = flows.withColumn("control", F.lit(None).cast("string"))
     narrow = flows.select(
         "src_ip", F.col("flow_id").cast("long").alias("flow_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *ATTRIBUTES, "control",
+        micros_of(F.col("ts"), dict(flows.dtypes)["ts"]).alias("us"), *ATTRIBUTES, "control",
     )
     measured = narrow.groupBy("src_ip").transformWithStateInPandas(
         SourceWindow(window_seconds, max_flows, ttl_hours * 3_600_000 if ttl_hours else None),

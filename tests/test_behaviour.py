@@ -103,3 +103,17 @@ def test_single_shuffle_of_rows_per_window_stage(spark):
     df = spark.createDataFrame(make_rows(50, seed=1), SCHEMA)
     plan = behaviour.behaviour_features(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_zoneless_times_ignore_the_session_zone(spark):
+    # Local times around a change to summer time, in a zone that has one.
+    start = datetime(2024, 3, 10, 1, 59, 30, 250_001)
+    rows = [(i, i + 1, start + timedelta(seconds=20 * i), "s", 80, 1.0, 1.0, 1.0) for i in range(10)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame(rows, SCHEMA.replace("ts timestamp", "ts timestamp_ntz"))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        found = collect(behaviour.behaviour_features(df))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert_same(found, brute_force(rows, 60, 200))
