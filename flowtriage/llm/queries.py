@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import decontamination, piece_codec, simhash, token_counts, toxicity
+from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, toxicity
 from flowtriage.llm.common import table
 
 #: Order of the toxicity chain; the last category decides.
@@ -30,6 +30,27 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+        "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    chats = chat_format.canonical_turns(chat_format.lay_out(turns.unionByName(probe)))
+    found = chat_format.read_formatted(chat_format.format_turns(chats))
+    joined = F.array_join(
+        F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    return found.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length("trained_text").cast("long").alias("loss_chars"),
+        F.sha2("trained_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +64,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_chat_format": op6_chat_format,
     "op8_simhash": op8_simhash,
     "op10_piece_codec": op10_piece_codec,
 }
