@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, toxicity
+from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, toxicity, warc
 from flowtriage.llm.common import table
+from flowtriage.sources.workspace import new_folder
 
 #: Order of the toxicity chain; the last category decides.
 CATEGORIES = ("quality", "toxic")
@@ -25,6 +26,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder, contents=False)
+    number = F.when(F.col("record_id") != "null", F.col("record_id")).cast("long")
+    return found.where(warc.sound(found)).select(
+        number.alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
@@ -63,10 +78,39 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op8_simhash": op8_simhash,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+          SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                 sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT p.page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+    "op6_chat_format": """
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+          SELECT *, regexp_replace(text, '(<|\\[)(\\\\*)(\\|[A-Za-z_]{1,32}\\|>|/?s>|/?INST\\]|/?SYS>)',
+                                   '\\1\\\\\\2\\3', 'g') AS body FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                 AS loss_sha256,
+               CAST(sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1)
+                 AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+}
