@@ -13,7 +13,9 @@ pre-token, where the tokenizer treats them as it always does.
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -26,9 +28,26 @@ FREQUENT, SAMPLED_DOCS, CACHED = 65_536, 2_000, 400_000
 LONGEST = 48
 PER_DOC = 4_096
 
+#: Text split at a time; bounds the memory of a task.
+SLICE = 1 << 20
+
+_SPACE = re.compile(rb"[ \t-\r]")
 _TOKENIZERS: dict = {}
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(index, part) of the texts, long ones cut at white space after each slice."""
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > SLICE:
+            space = _SPACE.search(text, at + SLICE)
+            if not space:
+                break
+            yield i, text[at : space.start()]
+            at = space.end()
+        yield i, text[at:] if at else text
+
+
 def _tokenizer(path: str):
     """One tokenizer per worker process."""
     if path not in _TOKENIZERS:
@@ -99,9 +118,9 @@ def count_tokens(
         first = dict(zip(words.split(b"\n"), np.frombuffer(lengths, np.uint16).tolist())) if words else {}
         known = dict(first)
 
-        def work(texts: list[bytes]):
+        def lengths(group: list[tuple[int, bytes]], counts: list[int]) -> None:
             nonlocal known
-            split = [t.split() for t in texts]
+            split = [part.split() for _, part in group]
             missing = set(chain.from_iterable(split)).difference(known)
             if missing:
                 if len(known) + len(missing) > len(first) + cached:
@@ -110,10 +129,21 @@ def count_tokens(
                 fresh = list(missing)
                 known.update(zip(fresh, _lengths(path, fresh)))
             get = known.__getitem__
-            counts = [sum(map(get, words)) for words in split]
+            for (i, _), words in zip(group, split):
+                counts[i] += sum(map(get, words))
             for word in missing:
                 if len(word) > LONGEST:
                     del known[word]
+
+        def work(texts: list[bytes]):
+            counts, group, size = [0] * len(texts), [], 0
+            for i, part in _slices(texts):
+                group.append((i, part))
+                size += len(part)
+                if size >= SLICE:
+                    lengths(group, counts)
+                    group, size = [], 0
+            lengths(group, counts)
             return [[len(t) for t in texts], counts, [n > max_tokens for n in counts]]
 
         return work
