@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, toxicity, warc
+from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, token_shards, toxicity, warc
 from flowtriage.llm.common import table
 from flowtriage.sources.workspace import new_folder
 
@@ -19,6 +19,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_chain(docs, fitted).withColumnRenamed("rejected", "toxic")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "shards")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    made = token_shards.write_shards(docs, folder, path, public_tokenizers.PATTERN, key="epoch-0")
+    return token_shards.read_slots(spark, folder, made).select(
+        "slot", "sequence", "shard", F.sha2("ids", 256).alias("ids_sha256")
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -77,6 +87,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_shards": op2_token_shards,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
