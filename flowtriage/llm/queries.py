@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import chat_format, decontamination, piece_codec, simhash, token_counts, token_shards, toxicity, warc
+from flowtriage.llm import chat_format, decontamination, metric_tree, piece_codec, simhash, token_counts, token_shards, toxicity, warc
 from flowtriage.llm.common import table
 from flowtriage.sources.workspace import new_folder
 
@@ -80,6 +80,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), path, contents=False)
@@ -93,6 +97,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_metric_tree": op9_metric_tree,
     "op10_piece_codec": op10_piece_codec,
 }
 
@@ -107,6 +112,20 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op9_metric_tree": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                 vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10
+    """,
     "op6_chat_format": """
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
