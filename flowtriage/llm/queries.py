@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import chat_format, decontamination, metric_tree, piece_codec, simhash, token_counts, token_shards, toxicity, warc
+from flowtriage.llm import chat_format, decontamination, metric_tree, page_text, piece_codec, simhash, token_counts, token_shards, toxicity, warc
 from flowtriage.llm.common import table
 from flowtriage.sources.workspace import new_folder
 
@@ -76,6 +76,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op7_page_text": op7_page_text,
     "op8_simhash": op8_simhash,
     "op9_metric_tree": op9_metric_tree,
     "op10_piece_codec": op10_piece_codec,
