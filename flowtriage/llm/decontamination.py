@@ -168,7 +168,7 @@ def decontaminate(
 
     Null and empty texts have no words and stay as they are, as do all texts if
     there are no items. Equal items are all found; items without an id hit
-    words but appear in no list. Equal documents give equal rows. Input columns
+    words and are counted but appear in no list. Equal documents give equal rows. Input columns
     named like a result are replaced.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(items, item_id, item_text, window))
@@ -193,7 +193,8 @@ def decontaminate(
                     at = places[last][1]
                 clean = b"".join([*rest, text_bytes[at:]])
             digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
-            return len(words), hit, len(found), ids, digest, cut, coverage, coverage > max_coverage, clean.decode()
+            n_items = len(ids) + sum(names[i] is None for i in found)
+            return len(words), hit, n_items, ids, digest, cut, coverage, coverage > max_coverage, clean.decode()
 
         return lambda texts: list(zip(*map(one, texts)))
 

@@ -30,7 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed moment written as the capture time of converted pages.
 DATE = "2024-01-01T00:00:00Z"
 _LEVEL, _CHUNK = 4, 1 << 16
-_LINE = re.compile(rb"(?:^|(?<=\n)|(?<=\0))WARC/1\.")
+#: Headers a record has at most once; a second one means that two records ran into each other.
+SINGLE = ("warc-type", "warc-record-id", "warc-date", "content-length", "content-type", "warc-payload-digest")
 
 
 def revisits(pages: DataFrame, key: str = "page_id", least: int = REVISIT_BYTES) -> DataFrame:
@@ -127,12 +128,16 @@ def _record(data: bytes, at: int) -> tuple[Found | None, str]:
     stop = data.find(BREAK, at)
     if stop < 0:
         return None, "header"
-    headers = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+    version, *lines = data[at:stop].split(b"\r\n")
+    if not version[len(VERSION) :].isdigit():
+        return None, "version"
+    headers: dict[str, str] = {}
+    for line in lines:
+        raw, colon, value = line.partition(b":")
+        name = raw.strip().lower().decode("latin-1")
+        if not colon or (name in headers and name in SINGLE):
             return None, "header"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        headers[name] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit():
         return None, "length"
     start = stop + len(BREAK)
@@ -184,8 +189,7 @@ def salvage(data: bytes) -> Iterator[Found]:
             continue
         start = at
         while at < size and not found:
-            line = _LINE.search(data, at + 1)
-            places = [p for p in (data.find(GZIP_START, at + 1), line.start() if line else -1) if p >= 0]
+            places = [p for p in (data.find(GZIP_START, at + 1), data.find(VERSION, at + 1)) if p >= 0]
             at = min(places, default=size)
             if at < size:
                 found, end, _ = _whole(data, at)
