@@ -1,8 +1,9 @@
 """Per-source sliding-window behaviour features.
 
 A flow's window is the last ``max_flows`` flows of its source that are not
-older than ``window_seconds``, itself included. Both limits cut off old flows
-only, so the window is the shorter of two suffixes ending at the flow.
+older than ``window_seconds``, itself included. One frame of rows collects the
+few attributes of at most ``max_flows`` flows; array functions then drop the
+old ones and measure the rest, so a flow costs at most ``max_flows`` steps.
 
 No source has to fit one task: flows are ranked within their source and cut
 into runs of ``block_rows``, each run preceded by a halo of ``max_flows - 1``
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
-from flowtriage.functions.flow import micros_of
+from flowtriage.functions.flow import micros_of, source_key
 from flowtriage.operators.ordered import BLOCK_ROWS, block_of, preceding_totals
 
 # Columns a flow needs: key, order, time and the four observed attributes.
@@ -27,25 +28,30 @@ RANK_BLOCKS = 64
 
 
 def with_source_rank(flows: DataFrame, source: str, step: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``src_rank``: 1, 2, ... within a source in step order.
+    """Add ``src_rank``: 1, 2, ... within a source in step order; no source is a source of its own.
 
     Flows of one source are ranked inside step blocks first; counts of the
     earlier blocks, aggregated map-side, lift the local rank to a global one.
     """
     block_rows *= RANK_BLOCKS
-    based = flows.withColumn("_sb", block_of(F.col(step), block_rows))
-    counts = based.groupBy(source, "_sb").agg(F.count("*").alias("n"))
-    offsets = preceding_totals(counts, "_sb", ["n"], keys=(source,))
-    local = based.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(source, "_sb").orderBy(step))
-    )
+    keys = ("_kn", "_kv", "_sb")
+    based = _with_plain_key(flows, source).withColumn("_sb", block_of(F.col(step), block_rows))
+    counts = based.groupBy(*keys).agg(F.count("*").alias("n"))
+    offsets = preceding_totals(counts, "_sb", ["n"], keys=keys[:2])
+    local = based.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(step)))
     return (
-        local.join(offsets, [source, "_sb"])
+        local.join(offsets, list(keys))
         .withColumn("src_rank", F.col("_rn") + F.col("before_n"))
-        .drop("_rn", "before_n", "_sb")
+        .drop("_rn", "before_n", *keys)
     )
 
 
+def _with_plain_key(flows: DataFrame, source: str) -> DataFrame:
+    """Two columns without nulls that identify the source, so equi-joins and windows share a partitioning."""
+    key = F.col(source).cast("string")
+    return flows.withColumns({"_kn": key.isNull(), "_kv": F.coalesce(key, F.lit(""))})
+
+
 def reset_spells(
     flows: DataFrame, reset: Column, source: str = "src_ip", step: str = "step", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -55,35 +61,68 @@ def reset_spells(
     key. Resets are summed per step block first, so hot sources stay split.
     """
     flag = F.coalesce(reset, F.lit(False)).cast("long")
-    based = flows.withColumn("_sb", block_of(F.col(step), block_rows * RANK_BLOCKS)).withColumn("_flag", flag)
-    totals = based.groupBy(source, "_sb").agg(F.sum("_flag").alias("resets"))
-    offsets = preceding_totals(totals, "_sb", ["resets"], keys=(source,))
-    within = Window.partitionBy(source, "_sb").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    keys = ("_kn", "_kv", "_sb")
+    based = _with_plain_key(flows, source).withColumns(
+        {"_sb": block_of(F.col(step), block_rows * RANK_BLOCKS), "_flag": flag}
+    )
+    totals = based.groupBy(*keys).agg(F.sum("_flag").alias("resets"))
+    offsets = preceding_totals(totals, "_sb", ["resets"], keys=keys[:2])
+    within = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     return (
         based.withColumn("_in", F.sum("_flag").over(within))
-        .join(offsets, [source, "_sb"])
+        .join(offsets, list(keys))
         .withColumn("spell", F.col("_in") + F.col("before_resets"))
-        .drop("_sb", "_flag", "_in", "before_resets")
+        .drop("_flag", "_in", "before_resets", *keys)
+    )
+
+
+def observed(micros: Column) -> Column:
+    """What a window keeps of a flow."""
+    return F.struct(
+        micros.alias("us"),
+        F.col("dst_port").cast("int").alias("port"),
+        F.col("flow_duration").cast("double").alias("duration"),
+        F.col("pkt_size_avg").cast("double").alias("size"),
+        F.col("totlen_fwd_pkts").cast("double").alias("sent"),
     )
 
 
-def _merge(before: Column, peers: Column) -> Column:
-    """Parts of the window: strictly earlier flows, and flows at the same instant."""
-    return F.coalesce(before, F.lit(0)) + peers
+def _mean(values: Column) -> Column:
+    """Mean of the non-null values; null if there is none."""
+    known = F.array_compact(values)
+    return F.aggregate(known, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(known), F.lit(0))
+
+
+def recent(window: Column, window_seconds: int) -> Column:
+    """The flows of a window, oldest first, that are not too old for its last one."""
+    oldest = F.element_at(window, -1)["us"] - window_seconds * 1_000_000
+    return F.filter(window, lambda flow: flow["us"] >= oldest)
 
 
-def _window_stats(frame, prefix: str) -> list[Column]:
-    duration, size = F.col("flow_duration"), F.col("pkt_size_avg")
-    return [
-        F.count(F.lit(1)).over(frame).alias(f"{prefix}n"),
-        F.min("_us").over(frame).alias(f"{prefix}first"),
-        F.count_if(duration < S.SHORT_FLOW_MICROS).over(frame).alias(f"{prefix}short"),
-        F.count_if(F.col("totlen_fwd_pkts") > S.LARGE_PAYLOAD_BYTES).over(frame).alias(f"{prefix}large"),
-        F.collect_set("dst_port").over(frame).alias(f"{prefix}ports"),
-        F.avg(duration).over(frame).alias(f"{prefix}dur"),
-        F.avg(size).over(frame).alias(f"{prefix}size"),
-        F.var_pop(size).over(frame).alias(f"{prefix}var"),
-    ]
+def measured(flows: DataFrame, window: str, timed: bool = True) -> DataFrame:
+    """Add the seven behaviour columns from ``window``, an array of ``observed`` flows, the current one last.
+
+    The windows hold at most ``max_flows`` flows, so a row costs that many
+    steps whatever its source has sent.
+    """
+    w = F.col(window)
+    n = F.size(w)
+    elapsed = F.greatest(F.lit(1.0), (F.element_at(w, -1)["us"] - w[0]["us"]) / 1e6) if timed else F.lit(1.0)
+    sizes = flows.withColumns(
+        {"_sizes": F.array_compact(F.transform(w, lambda flow: flow["size"])), "_n": n}
+    ).withColumn("_mean", _mean(F.col("_sizes")))
+    mean = F.col("_mean")
+    return sizes.withColumns(
+        {
+            "beh_conn_rate_per_min": n / elapsed * 60.0,
+            "beh_short_flow_ratio": F.size(F.filter(w, lambda f: f["duration"] < S.SHORT_FLOW_MICROS)) / n,
+            "beh_unique_dst_ports": F.size(F.array_distinct(F.array_compact(F.transform(w, lambda f: f["port"])))).cast("double"),
+            "beh_pkt_size_std": F.sqrt(_mean(F.transform("_sizes", lambda x: (x - mean) * (x - mean)))),
+            "beh_flow_count_window": n.cast("double"),
+            "beh_large_payload_ratio": F.size(F.filter(w, lambda f: f["sent"] > S.LARGE_PAYLOAD_BYTES)) / n,
+            "beh_avg_duration": _mean(F.transform(w, lambda f: f["duration"])),
+        }
+    ).drop("_sizes", "_n", "_mean")
 
 
 def behaviour_features(
@@ -104,8 +143,11 @@ def behaviour_features(
     ``mode="arrival"`` treats the table as arriving at one instant: only the
     row cap applies and elapsed time is one second. ``history`` holds flows
     seen earlier (see ``behaviour_tail``); they feed windows but are not
-    returned, and must precede all flows in step order.
+    returned, and must precede all flows in step order. A flow without a source
+    is keyed by its destination port (see ``source_key``); no row is lost.
     """
+    if mode not in ("event_time", "arrival"):
+        raise ValueError("mode must be 'event_time' or 'arrival'")
     columns = flows.columns
     if history is not None:
         flows = flows.withColumn("_old", F.lit(False)).unionByName(
@@ -113,82 +155,31 @@ def behaviour_features(
         )
     else:
         flows = flows.withColumn("_old", F.lit(False))
+    flows = flows.withColumn("_src", F.coalesce(source_key(F.col(source), F.col("dst_port")), F.lit("row_")))
     # History keeps its own numbering below the new flows, so steps may start
     # anywhere; only their order matters for ranking.
-    ranked = with_source_rank(flows, source, step, block_rows)
+    ranked = with_source_rank(flows, "_src", step, block_rows)
     own = block_of(F.col("src_rank"), block_rows)
     last = block_of(F.col("src_rank") + (max_flows - 1), block_rows)
+    micros = micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0).cast("long")
     split = (
         ranked.withColumn("_run", F.explode(F.sequence(own, last)))
         .withColumn("_halo", F.col("_run") != own)
-        .withColumn("_us", micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0))
+        .withColumn("_us", micros)
     )
-    keys = (source, "_run")
-    capped = Window.partitionBy(*keys).orderBy("_us", step).rowsBetween(-(max_flows - 1), 0)
-
-    if mode == "arrival":
-        measured = split.select("*", *_window_stats(capped, ""))
-        elapsed = F.lit(1.0)
-    elif mode == "event_time":
-        peers = Window.partitionBy(*keys, "_us").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-        earlier = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-window_seconds * 1_000_000, -1)
-        # The finest window last: the partitioning and order of the first serve all three.
-        parts = (
-            split.select("*", *_window_stats(capped, "c_"))
-            .select("*", *_window_stats(earlier, "e_"))
-            .select("*", *_window_stats(peers, "p_"))
-        )
-        measured = _shorter_suffix(parts, max_flows)
-        elapsed = F.greatest(F.lit(1.0), (F.col("_us") - F.col("first")) / 1e6)
-    else:
-        raise ValueError("mode must be 'event_time' or 'arrival'")
-
-    n = F.col("n")
-    features = {
-        "beh_conn_rate_per_min": n / elapsed * 60.0,
-        "beh_short_flow_ratio": F.col("short") / n,
-        "beh_unique_dst_ports": F.size("ports").cast("double"),
-        "beh_pkt_size_std": F.sqrt("var"),
-        "beh_flow_count_window": n.cast("double"),
-        "beh_large_payload_ratio": F.col("large") / n,
-        "beh_avg_duration": F.col("dur"),
-    }
+    capped = Window.partitionBy("_src", "_run").orderBy("_us", step).rowsBetween(-(max_flows - 1), 0)
+    kept = split.withColumn("_window", F.collect_list(observed(F.col("_us"))).over(capped)).filter(
+        ~F.col("_halo") & ~F.col("_old")
+    )
+    if mode == "event_time":
+        kept = kept.withColumn("_window", recent(F.col("_window"), window_seconds))
     return (
-        measured.filter(~F.col("_halo") & ~F.col("_old"))
-        .select(*columns, *[e.alias(c) for c, e in features.items()])
+        measured(kept, "_window", timed=mode == "event_time")
+        .select(*columns, *S.BEHAVIOUR_COLUMNS)
         .withColumn("behaviour_score", behaviour_score())
     )
 
 
-def _shorter_suffix(parts: DataFrame, max_flows: int) -> DataFrame:
-    """Combine both frames: the capped one when the timed one reaches the cap.
-
-    The timed frame is split at the current instant, because a value range
-    would also admit later flows of that instant; the two parts are merged
-    here (variances by the pairwise update).
-    """
-    c = F.col
-    timed_n = _merge(c("e_n"), c("p_n"))
-    e_n, p_n = c("e_n").cast("double"), c("p_n").cast("double")
-    gap = c("p_size") - c("e_size")
-    timed = {
-        "n": timed_n,
-        "first": F.least(c("e_first"), c("p_first")),
-        "short": _merge(c("e_short"), c("p_short")),
-        "large": _merge(c("e_large"), c("p_large")),
-        "ports": F.when(c("e_n") == 0, c("p_ports")).otherwise(F.array_union("e_ports", "p_ports")),
-        "dur": F.when(c("e_n") == 0, c("p_dur")).otherwise((c("e_dur") * e_n + c("p_dur") * p_n) / timed_n),
-        "var": F.when(c("e_n") == 0, c("p_var")).otherwise(
-            (c("e_var") * e_n + c("p_var") * p_n + gap * gap * e_n * p_n / timed_n) / timed_n
-        ),
-    }
-    full = timed_n >= max_flows
-    return parts.select(
-        *[x for x in parts.columns if x[:2] not in ("p_", "c_", "e_")],
-        *[F.when(full, c(f"c_{name}")).otherwise(value).alias(name) for name, value in timed.items()],
-    )
-
-
 def behaviour_score() -> Column:
     """Weighted, saturated mix of five behaviour columns, within [0, 1]."""
     c = F.col
@@ -217,9 +208,12 @@ def behaviour_tail(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The last ``max_flows`` flows of every source: the state a later run needs."""
-    ranked = with_source_rank(flows.select(source, step, ts, *ATTRIBUTES), source, step, block_rows)
-    totals = flows.groupBy(source).agg(F.count("*").alias("_last"))
-    return ranked.join(totals, source).filter(F.col("src_rank") > F.col("_last") - max_flows).drop("src_rank", "_last")
+    kept = flows.select(source, step, ts, *ATTRIBUTES)
+    keyed = kept.withColumn("_src", F.coalesce(source_key(F.col(source), F.col("dst_port")), F.lit("row_")))
+    ranked = with_source_rank(keyed, "_src", step, block_rows)
+    totals = keyed.groupBy("_src").agg(F.count("*").alias("_last"))
+    last = ranked.join(totals, "_src").filter(F.col("src_rank") > F.col("_last") - max_flows)
+    return last.drop("src_rank", "_last", "_src")
 
 
 def tracked_sources(flows: DataFrame, source: str = "src_ip", approximate: bool = False) -> DataFrame:

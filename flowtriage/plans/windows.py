@@ -36,6 +36,13 @@ def w01_arrival_window(spark, folder):
     return _windowed(spark, folder, [*S.BEHAVIOUR_COLUMNS, "behaviour_score"], cap=20, mode="arrival")
 
 
+def w01_missing_source(spark, folder):
+    """A quarter of the flows lack a source: they are keyed by port, and none is lost."""
+    df = flows(spark, folder).withColumn("src_ip", F.when(F.col("k") % 4 > 0, F.col("src_ip")))
+    found = behaviour_features(df, window_seconds=DAY_SECONDS, block_rows=BLOCK)
+    return found.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in _ALL])
+
+
 def w02_connection_rate(spark, folder):
     return _windowed(spark, folder, ["beh_conn_rate_per_min"])
 
@@ -134,7 +141,7 @@ def w18_exploration(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    w01_shorter_window, w01_arrival_window, w02_connection_rate, w03_short_flow_ratio, w04_unique_ports,
+    w01_shorter_window, w01_arrival_window, w01_missing_source, w02_connection_rate, w03_short_flow_ratio, w04_unique_ports,
     w05_packet_size_std, w06_flow_count, w07_large_payload_ratio, w08_average_duration, w09_behaviour_score,
     w10_behaviour_vector, w11_threat_density, w12_cumulative_reward, w13_running_metrics, w14_dense_step,
     w14_dense_step_by_time, w15_load_phase, w16_learning_phase, w17_progress_snapshots, w18_exploration,
@@ -158,6 +165,14 @@ _TIMED = "(PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL {hours} HOUR P
 _CAPPED = "(PARTITION BY src_ip ORDER BY ts ROWS BETWEEN {rows} PRECEDING AND CURRENT ROW)"
 
 WINDOW_SQL = FLOWS_SQL + f", suffix AS (SELECT *, {_stats(_TIMED.format(hours=24))} FROM flows), {_SCORED}"
+_KEYLESS_SQL = FLOWS_SQL + f""",
+keyed AS (SELECT * REPLACE (CASE WHEN k % 4 > 0 THEN src_ip ELSE 'row_' || CAST(dst_port AS VARCHAR(9)) END AS src_ip) FROM flows),
+timed AS (SELECT *, {_stats(_TIMED.format(hours=24))} FROM keyed),
+capped AS (SELECT flow_id, {_stats(_CAPPED.format(rows=199))} FROM keyed),
+suffix AS (
+  SELECT flow_id, ts, n, first, short, large, ports, dur, size_std FROM timed WHERE n < 200
+  UNION ALL SELECT c.flow_id, t.ts, c.n, c.first, c.short, c.large, c.ports, c.dur, c.size_std
+  FROM capped c JOIN timed t USING (flow_id) WHERE t.n >= 200), {_SCORED}"""
 _SHORTER_SQL = FLOWS_SQL + f""",
 timed AS (SELECT *, {_stats(_TIMED.format(hours=72))} FROM flows),
 capped AS (SELECT flow_id, {_stats(_CAPPED.format(rows=4))} FROM flows),
@@ -194,6 +209,7 @@ _W13 = "SELECT step, tp, fp, fn, tn, round(precision, 6) AS precision, round(rec
 ORACLES = {
     "w01_shorter_window": _SHORTER_SQL + _select(_ALL),
     "w01_arrival_window": _ARRIVAL_SQL + _select(_ALL),
+    "w01_missing_source": _KEYLESS_SQL + _select(_ALL),
     "w02_connection_rate": WINDOW_SQL + _select(["beh_conn_rate_per_min"]),
     "w03_short_flow_ratio": WINDOW_SQL + _select(["beh_short_flow_ratio"]),
     "w04_unique_ports": WINDOW_SQL + _select(["beh_unique_dst_ports"]),

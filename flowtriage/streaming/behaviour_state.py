@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtriage import schema as S
-from flowtriage.functions.flow import micros_of
-from flowtriage.operators.behaviour import ATTRIBUTES, behaviour_score
+from flowtriage.functions.flow import micros_of, source_key
+from flowtriage.operators.behaviour import ATTRIBUTES, behaviour_score, measured, recent
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -21,24 +20,24 @@ BUFFER_SCHEMA = T.StructType(
         T.StructField("port", T.IntegerType()),
         T.StructField("duration", T.DoubleType()),
         T.StructField("size", T.DoubleType()),
-        T.StructField("bytes", T.DoubleType()),
+        T.StructField("sent", T.DoubleType()),
     ]
 )
+#: What the state hands on: a flow and its window as one array per attribute.
 OUTPUT_SCHEMA = T.StructType(
-    [T.StructField("src_ip", T.StringType()), T.StructField("flow_id", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in S.BEHAVIOUR_COLUMNS]
+    [T.StructField("src_key", T.StringType()), T.StructField("flow_id", T.LongType())]
+    + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in BUFFER_SCHEMA]
 )
 
 
 class SourceWindow(StatefulProcessor):
-    """Keeps the last ``max_flows`` flows of a source and measures each new one.
+    """Keeps the last ``max_flows`` flows of a source and hands on each new one's window.
 
     A row whose ``control`` is 'reset' empties the source's buffer. State of
     silent sources expires after ``ttl_ms``, if given.
     """
 
-    def __init__(self, window_seconds: int, max_flows: int, ttl_ms: int | None) -> None:
-        self.window_us = window_seconds * 1_000_000
+    def __init__(self, max_flows: int, ttl_ms: int | None) -> None:
         self.max_flows = max_flows
         self.ttl_ms = ttl_ms
 
@@ -57,30 +56,15 @@ class SourceWindow(StatefulProcessor):
             if control == "reset":
                 kept = []
                 continue
-            kept.append((int(us), int(port), float(duration), float(size), float(sent)))
+            kept.append((us, port, duration, size, sent))
             del kept[: -self.max_flows]
-            result.append((key[0], int(flow_id), *self._measure(kept, int(us))))
+            result.append((key[0], flow_id, *map(list, zip(*kept))))
         if kept:
             self.buffer.put(kept)
         else:
             self.buffer.clear()
         yield pd.DataFrame(result, columns=OUTPUT_SCHEMA.names)
 
-    def _measure(self, kept: list[tuple], now: int) -> tuple:
-        window = [row for row in kept if row[0] >= now - self.window_us]
-        n = len(window)
-        us, ports, durations, sizes, sent = zip(*window)
-        elapsed = max(1.0, (now - us[0]) / 1e6)
-        return (
-            n / elapsed * 60.0,
-            sum(d < S.SHORT_FLOW_MICROS for d in durations) / n,
-            float(len(set(ports))),
-            float(np.std(sizes)),
-            float(n),
-            sum(b > S.LARGE_PAYLOAD_BYTES for b in sent) / n,
-            float(np.mean(durations)),
-        )
-
     def close(self) -> None:
         pass
 
@@ -93,6 +77,10 @@ def stream_behaviour(
 ) -> DataFrame:
     """Behaviour columns and score of every streamed flow.
 
+    The state only keeps flows; the measures are the column expressions that
+    tables use. ``src_ip`` comes out as the key: the source, or one made of the
+    destination port where a flow has none.
+
     Flows of one source must arrive in time order between micro-batches;
     within one they are ordered here. A source's share of a micro-batch is
     handled by one task, so limit the batch (``maxFilesPerTrigger`` and the
@@ -106,13 +94,17 @@ def stream_behaviour(
     if "control" not in flows.columns:
         flows = flows.withColumn("control", F.lit(None).cast("string"))
     narrow = flows.select(
-        "src_ip", F.col("flow_id").cast("long").alias("flow_id"),
+        F.coalesce(source_key(F.col("src_ip"), F.col("dst_port")), F.lit("row_")).alias("src_key"),
+        F.col("flow_id").cast("long").alias("flow_id"),
         micros_of(F.col("ts"), dict(flows.dtypes)["ts"]).alias("us"), *ATTRIBUTES, "control",
     )
-    measured = narrow.groupBy("src_ip").transformWithStateInPandas(
-        SourceWindow(window_seconds, max_flows, ttl_hours * 3_600_000 if ttl_hours else None),
+    windows = narrow.groupBy("src_key").transformWithStateInPandas(
+        SourceWindow(max_flows, ttl_hours * 3_600_000 if ttl_hours else None),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="append",
         timeMode="ProcessingTime" if ttl_hours else "None",
     )
-    return measured.withColumn("behaviour_score", behaviour_score())
+    window = recent(F.arrays_zip(*[f.name for f in BUFFER_SCHEMA]), window_seconds)
+    kept = windows.select(F.col("src_key").alias("src_ip"), "flow_id", window.alias("_window"))
+    found = measured(kept, "_window").select("src_ip", "flow_id", *S.BEHAVIOUR_COLUMNS)
+    return found.withColumn("behaviour_score", behaviour_score())

@@ -159,7 +159,9 @@ class BehaviourBatches:
         spelled = behaviour.reset_spells(everything, is_reset, block_rows=self.block_rows).filter(
             F.col("control").isNull() | ~is_reset
         )
-        keyed = spelled.withColumn("src_key", F.concat_ws("#", "src_ip", "spell"))
+        keyed = spelled.withColumn(
+            "src_key", F.concat_ws("#", flow.source_key(F.col("src_ip"), F.col("dst_port")), "spell")
+        )
         measured = behaviour.behaviour_features(
             keyed, self.seconds, self.max_flows, source="src_key", block_rows=self.block_rows
         ).filter(~F.col("_seen"))

@@ -117,3 +117,26 @@ def test_zoneless_times_ignore_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert_same(found, brute_force(rows, 60, 200))
+
+
+def test_flows_without_a_source_are_keyed_by_port(spark):
+    rows = [(*r[:3], None if i % 4 == 0 else r[3], *r[4:]) for i, r in enumerate(make_rows(400, seed=11))]
+    found = behaviour.behaviour_features(spark.createDataFrame(rows, SCHEMA), 60, 20, block_rows=30)
+    keyed = [(*r[:3], r[3] or f"row_{r[4]}", *r[4:]) for r in rows]
+    assert_same(collect(found), brute_force(keyed, 60, 20))
+    assert found.filter("src_ip IS NULL").count() == 100
+    ranks = behaviour.with_source_rank(spark.createDataFrame(rows, SCHEMA), "src_ip", "step", 16)
+    assert ranks.filter("src_ip IS NULL").agg(F.max("src_rank")).first()[0] == 100
+
+
+def test_a_hot_source_costs_its_cap_per_flow(spark):
+    import time
+
+    rows = spark.range(40_000).selectExpr(
+        "id AS flow_id", "id + 1 AS step", "timestamp_micros(id * 1500) AS ts", "'hot' AS src_ip",
+        "CAST(id % 50 AS INT) AS dst_port", "CAST(id % 2000 AS DOUBLE) AS flow_duration",
+        "CAST(id % 900 AS DOUBLE) AS pkt_size_avg", "CAST(id % 20000 AS DOUBLE) AS totlen_fwd_pkts",
+    )
+    started = time.time()
+    assert behaviour.behaviour_features(rows).filter("beh_flow_count_window = 200").count() == 40_000 - 199
+    assert time.time() - started < 60
