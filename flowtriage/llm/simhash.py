@@ -181,6 +181,8 @@ def near_duplicates(
     by_print = distinct.join(component, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least").alias("component_id")
     )
+    # As a table, so that both sides of the join are plain shuffles, whose hot fingerprints Spark splits.
+    by_print = durable(by_print, "simhash-components")
     return marked.join(by_print, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
