@@ -132,4 +132,4 @@ def micros_of(ts: Column, kind: str) -> Column:
 def hash_order(row_id: Column, seed: int | str | Column) -> Column:
     """A reproducible shuffle key: the same rows always sort the same way."""
     suffix = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat(row_id.cast("string"), F.lit(":"), suffix))
+    return F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), suffix))

@@ -9,7 +9,7 @@ Group sizes are fixed by the block size and do not depend on the data.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,27 +39,51 @@ def with_halo(df: DataFrame, step: Column, block_rows: int, halo_rows: int) -> D
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of ``left`` stay."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for key, name in names.items():
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    joined = left.join(other, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
+def row_positions(df: DataFrame, step: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number rows 1..N along a unique step that may have gaps."""
+    based = df.withColumn("_pb", block_of(F.col(step), block_rows))
+    offsets = preceding_totals(based.groupBy("_pb").agg(F.count("*").alias("n")), "_pb", ["n"])
+    local = based.withColumn(out, F.row_number().over(Window.partitionBy("_pb").orderBy(step)))
+    return local.join(offsets, "_pb").withColumn(out, F.col(out) + F.col("before_n")).drop("_pb", "before_n")
+
+
 def threat_density(
     df: DataFrame,
     score: str,
     step: str = "step",
     rows: int = S.DENSITY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """Mean of the latest ``rows`` scores, without and with the current row.
 
     ``density_before`` is what a decision sees (0 on the first row),
-    ``density_after`` what the following policy update sees.
+    ``density_after`` what the following policy update sees. Steps may have
+    gaps, as after a filter; rows are then numbered first. ``dense=True`` says
+    that the steps are 1..N without gaps and saves that shuffle.
     """
-    blocked = with_halo(df, F.col(step), block_rows, rows)
-    within = Window.partitionBy("block").orderBy(step)
+    place = step if dense else "_place"
+    placed = df if dense else row_positions(df, step, place, block_rows)
+    blocked = with_halo(placed, F.col(place), block_rows, rows)
+    within = Window.partitionBy("block").orderBy(place)
     before = F.avg(score).over(within.rowsBetween(-rows, -1))
     after = F.avg(score).over(within.rowsBetween(-rows + 1, 0))
     return (
         blocked.withColumn("density_before", F.coalesce(before, F.lit(0.0)))
         .withColumn("density_after", after)
         .filter(~F.col("halo"))
-        .drop("block", "halo")
+        .drop("block", "halo", "_place")
     )
 
 
@@ -192,11 +216,14 @@ def running_confusion(
 def load_phases(df: DataFrame, file: str, out: str = "analyst_load") -> DataFrame:
     """Analyst load by position of the row's file among all files, in name order.
 
+    Rows without a file come last. ``file`` may also be a chunk index. Columns
+    of the input keep their names, ``phase`` included.
+
     Only the list of distinct files is ordered; it is the table of input files
     and is joined without a hint, so its measured size decides the strategy.
     """
     files = df.select(file).distinct()
     ranked = files.select(
-        F.col(file), (F.dense_rank().over(Window.orderBy(file)) - 1).alias("phase")
+        F.col(file), (F.dense_rank().over(Window.orderBy(F.col(file).asc_nulls_last())) - 1).alias("_phase")
     )
-    return df.join(ranked, file).withColumn(out, phase_load(F.col("phase")))
+    return null_safe_join(df, ranked, [file]).withColumn(out, phase_load(F.col("_phase"))).drop("_phase")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
 from flowtriage.functions.flow import binary_label, hash_order, literal_map
-from flowtriage.operators.ordered import BLOCK_ROWS, block_of, preceding_totals
+from flowtriage.operators.ordered import BLOCK_ROWS, block_of, null_safe_join, preceding_totals
 
 SALTS = 256
 HASH_BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets
@@ -59,8 +59,7 @@ def hash_sample(
     )
     group = Window.partitionBy(*keys)
     ranked = (
-        df.withColumn("_hash", hash_order(F.col(row_id), seed))
-        .join(limits, keys)
+        null_safe_join(df.withColumn("_hash", hash_order(F.col(row_id), seed)), limits, keys)
         .filter(F.substring("_hash", 1, 8) <= F.col("_cut"))
         .withColumn(rank, F.row_number().over(group.orderBy("_hash")))
         .withColumn("_got", F.count("*").over(group))
@@ -88,7 +87,7 @@ def split_files(df: DataFrame, file: str, train_ratio: float = 0.8) -> DataFrame
 
 
 def with_split(df: DataFrame, file: str, train_ratio: float = 0.8) -> DataFrame:
-    return df.join(split_files(df, file, train_ratio), file)
+    return null_safe_join(df, split_files(df, file, train_ratio), [file])
 
 
 def calibration_sample(
@@ -111,7 +110,8 @@ def newest_class_seeds(
 ) -> DataFrame:
     """Per class, the seed rows of the newest chunk holding that class."""
     newest = df.groupBy(truth).agg(F.max(chunk).alias(chunk))
-    return class_seeds(df.join(newest, [truth, chunk], "left_semi"), chunk, truth, row_id, rows, seed)
+    of_newest = null_safe_join(df, newest, [truth, chunk], "left_semi")
+    return class_seeds(of_newest, chunk, truth, row_id, rows, seed)
 
 
 def augment_single_class(
@@ -131,21 +131,24 @@ def augment_single_class(
     latest chunk at or before it. ``look_ahead`` = 1 lets the first chunk
     borrow from its successor, as a reader that buffers two chunks does.
     Adds ``batch`` and ``is_seed``; if only one class exists, nothing trains.
+    Rows without a chunk are a chunk of their own, before all others.
     """
+    # Chunks go by their place in the order, which is never null.
     stats = df.groupBy(chunk).agg(F.min(truth).alias("lo"), F.max(truth).alias("hi"))
     # The list of chunks is the list of input files or file parts.
     ordered = Window.orderBy(chunk)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    plan = stats.select(
+    numbered = stats.withColumn("pos", F.row_number().over(ordered))
+    ordered, so_far = Window.orderBy("pos"), Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    plan = numbered.select(
         chunk,
         "lo",
         "hi",
-        F.row_number().over(ordered).alias("pos"),
-        F.max(F.when(F.col("lo") == 0, F.col(chunk))).over(so_far).alias("seen_0"),
-        F.max(F.when(F.col("hi") == 1, F.col(chunk))).over(so_far).alias("seen_1"),
+        "pos",
+        F.max(F.when(F.col("lo") == 0, F.col("pos"))).over(so_far).alias("seen_0"),
+        F.max(F.when(F.col("hi") == 1, F.col("pos"))).over(so_far).alias("seen_1"),
         F.lead("lo").over(ordered).alias("next_lo"),
         F.lead("hi").over(ordered).alias("next_hi"),
-        F.lead(chunk).over(ordered).alias("next_chunk"),
+        F.lead("pos").over(ordered).alias("next_chunk"),
     )
     if look_ahead:
         first = F.col("pos") == 1
@@ -156,33 +159,33 @@ def augment_single_class(
         )
     ready = F.col("seen_0").isNotNull() & F.col("seen_1").isNotNull()
     plan = plan.withColumn(
-        "batch",
-        F.when(ready, F.col(chunk)).otherwise(
-            F.min(F.when(ready, F.col(chunk))).over(Window.orderBy(chunk).rowsBetween(0, Window.unboundedFollowing))
+        "_batch",
+        F.when(ready, F.col("pos")).otherwise(
+            F.min(F.when(ready, F.col("pos"))).over(ordered.rowsBetween(0, Window.unboundedFollowing))
         ),
-    ).filter(F.col("batch").isNotNull())
-    own_rows = (
-        df.join(plan.select(chunk, "batch"), chunk).withColumn("is_seed", F.lit(False))
-    )
+    ).filter(F.col("_batch").isNotNull())
+    named = plan.select(F.col(chunk).alias("batch"), F.col("pos").alias("_batch"))
+    placed = null_safe_join(df, plan.select(chunk, F.col("pos").alias("_pos"), "_batch"), [chunk])
+    own_rows = placed.withColumn("is_seed", F.lit(False))
     # A merged batch holds both classes already, so only single-class batches borrow.
     needs = (
-        plan.groupBy("batch")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("seen_0", chunk).alias("seen_0"),
-             F.max_by("seen_1", chunk).alias("seen_1"))
+        plan.groupBy("_batch")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("seen_0", "pos").alias("seen_0"),
+             F.max_by("seen_1", "pos").alias("seen_1"))
         .filter(F.col("lo") == F.col("hi"))
         .select(
-            "batch",
+            "_batch",
             (1 - F.col("lo")).alias(truth),
-            F.when(F.col("lo") == 1, F.col("seen_0")).otherwise(F.col("seen_1")).alias(chunk),
+            F.when(F.col("lo") == 1, F.col("seen_0")).otherwise(F.col("seen_1")).alias("_pos"),
         )
     )
-    lenders = df.join(needs.select(chunk, truth).distinct(), [chunk, truth], "left_semi")
+    lenders = placed.drop("_batch").join(needs.select("_pos", truth).distinct(), ["_pos", truth], "left_semi")
     borrowed = (
-        class_seeds(lenders, chunk, truth, row_id, rows, seed)
-        .join(needs, [chunk, truth])
+        class_seeds(lenders, "_pos", truth, row_id, rows, seed)
+        .join(needs, ["_pos", truth])
         .withColumn("is_seed", F.lit(True))
     )
-    return own_rows.unionByName(borrowed)
+    return own_rows.unionByName(borrowed).join(named, "_batch").drop("_batch", "_pos")
 
 
 def ratio_sample(

@@ -161,7 +161,7 @@ def a18_kpi_counters(spark, folder):
 
 def learned_policy(spark, folder):
     """Policy folded from the logged decisions, starting empty."""
-    placed = threat_density(decisions(spark, folder), "threat_score", block_rows=BLOCK)
+    placed = threat_density(decisions(spark, folder), "threat_score", block_rows=BLOCK, dense=True)
     state = triage.state_columns(F.col("threat_score"), F.col("analyst_load"), F.col("density_after"), F.col("dst_port"))
     # The fold reads its updates three times; the density windows run once.
     updates = durable(placed.withColumns(state).select(*policy.CELL, "reward", "step"))

@@ -94,7 +94,7 @@ def l10_specialist_detectors(spark, folder):
 
 
 def l11_calibration_eligibility(spark, folder):
-    sample = sampling.calibration_sample(_labelled(spark, folder), "chunk", "flow_id", divisor=100)
+    sample = sampling.calibration_sample(_labelled(spark, folder), "chunk", "flow_id")
     by_port = models.can_calibrate(sample, F.col("y"), by=["dst_port"])
     return by_port
 
@@ -141,6 +141,6 @@ SELECT count(*) AS n, round(avg(y), 5) AS label_rate, round(avg(score), 4) AS me
 FROM decisions JOIN calibrated ON s = threat_score""",
     "l11_calibration_eligibility": DECISIONS_SQL + f"""
 , cal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY {_HASH}) AS rn, count(*) OVER (PARTITION BY chunk) AS c FROM decisions)
-  WHERE rn <= least(c // 100, 10000))
+  WHERE rn <= least(c // 20, 10000))
 SELECT dst_port, count(*) AS n, count(*) >= 10 AND min(y) = 0 AND max(y) = 1 AS eligible FROM cal GROUP BY 1""",
 }

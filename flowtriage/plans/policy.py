@@ -34,7 +34,7 @@ def fixture_policy(spark):
 
 
 def dense(spark, folder):
-    return threat_density(decisions(spark, folder), "threat_score", block_rows=BLOCK)
+    return threat_density(decisions(spark, folder), "threat_score", block_rows=BLOCK, dense=True)
 
 
 def _decided(spark, folder):

@@ -49,12 +49,12 @@ def m02_class_seeds(spark, folder):
     return seeds.select("chunk", "y", "flow_id")
 
 
-# Chunks with one class only: 0 and 1 benign (they wait), 4 attacks, 6 benign.
-_ONE_CLASS = "(chunk NOT IN (0, 1, 6) OR y = 0) AND (chunk <> 4 OR y = 1)"
+# Every row in a chunk; chunks with one class only: 0 and 1 benign (they wait), 4 attacks, 6 benign.
+_ONE_CLASS = "CASE WHEN y = 1 AND chunk IN (0, 1, 6) THEN chunk + 2 WHEN y = 0 AND chunk = 4 THEN 5 ELSE chunk END"
 
 
 def m03_single_class_augmentation(spark, folder):
-    df = _with_y(spark, folder).filter(_ONE_CLASS)
+    df = _with_y(spark, folder).withColumn("chunk", F.expr(_ONE_CLASS))
     return sampling.augment_single_class(df, "chunk", "y", "flow_id", rows=200).select("batch", "chunk", "y", "flow_id", "is_seed")
 
 
@@ -118,7 +118,7 @@ WHERE stratum = 'dismissed' AND pos % greatest(1, pool // room) = 0 AND pos // g
 SELECT chunk, y, flow_id FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_HASH}) AS rn FROM (
   SELECT *, max(chunk) OVER (PARTITION BY y) AS newest FROM yed) WHERE chunk = newest) WHERE rn <= 200""",
     "m03_single_class_augmentation": FLOWS_SQL + f""", {_YED},
-kept AS (SELECT * FROM yed WHERE {_ONE_CLASS}),
+kept AS (SELECT * REPLACE (CAST({_ONE_CLASS} AS INT) AS chunk) FROM yed),
 seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk, y ORDER BY {_HASH}) AS rn FROM kept) WHERE rn <= 200)
 SELECT greatest(chunk, 2) AS batch, chunk, y, flow_id, false AS is_seed FROM kept
 UNION ALL SELECT 4, chunk, y, flow_id, true FROM seeds WHERE chunk = 3 AND y = 0

@@ -62,8 +62,10 @@ def r05_progress_snapshots(spark, folder):
 
 
 def r06_header_and_summary(spark, folder):
-    header = jobs.stream_header(_triaged(flows(spark, folder)))
-    return header.withColumn("kind", F.lit("header"))
+    triaged = _triaged(flows(spark, folder))
+    header = jobs.stream_header(triaged).withColumn("kind", F.lit("header"))
+    done = jobs.stream_summary(triaged).withColumn("kind", F.lit("done"))
+    return header.unionByName(done, allowMissingColumns=True)
 
 
 def r07_dead_letters(spark, folder):
@@ -78,9 +80,8 @@ def r07_dead_letters(spark, folder):
 
 
 def r08_event_time_windows(spark, folder):
-    windows = jobs.windowed_behaviour(flow_stream(spark, folder), "1 hour", "24 hours", "12 hours")
-    done = jobs.run_to_table(windows)
-    return done.select("src_ip", F.unix_seconds("window_start").alias("start"), "flows", "short", F.round("avg_duration", 5).alias("avg_duration"))
+    done = jobs.all_windows(flow_stream(spark, folder), flows(spark, folder), "1 hour", "24 hours", "12 hours")
+    return done.select("src_ip", F.unix_seconds("window_start").alias("start"), "flows", "short", "ports", F.round("avg_duration", 5).alias("avg_duration"))
 
 
 def r09_state_reset(spark, folder):
@@ -118,16 +119,22 @@ FROM (SELECT *, CAST(tp AS DOUBLE)/greatest(tp+fp,1) AS precision, CAST(tp AS DO
     "r05_progress_snapshots": _COUNTS_SQL + """
 SELECT step, round(cumulative_reward, 0) AS cumulative_reward, CAST(round_even(precision, 4) AS DOUBLE) AS precision,
   CAST(round_even(recall, 4) AS DOUBLE) AS recall, CAST(round_even(f1, 4) AS DOUBLE) AS f1 FROM series WHERE step % 1000 = 0""",
-    "r06_header_and_summary": FLOWS_SQL + f"""
-SELECT 'header' AS kind, count(*) AS total, count(*) FILTER (WHERE {Y_SQL} = 1) AS n_attacks, count(*) FILTER (WHERE {Y_SQL} = 0) AS n_benign FROM flows""",
+    "r06_header_and_summary": _TRIAGED_SQL + f""",
+counts AS (SELECT {confusion_sql('action >= 1')} FROM triaged),
+rates AS (SELECT *, CAST(tp AS DOUBLE)/greatest(tp+fp,1) AS precision, CAST(tp AS DOUBLE)/greatest(tp+fn,1) AS recall,
+  CAST(fp AS DOUBLE)/greatest(fp+tn,1) AS fpr FROM counts)
+SELECT 'header' AS kind, count(*) AS total, count(*) FILTER (WHERE {Y_SQL} = 1) AS n_attacks, count(*) FILTER (WHERE {Y_SQL} = 0) AS n_benign,
+  NULL::BIGINT AS tp, NULL::BIGINT AS fp, NULL::BIGINT AS fn, NULL::BIGINT AS tn, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, NULL::DOUBLE AS f1, NULL::DOUBLE AS fpr FROM flows
+UNION ALL SELECT 'done', tp + fp + fn + tn, NULL, NULL, tp, fp, fn, tn, CAST(round_even(precision, 4) AS DOUBLE), CAST(round_even(recall, 4) AS DOUBLE),
+  CAST(round_even(2*precision*recall/greatest(precision+recall, 1e-9), 4) AS DOUBLE), CAST(round_even(fpr, 4) AS DOUBLE) FROM rates""",
     "r07_dead_letters": FLOWS_SQL + """
 SELECT CASE WHEN k % 6 IN (0, 1, 2) THEN 'dead' ELSE 'usable' END AS part, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids FROM flows GROUP BY 1""",
     "r08_event_time_windows": FLOWS_SQL + """,
-spread AS (SELECT src_ip, flow_duration, CAST(epoch(ts) AS BIGINT) // 43200 * 43200 - s.back AS start
+spread AS (SELECT src_ip, flow_duration, dst_port, CAST(epoch(ts) AS BIGINT) // 43200 * 43200 - s.back AS start
   FROM flows, (VALUES (0), (43200)) s(back))
 SELECT src_ip, CAST(start AS BIGINT) AS start, count(*) AS flows, count(*) FILTER (WHERE flow_duration < 1000) AS short,
-  round(avg(flow_duration), 5) AS avg_duration
-FROM spread WHERE start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM flows) GROUP BY 1, 2""",
+  count(DISTINCT dst_port) AS ports, round(avg(flow_duration), 5) AS avg_duration
+FROM spread GROUP BY 1, 2""",
     "r09_state_reset": FLOWS_SQL + """,
 spells AS (SELECT *, count(*) FILTER (WHERE k = 0) OVER (PARTITION BY src_ip ORDER BY step ROWS UNBOUNDED PRECEDING) AS spell FROM flows),
 counted AS (SELECT flow_id, k, count(*) FILTER (WHERE k > 0) OVER (PARTITION BY src_ip, spell ORDER BY ts RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) AS c,

