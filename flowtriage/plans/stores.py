@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtriage.operators import behaviour, policy
+from flowtriage import schema as S
+from flowtriage.functions import flow
+from flowtriage.operators import behaviour, models, policy
 from flowtriage.plans.aggregates import LEARNED_SQL, learned_policy
+from flowtriage.plans.models import ORACLES as MODEL_SQL
 from flowtriage.plans.samples import ORACLES as SAMPLE_SQL
 from flowtriage.plans.scans import CANONICAL, LONG_HEADERS, SNAKE_HEADERS, in_dialect
 from flowtriage.plans.tables import ACTION_SQL, DECISIONS_SQL, FLOWS_SQL, decisions, flows
@@ -49,6 +52,68 @@ def s03_mixed_directory(spark, folder):
     return _shown(readers.read_flows(spark, _captures(spark, folder), uniform=["part-*"]))
 
 
+def s03_shuffled_headers(spark, folder):
+    """CSV files with the same columns in two orders, mapped by name."""
+    target = new_folder(spark, "shuffled")
+    snake = in_dialect(spark, folder, {**SNAKE_HEADERS, "src_port": "flow_id"})
+    names = [c for c in snake.columns if c != "flow_id"]
+    for part, order in ((0, names), (1, names[::-1])):
+        snake.filter(F.col("flow_id") % 2 == part).select(*order).write.mode("append").csv(target, header=True)
+    return _shown(readers.read_flows(spark, target)).drop("kind")
+
+
+def s06_soc_events(spark, folder):
+    """Events as a SOC export: a CSV file, read back with parsed times and scored by the additive rules."""
+    path = new_folder(spark, "soc")
+    events = flows(spark, folder)
+    given = {
+        "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        "event_type": F.when(F.col("k") % 3 == 0, "service_install").otherwise("logon_failure"),
+        "severity": (F.col("k") % 5).cast("string"),
+        "is_internal_src": (F.col("k") % 2).cast("string"),
+        "src_ip": F.col("src_ip"),
+        "msg": F.concat(F.lit("flow="), F.col("flow_id").cast("string"), F.lit("; country="), F.when(F.col("k") % 7 == 0, "CN").otherwise("DE")),
+    }
+    row = [given.get(f.name, F.lit(None)).cast("string").alias(f.name) for f in S.SOC_EVENT_SCHEMA]
+    events.select(*row).write.csv(path, header=True)
+    read, _ = readers.read_soc_events(spark, path)
+    country = flow.soc_message_field(F.col("msg"), "country")
+    score = flow.suspicion_score(
+        F.col("severity").cast("int"), F.col("event_type"), F.col("is_internal_src").cast("int"), country, F.lit("x"),
+    )
+    return read.select(
+        flow.soc_message_field(F.col("msg"), "flow").cast("long").alias("flow_id"),
+        F.unix_timestamp("timestamp").alias("second"), country.alias("country"), F.round(score, 2).alias("suspicion"),
+    )
+
+
+def s07_upload(spark, folder):
+    """One CSV table as a user would upload it."""
+    target = new_folder(spark, "upload")
+    snake = in_dialect(spark, folder, {**SNAKE_HEADERS, "src_port": "flow_id"}).drop("flow_id")
+    snake.coalesce(1).write.csv(target, header=True)  # an upload is one file
+    (path,) = readers.list_files(spark, target)
+    return _shown(readers.read_upload(spark, path)).drop("kind")
+
+
+def s10_stored_models(spark, folder):
+    """Scaler and calibrator stored and loaded; loaded ones equal those fitted."""
+    root = new_folder(spark, "models")
+    rows = decisions(spark, folder)
+    mean, scale = rows.agg(F.avg("threat_score"), F.stddev_pop("threat_score")).first()
+    sinks.load_scaler(spark, f"{root}/scaler", lambda: {"threat_score": (mean, scale)})
+    stored = sinks.load_scaler(spark, f"{root}/scaler", lambda: {})
+    fit = lambda: models.fit_calibrator(rows, F.col("threat_score"), F.col("y"))
+    sinks.load_calibrator(f"{root}/calibrator", fit)
+    model, loaded = sinks.load_calibrator(f"{root}/calibrator", fit)
+    scores = rows.select("threat_score").distinct()
+    known = stored["threat_score"]
+    return models.calibrate(scores, model, "threat_score", "calibrated").select(
+        "threat_score", F.round("calibrated", 5).alias("calibrated"), F.lit(loaded).alias("loaded"),
+        F.round((F.col("threat_score") - known[0]) / known[1], 4).alias("scaled"),
+    )
+
+
 def s04_allow_list(spark, folder):
     return _shown(_only(spark, folder, ".parquet"))
 
@@ -93,7 +158,7 @@ def s11_behaviour_tail(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    s02_csv_scan, s03_mixed_directory, s04_allow_list, s08_state_counters, s09_policy_store, s11_behaviour_tail, s12_state_log,
+    s02_csv_scan, s03_mixed_directory, s03_shuffled_headers, s06_soc_events, s07_upload, s10_stored_models, s04_allow_list, s08_state_counters, s09_policy_store, s11_behaviour_tail, s12_state_log,
 )}
 
 _COLUMNS = ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 2) AS {c}" for c in CANONICAL.values())
@@ -101,9 +166,22 @@ _CAPTURED = FLOWS_SQL + f"""
 SELECT flow_id, CASE WHEN flow_id % 2 = 0 THEN 'csv' ELSE 'parquet' END AS kind, {_COLUMNS}, trim(label) AS label,
   CAST(6 AS INT) AS coverage FROM flows"""
 
+_ALL_CAPTURED = _CAPTURED.replace("CASE WHEN flow_id % 2 = 0 THEN 'csv' ELSE 'parquet' END AS kind, ", "")
+
 ORACLES = {
     "s02_csv_scan": _CAPTURED + " WHERE flow_id % 2 = 0",
     "s03_mixed_directory": _CAPTURED,
+    "s03_shuffled_headers": _ALL_CAPTURED,
+    "s06_soc_events": FLOWS_SQL + """
+SELECT flow_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second, CASE WHEN k % 7 = 0 THEN 'CN' ELSE 'DE' END AS country,
+  round(least(0.95e0, 0.04e0 + CASE WHEN k % 5 >= 3 THEN 0.15e0 ELSE 0 END + CASE WHEN k % 5 = 4 THEN 0.10e0 ELSE 0 END
+    + CASE WHEN k % 3 = 0 THEN 0.35e0 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 0.05e0 ELSE 0 END
+    + CASE WHEN k % 7 = 0 THEN 0.10e0 ELSE 0 END), 2) AS suspicion FROM flows""",
+    "s07_upload": _ALL_CAPTURED,
+    "s10_stored_models": MODEL_SQL["l06_isotonic_calibration"].replace(
+        "SELECT s AS threat_score, round(calibrated, 5) AS calibrated FROM fits",
+        """SELECT s AS threat_score, round(calibrated, 5) AS calibrated, true AS loaded,
+  round((s - (SELECT avg(threat_score) FROM decisions)) / (SELECT stddev_pop(threat_score) FROM decisions), 4) AS scaled FROM fits"""),
     "s04_allow_list": _CAPTURED + " WHERE flow_id % 2 = 1",
     "s08_state_counters": DECISIONS_SQL + """
 SELECT count(*) AS events_captured, count(*) FILTER (WHERE y = 1 AND action = 0) AS failed_requests,

@@ -48,7 +48,9 @@ def group_by_header(spark: SparkSession, files: list[str], uniform: Iterable[str
     """Files grouped by identical header, so each group is one scan.
 
     Headers are looked up on driver threads. Files matching a pattern in
-    ``uniform`` are declared to share one header; only one of them is opened.
+    ``uniform`` are declared to share one header; only one of them is opened
+    here, and the scan fails on a CSV file whose header differs. A header with
+    repeated names cannot be checked by the scan, so such files are all opened.
     """
     patterns = list(uniform)
     sets: dict[str, list[str]] = {}
@@ -60,18 +62,28 @@ def group_by_header(spark: SparkSession, files: list[str], uniform: Iterable[str
         headers = list(pool.map(lambda members: _header(spark, members[0]), sets.values()))
     groups: dict[tuple, list[str]] = {}
     for header, members in zip(headers, sets.values()):
-        groups.setdefault(header, []).extend(members)
+        if header[0] == "csv" and len(members) > 1 and not _unique(header[1]):
+            for path in members:
+                groups.setdefault(_header(spark, path), []).append(path)
+        else:
+            groups.setdefault(header, []).extend(members)
     return list(groups.items())
 
 
+def _unique(names: tuple[str, ...]) -> bool:
+    return all(names) and len({n.lower() for n in names}) == len(names)
+
+
 def _scan(spark: SparkSession, header: tuple, paths: list[str]) -> DataFrame:
     """One scan of files sharing a header, with ``_file`` last."""
     kind, names, _ = header
     if kind == "parquet":
         raw = spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
     else:
-        text = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.csv(paths, header=True, schema=text, mode="PERMISSIVE")
+        # With the names known, Spark compares them with each file's own header.
+        checked = _unique(names)
+        text = T.StructType([T.StructField(n if checked else f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+        raw = spark.read.csv(paths, header=True, schema=text, mode="PERMISSIVE", enforceSchema=not checked)
     return raw.select("*", F.col("_metadata.file_name").alias("_file")).toDF(*names, "_file")
 
 
@@ -120,7 +132,7 @@ def read_upload(spark: SparkSession, path: str, on_bad: str = "drop") -> DataFra
     cleaned = canonicalise(raw, on_bad=on_bad, keep={"source_file": F.col("_file")}, transport=True)
     if cleaned.isEmpty():
         raise ValueError("no usable rows after cleaning")
-    return cleaned
+    return cleaned.withColumn("coverage", F.lit(feature_coverage(header[1], False)))
 
 
 def read_soc_events(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> tuple[DataFrame, str]:

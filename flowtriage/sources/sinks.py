@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from py4j.protocol import Py4JJavaError
 
 from flowtriage import schema as S
 from flowtriage.operators.metrics import kpi_counters
 from flowtriage.operators.policy import empty_policy, migrate_without_ports
 from flowtriage.operators.sampling import representative_log
+from flowtriage.sources.workspace import exists, subfolders
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -52,19 +51,24 @@ def save_version(df: DataFrame, folder: str, version: int) -> None:
 
 
 def load_version(spark: SparkSession, folder: str, at_most: int | None = None) -> tuple[DataFrame | None, int]:
-    """Newest version (not above ``at_most``) and its number; (None, -1) if there is none."""
-    try:
-        everything = spark.read.option("basePath", folder).parquet(folder)
-    except AnalysisException:
-        return None, -1
-    versions = everything.select("version").distinct()
-    if at_most is not None:
-        versions = versions.filter(F.col("version") <= at_most)
-    newest = versions.agg(F.max("version")).first()[0]
+    """Newest version (not above ``at_most``) and its number; (None, -1) if there is none.
+
+    Only the folder is listed. Faults other than a missing folder are raised,
+    so a store that fails for a moment never looks empty.
+    """
+    root = folder.rstrip("/")
+    numbers = [
+        int(name.removeprefix("version="))
+        for name in subfolders(spark, root)
+        if name.startswith("version=") and name.removeprefix("version=").isdigit()
+    ]
+    numbers = sorted((n for n in numbers if at_most is None or n <= at_most), reverse=True)
+    # A version counts once its job has committed.
+    newest = next((n for n in numbers if exists(spark, f"{root}/version={n}/_SUCCESS")), None)
     if newest is None:
         return None, -1
     # Read that version's files alone, so other versions may have other columns.
-    return spark.read.parquet(f"{folder.rstrip('/')}/version={newest}"), int(newest)
+    return spark.read.parquet(f"{root}/version={newest}"), newest
 
 
 def save_policy(policy: DataFrame, folder: str, version: int | None = None) -> int:
@@ -107,13 +111,16 @@ def _is_fitted(model) -> bool:
 
 
 def load_or_fit(load: Callable[[], object], fit: Callable[[], object], path: str) -> tuple[object, bool]:
-    """A stored model if it loads and is fitted, else a new fit, which is stored."""
-    try:
+    """A stored model if there is a fitted one, else a new fit, which is stored.
+
+    Only an absent model, or one stored before it was fitted, is replaced. A
+    model that cannot be read raises and stays as it is.
+    """
+    spark = SparkSession.active()
+    if exists(spark, path):
         model = load()
         if _is_fitted(model):
             return model, True
-    except (Py4JJavaError, AnalysisException, ValueError, OSError):
-        pass
     model = fit()
     save_model(model, path)
     return model, False
@@ -133,11 +140,8 @@ def save_scaler(spark: SparkSession, scaler: dict[str, tuple[float, float]], pat
 
 
 def load_scaler(spark: SparkSession, path: str, fit: Callable[[], dict]) -> dict[str, tuple[float, float]]:
-    """The stored scaler (one row per feature), or a new one if none is readable."""
-    try:
-        rows = spark.read.parquet(path).select("feature", "mean", "scale").collect()
-    except AnalysisException:
-        rows = []
+    """The stored scaler (one row per feature), or a new one if there is none."""
+    rows = spark.read.parquet(path).select("feature", "mean", "scale").collect() if exists(spark, path) else []
     if rows:
         return {r["feature"]: (r["mean"], r["scale"]) for r in rows}
     scaler = fit()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from flowtriage import schema as S
 from flowtriage.operators import ordered
 
 
@@ -62,5 +63,23 @@ def test_dense_step_small(spark):
 
 
 def test_no_pass_over_rows_in_one_partition(scored):
-    plan = ordered.threat_density(scored, "score")._jdf.queryExecution().executedPlan().toString()
+    plan = ordered.threat_density(scored, "score", dense=True)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_density_counts_rows_not_steps(spark):
+    rows = [(s, (s * 37 % 101) / 100) for s in range(1, 2_000) if s % 10]
+    found = ordered.threat_density(spark.createDataFrame(rows, "step long, score double"), "score", block_rows=150).collect()
+    scores = [x for _, x in rows]
+    place = {s: i for i, (s, _) in enumerate(rows)}
+    assert len(found) == len(rows)
+    for r in found:
+        i = place[r["step"]]
+        before = scores[max(0, i - 100) : i]
+        assert abs(r["density_before"] - (sum(before) / len(before) if before else 0.0)) < 1e-9
+
+
+def test_load_phases_keep_all_rows_and_columns(spark):
+    rows = spark.createDataFrame([(1, "b", 9), (2, None, 9), (3, "a", 9)], "id long, file string, phase int")
+    found = {r["id"]: (r["analyst_load"], r["phase"]) for r in ordered.load_phases(rows, "file").collect()}
+    assert found == {3: (S.LOAD_PHASES[0], 9), 1: (S.LOAD_PHASES[1], 9), 2: (S.LOAD_PHASES[2], 9)}

@@ -137,3 +137,13 @@ def test_preferred_source(spark):
     df = spark.createDataFrame(data, "id long, label string, file string")
     # The preferred file of SQL Injection is not part of the input, so its row stays.
     assert sorted(r["id"] for r in sampling.preferred_source_filter(df, "label", "file").collect()) == [1, 3, 4]
+
+
+def test_rows_without_a_key_are_kept(spark):
+    rows = [(i, None if i % 4 == 0 else i % 4, i % 2, None if i % 10 == 0 else f"f{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, chunk int, y int, file string")
+    assert sampling.with_split(df, "file").count() == 200
+    assert sampling.calibration_sample(df, "chunk", "id", divisor=5).filter("chunk IS NULL").count() == 10
+    assert sampling.holdout_split(df.withColumn("id", F.when(F.col("id") > 3, F.col("id"))), "id").count() == 200
+    made = sampling.augment_single_class(df, "chunk", "y", "id", rows=3)
+    assert made.filter("NOT is_seed").count() == 200 and set(made.columns) == {*df.columns, "batch", "is_seed"}

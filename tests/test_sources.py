@@ -154,3 +154,51 @@ def test_routes_score_every_row_once(spark):
     scored = models.score_with_routes(routed, {"main": model, "web": model}, {})
     assert scored.count() == 210 and scored.select("id").distinct().count() == 210
     assert {r["route"] for r in scored.select("route").distinct().collect()} == {"web", "auth", "main"}
+
+
+def test_a_declared_header_that_differs_fails(spark, tmp_path):
+    (tmp_path / "part-1.csv").write_text("dst_port,duration\n443,2000\n")
+    (tmp_path / "part-2.csv").write_text("duration,dst_port\n2000,443\n")
+    mapped = readers.read_flows(spark, str(tmp_path))
+    assert {(int(r["Dst Port"]), r["Flow Duration"]) for r in mapped.collect()} == {(443, 2000.0)}
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_flows(spark, str(tmp_path), uniform=["part-*"]).collect()
+
+
+def test_repeated_names_are_grouped_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "part-1.csv").write_text("dst_port,duration,dst_port\n443,2000,1\n")
+    (tmp_path / "part-2.csv").write_text("duration,dst_port,dst_port\n2000,443,1\n")
+    found = readers.read_flows(spark, str(tmp_path), uniform=["part-*"])
+    assert {(int(r["Dst Port"]), r["Flow Duration"]) for r in found.collect()} == {(443, 2000.0)}
+
+
+def test_versions_are_found_by_listing(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    assert sinks.load_version(spark, folder) == (None, -1)
+    for n in (0, 2, 10):
+        sinks.save_version(spark.range(n + 1), folder, n)
+    (tmp_path / "v" / "version=11").mkdir()  # begun, never committed
+    assert sinks.load_version(spark, folder)[1] == 10
+    assert sinks.load_version(spark, folder, at_most=9)[1] == 2
+    assert sinks.load_version(spark, folder, at_most=1)[0].count() == 1
+
+
+def test_an_unreadable_model_is_not_replaced(spark, tmp_path):
+    path = tmp_path / "model"
+    path.mkdir()
+    (path / "metadata").write_text("broken")
+    with pytest.raises(Exception):
+        sinks.load_calibrator(str(path), lambda: pytest.fail("must not fit"))
+    assert (path / "metadata").read_text() == "broken"
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from flowtriage.sources import workspace
+
+    kept = workspace._MADE[:]
+    workspace._MADE.clear()
+    table = workspace.durable(spark.range(3))
+    (path,) = workspace._MADE
+    assert table.count() == 3 and workspace.exists(spark, path)
+    assert workspace.clear(spark) == 1 and not workspace.exists(spark, path)
+    workspace._MADE.extend(kept)
