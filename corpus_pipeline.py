@@ -11,38 +11,52 @@ from flowtriage.llm.queries import CATEGORIES
 from flowtriage.sources.workspace import durable
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """The text beside each whole row, so that no result can take the name of a column."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the chain rejects go."""
     fitted = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    scored = toxicity.score_chain(docs, fitted, keep=tuple(docs.columns) + ("text",))
-    return scored.where(~F.col("rejected")).select(*docs.columns)
+    scored = toxicity.score_chain(_whole_rows(docs), fitted, text="_text", keep=("_row",))
+    return scored.where(~F.col("rejected")).select("_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by fingerprints, the document with the least doc_id stays.
 
-    Rows without an id stay unless their group has a document with one; of
-    repeated rows of the kept id one stays.
+    Rows that share the kept id stay once for each different text. Rows without
+    an id stay once for each fingerprint, unless a document with an id is in
+    their group.
     """
     classes = simhash.near_duplicates(docs)
-    keep = classes.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    single = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull() & F.lit(True))
-    lone = classes.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    nameless = nameless.limit(0) if lone.isEmpty() else nameless.dropDuplicates(["text"])
-    return single.unionByName(repeated).unionByName(nameless).select(*docs.columns)
+    first = classes.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    again = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    lone = classes.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+    if not lone.isEmpty():
+        nameless = _whole_rows(docs.where("doc_id IS NULL"))
+        marked = simhash.fingerprints(nameless, "_text", ("_row",)).withColumn("_print", simhash.shown("fingerprint"))
+        alone = marked.join(lone.select(F.col("fingerprint").alias("_print")), "_print", "left_semi")
+        kept = kept.unionByName(alone.dropDuplicates(["_print"]).select("_row.*"))
+    return kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    text = F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    length = F.when(F.col("n_hit") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
-    changed = {"text": text, "n_chars": length}
-    return found.where(~F.col("rejected")).select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+    items = table(spark, sf_dir, "benchmark")
+    found = decontamination.decontaminate(_whole_rows(docs), items, text="_text", keep=("_row",))
+    cut = F.col("n_hit") > 0
+    changed = {
+        "text": F.when(cut, F.col("clean_text")).otherwise(F.col("_row.text")),
+        "n_chars": F.when(cut, F.length("clean_text").cast("long")).otherwise(F.col("_row.n_chars")),
+    }
+    kept = found.where(~F.col("rejected"))
+    return kept.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

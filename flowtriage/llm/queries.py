@@ -108,6 +108,34 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontamination": r"""
+        WITH lowered AS (
+          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents),
+        d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+        i AS (
+          SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM i WHERE len(w) > 0),
+        windows AS (
+          SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS gram
+          FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM sized)),
+        grams AS (
+          SELECT doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS gram
+          FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p
+                FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)),
+        found AS (SELECT doc_id, p, g.m, item_id FROM grams g JOIN windows USING (m, gram)),
+        hit AS (
+          SELECT doc_id, count(DISTINCT q) AS n_hit
+          FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT doc_id, p, m FROM found)) GROUP BY 1),
+        named AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
     "op4_warc": """
         WITH p AS (
           SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,

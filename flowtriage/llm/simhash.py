@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowtriage.llm.common import map_texts
 from flowtriage.llm.components import smallest_reachable
@@ -156,6 +156,11 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def shown(value: str) -> Column:
+    """A fingerprint as 16 hex digits."""
+    return F.lpad(F.lower(F.hex(value)), 16, "0")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -183,6 +188,4 @@ def near_duplicates(
     )
     # As a table, so that both sides of the join are plain shuffles, whose hot fingerprints Spark splits.
     by_print = durable(by_print, "simhash-components")
-    return marked.join(by_print, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return marked.join(by_print, "fingerprint").select("doc_id", shown("fingerprint").alias("fingerprint"), "component_id")
