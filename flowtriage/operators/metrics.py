@@ -238,34 +238,90 @@ def score_histogram(df: DataFrame, score: Column, truth: Column) -> DataFrame:
     )
 
 
-def reward_distribution(df: DataFrame, action: Column, reward: Column) -> DataFrame:
-    """Five-number summary of the reward per action.
+QUANTILE_BINS = 1_024
+
 
-    Rewards are counted per distinct value first (4 digits), so the exact
-    percentiles aggregate value/frequency pairs instead of rows.
+def exact_quantiles(df: DataFrame, key: str, value: str, shares: Iterable[float]) -> DataFrame:
+    """key, at (index of the share) and the exact, linearly interpolated quantile of the values.
+
+    Three scans, no sort of rows: a sketch brackets each quantile, equal-width
+    bins of the bracket are counted, and only the bin that holds the wanted
+    ranks is looked at value by value (about a millionth of a group). A bracket
+    that misses its quantile raises. Null values do not count; keys may be null.
     """
-    values = df.groupBy(triage.action_name(action).alias("action"), F.round(reward, 4).alias("r")).agg(
-        F.count("*").alias("w")
+    wanted = list(shares)
+    rows = df.select(F.col(key).alias("_g"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sides = [F.percentile_approx("_v", F.array(
+        F.lit(max(0.0, p - MEDIAN_MARGIN)), F.lit(min(1.0, p + MEDIAN_MARGIN))), MEDIAN_ACCURACY) for p in wanted]
+    rank = [1 + (F.col("_n") - 1) * F.lit(p) for p in wanted]
+    # The margin is less than a rank in a small group; its bracket is all of it.
+    small = F.col("_n") < 4 / MEDIAN_MARGIN
+    low_side = lambda i: F.when(small, F.col("_min")).otherwise(F.col(f"_s{i}")[0])
+    high_side = lambda i: F.when(small, F.col("_max")).otherwise(F.col(f"_s{i}")[1])
+    sketched = rows.groupBy("_g").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        *[s.alias(f"_s{i}") for i, s in enumerate(sides)],
+    )
+    brackets = sketched.select(
+        F.col("_g").alias("_k"),
+        F.array(*[
+            F.struct(F.lit(i).alias("at"), low_side(i).alias("lo"), high_side(i).alias("hi"), rank[i].alias("rank"))
+            for i in range(len(wanted))
+        ]).alias("_cells"),
     )
-    quartiles = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w"))
-    summary = values.groupBy("action").agg(
-        F.sum("w").alias("n"), F.min("r").alias("low"), quartiles.alias("q"), F.max("r").alias("high")
+
+    def place(cell: Column) -> Column:
+        """Bin of the value in a bracket; -1 below it."""
+        width = F.nullif(cell["hi"] - cell["lo"], F.lit(0.0))
+        inside = F.coalesce(F.floor((F.col("_v") - cell["lo"]) / width * QUANTILE_BINS).cast("int"), F.lit(0))
+        return F.when(F.col("_v") < cell["lo"], -1).otherwise(F.least(inside, F.lit(QUANTILE_BINS - 1)))
+
+    # A row per key and share; keys are actions, labels and the like.
+    near = rows.join(F.broadcast(brackets), F.col("_g").eqNullSafe(F.col("_k"))).select("_g", "_v", F.explode("_cells").alias("c"))
+    near = near.filter(F.col("_v") <= F.col("c.hi")).select("_g", "_v", "c.at", "c.rank", place(F.col("c")).alias("bin"))
+    counts = near.groupBy("_g", "at", "rank", "bin").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("_g", "at").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("_to", F.sum("n").over(upto)).withColumn("_from", F.col("_to") - F.col("n"))
+    low, high = F.floor("rank"), F.ceil("rank")
+    holding = summed.filter((F.col("bin") >= 0) & (low <= F.col("_to")) & (high > F.col("_from"))).select(
+        F.col("_g").alias("_k"), F.col("at").alias("_at"), F.col("bin").alias("_bin"), "_from"
+    )
+    # At most two bins per key and share.
+    same = F.col("_g").eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_at")) & (F.col("bin") == F.col("_bin"))
+    values = near.join(F.broadcast(holding), same).groupBy("_g", "at", "rank", "bin", "_from", "_v").agg(F.count("*").alias("w"))
+    within = Window.partitionBy("_g", "at", "bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_to", F.col("_from") + F.sum("w").over(within)).withColumn("_first", F.col("_to") - F.col("w"))
+
+    def value_at(wanted_rank: Column) -> Column:
+        return F.max(F.when((wanted_rank > F.col("_first")) & (wanted_rank <= F.col("_to")), F.col("_v")))
+
+    picked = ranked.groupBy("_g", "at").agg(
+        value_at(low).alias("lower"), value_at(high).alias("upper"), F.first(F.col("rank") - low).alias("share")
     )
-    q = F.col("q")
-    spread = 1.5 * (q[2] - q[0])
-    boxed = summary.select("action", "n", "low", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), "high",
-                           (q[0] - spread).alias("_lo"), (q[2] + spread).alias("_hi"))
-    # Whiskers: the extreme rewards within 1.5 quartile spreads of the box.
-    # Null-safe keys keep the counted table free of inferred filters, so its
-    # shuffle is computed once and reused.
-    limits = boxed.select(F.col("action").alias("_a"), "_lo", "_hi")
-    whiskers = (
-        values.join(F.broadcast(limits), F.col("action").eqNullSafe(F.col("_a")))
-        .withColumn("_near", F.when(F.col("r").between(F.col("_lo"), F.col("_hi")), F.col("r")))
-        .groupBy("_a")
-        .agg(F.min("_near").alias("whisker_low"), F.max("_near").alias("whisker_high"))
+    between = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("share")
+    missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+    return picked.select(F.col("_g").alias(key), "at", F.when(between.isNull(), missed).otherwise(between).alias("quantile"))
+
+
+def reward_distribution(df: DataFrame, action: Column, reward: Column) -> DataFrame:
+    """Five-number summary of the rewards as they are, per action, with whiskers."""
+    rows = df.select(triage.action_name(action).alias("action"), reward.cast("double").alias("r"))
+    quartiles = exact_quantiles(rows, "action", "r", (0.25, 0.5, 0.75)).groupBy(F.col("action").alias("_q")).agg(
+        *[F.max(F.when(F.col("at") == i, F.col("quantile"))).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+    )
+    # A row per action.
+    same = F.col("action").eqNullSafe(F.col("_q"))
+    spread = 1.5 * (F.col("q3") - F.col("q1"))
+    near = F.when(F.col("r").between(F.col("q1") - spread, F.col("q3") + spread), F.col("r"))
+    return (
+        rows.join(F.broadcast(quartiles), same)
+        .groupBy("action", "q1", "median", "q3")
+        .agg(
+            F.count("r").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"),
+            F.min(near).alias("whisker_low"), F.max(near).alias("whisker_high"),
+        )
+        .select("action", "n", "low", "q1", "median", "q3", "high", "whisker_low", "whisker_high")
     )
-    return boxed.drop("_lo", "_hi").join(whiskers, F.col("action").eqNullSafe(F.col("_a"))).drop("_a")
 
 
 def outcome_share(df: DataFrame, truth: Column, action: Column) -> DataFrame:

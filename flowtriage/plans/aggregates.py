@@ -278,7 +278,7 @@ SELECT round(o_totalprice / 500000e0, 3) AS score, count(*) FILTER (WHERE o_orde
   count(*) FILTER (WHERE o_orderstatus = 'F') AS attack, 'orders' AS "table" FROM orders GROUP BY 1
 UNION ALL SELECT threat_score, count(*) FILTER (WHERE y = 0), count(*) FILTER (WHERE y = 1), 'flows' FROM decisions GROUP BY 1""",
     "a16_reward_distribution": DECISIONS_SQL + f"""
-, r AS (SELECT {ACTION_SQL} AS action, round(reward, 4) AS r FROM decisions),
+, r AS (SELECT {ACTION_SQL} AS action, CAST(reward AS DOUBLE) AS r FROM decisions),
 b AS (SELECT action, count(*) AS n, min(r) AS low, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS median,
   quantile_cont(r, 0.75) AS q3, max(r) AS high FROM r GROUP BY 1)
 SELECT b.action, n, round(low, 3) AS low, round(q1, 3) AS q1, round(median, 3) AS median, round(q3, 3) AS q3, round(high, 3) AS high,

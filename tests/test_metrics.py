@@ -60,3 +60,14 @@ def test_scaler_keeps_constant_columns(spark):
     assert scaler == {"a": (2.0, 1.0), "b": (5.0, 1.0)}
     assert [tuple(r) for r in models.standardise(df, scaler).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
     assert [tuple(r) for r in models.standardise_inline(df, ["a", "b"]).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=3_000), "b": rng.integers(0, 5, 700).astype(float), "c": np.array([2.5]), None: rng.exponential(size=10)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    found = metrics.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", shares).collect()
+    assert len(found) == len(groups) * len(shares)
+    for r in found:
+        assert r["quantile"] == pytest.approx(np.quantile(groups[r["k"]], shares[r["at"]]), rel=1e-12), r
