@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,9 +30,21 @@ from flowtriage.llm.common import text_or_empty
 LENGTH, PER_SHARD, CACHED, MAX_SPLITS = 1_024, 8_192, 300_000, 2_000_000
 ROUNDS = 8
 MARK = "\n\n"
-_SPECIAL_SPACE = re.compile(
-    rb"[\t\r\x0b\x0c]|  | $|^ | \n|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+#: White space other than single spaces and line breaks, as a text may hold it inside: in ASCII, and by
+#: the first byte of its UTF-8 form.
+_SPECIAL_SPACE = [s.encode() for s in ("\t", "\r", "\v", "\f", "  ", " \n", "\n\n")]
+_FAR_SPACE: dict[bytes, list[bytes]] = {}
+for _space in ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"):
+    _FAR_SPACE.setdefault(_space.encode()[:1], []).append(_space.encode())
+
+
+def _only_plain_space(text: bytes) -> bool:
+    """True if all white space is single spaces and line breaks between words."""
+    return bool(
+        text and text[0] not in b" \n" and text[-1] not in b" \n"
+        and not any(map(text.__contains__, _SPECIAL_SPACE))
+        and not any(lead in text and any(map(text.__contains__, far)) for lead, far in _FAR_SPACE.items())
+    )
 _ENCODERS: dict = {}
 
 
@@ -113,27 +124,38 @@ class CachedEncoder:
         ids = np.array(self._encoding.encode_ordinary(b"".join(pieces).decode()), dtype="<u2")
         ends = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum([len(p) for p in pieces]), side="left") + 1
         data, start = ids.tobytes(), 0
+        known = self._known
         for word, end in zip(fresh, (2 * ends).tolist()):
-            self._known[word] = data[start:end]
+            known[word] = data[start:end]
             start = end
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = []
+    def _split(self, texts: list[bytes]) -> list[tuple[bytes, list[bytes]]]:
+        """Each text as a part to be encoded whole and words that are known by then."""
+        split: list[tuple[bytes, list[bytes]]] = []
         for text in texts:
-            simple = text and text[:1] != b"\n" and text[-1:] != b"\n" and b"\n\n" not in text
-            simple = simple and not _SPECIAL_SPACE.search(text)
-            split.append(text.replace(b"\n", b" \n").split(b" ") if simple else None)
-        missing = {w for w in chain.from_iterable(s[1:] for s in split if s) if w not in self._known}
+            if not _only_plain_space(text):
+                split.append((text, ()))
+                continue
+            first, *words = text.replace(b"\n", b" \n").split(b" ")
+            split.append((first, words))
+        here = set(chain.from_iterable(words for _, words in split))
+        missing = here.difference(self._known)
         if missing:
             if len(self._known) + len(missing) > self._cached:
-                self._known.clear()
-                missing = set(chain.from_iterable(s[1:] for s in split if s))
+                # Words of this slice stay; among them are the frequent ones.
+                self._known = {w: self._known[w] for w in here.difference(missing)}
             self._learn(missing)
-        get = self._known.__getitem__
-        return [
-            self._plain(text) if words is None else b"".join([self._plain(words[0]), *map(get, words[1:])])
-            for text, words in zip(texts, split)
-        ]
+        return split
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        split, get = self._split(texts), self._known.__getitem__
+        return [b"".join([self._plain(first), *map(get, words)]) for first, words in split]
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        """Numbers of ids of each text."""
+        split, get = self._split(texts), self._known.__getitem__
+        return [(len(self._plain(first)) + sum(map(len, map(get, words)))) // 2 for first, words in split]
 
 
 def encoder(path: str, pattern: str) -> CachedEncoder:
@@ -142,15 +164,13 @@ def encoder(path: str, pattern: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def _encoded(texts: list[bytes], engine: CachedEncoder, slice_bytes: int = 1 << 20) -> Iterator[bytes]:
-    """Ids of each text with the end mark, encoded about a megabyte at a time."""
-    end = np.array([engine.end], dtype="<u2").tobytes()
+def _in_slices(texts: list[bytes], work, slice_bytes: int = 1 << 20) -> Iterator:
+    """Results of ``work`` for each text, computed for about a megabyte at a time."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text)
         if size >= slice_bytes or i + 1 == len(texts):
-            for ids in engine.encode(texts[start : i + 1]):
-                yield ids + end
+            yield from work(texts[start : i + 1])
             start, size = i + 1, 0
 
 
@@ -185,7 +205,8 @@ def write_shards(
         engine = encoder(path, pattern)
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            sizes = pa.array([len(ids) // 2 for ids in _encoded(texts, engine)], type=pa.int64())
+            # One more for the end mark.
+            sizes = pa.array([n + 1 for n in _in_slices(texts, engine.count)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["file", "block", "n"])
 
     splits = (
@@ -213,6 +234,7 @@ def write_shards(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine, order = encoder(path, pattern), Permutation(total, key)
         at, where, buffer = 0, None, bytearray()
+        end = np.array([engine.end], dtype="<u2").tobytes()
         size = 2 * length
 
         def full(last: bool) -> Iterator[pa.RecordBatch]:
@@ -240,11 +262,13 @@ def write_shards(
 
         for batch in batches:
             files, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for here, ids in zip(zip(files, blocks), _encoded(batch.column(2).cast(pa.binary()).to_pylist(), engine)):
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for here, ids in zip(zip(files, blocks), _in_slices(texts, engine.encode)):
                 if here != where:
                     yield from full(True)
                     where, at = here, starts.value[here]
                 buffer += ids
+                buffer += end
                 if len(buffer) >= 512 * size:
                     yield from full(False)
         yield from full(True)
