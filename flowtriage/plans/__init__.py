@@ -1,8 +1,8 @@
 """Registered queries: one callable per operator, with SQL to check it against."""
 
-from flowtriage.plans import aggregates, models, policy, projections, samples, scans, stores, streams, windows
+from flowtriage.plans import aggregates, composed, models, policy, projections, samples, scans, stores, streams, windows
 
-MODULES = (scans, projections, aggregates, windows, samples, models, policy, stores, streams)
+MODULES = (scans, projections, aggregates, windows, samples, models, policy, stores, streams, composed)
 
 
 def all_queries() -> dict:
