@@ -6,6 +6,7 @@ replace input columns of the same name, rows are never dropped or capped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -25,11 +26,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of a text that are taken apart at a time; bounds what a very long text needs beside itself.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def slices(text: bytes, size: int = SLICE, cut: re.Pattern = _SPACE) -> Iterator[bytes]:
+    """Parts that make up the text, long ones cut where ``cut`` matches (white space goes to the later part)."""
+    at = 0
+    while len(text) - at > size:
+        place = cut.search(text, at + size)
+        if not place:
+            break
+        yield text[at : place.start()]
+        at = place.start()
+    yield text[at:] if at else text
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Words of letters and digits, A-Z lower-cased, other scripts left as they are."""
     return text.translate(PLAIN_BYTES).split()
 
 
+def plain_word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The plain words of a text, those of one slice at a time."""
+    for part in slices(text.translate(PLAIN_BYTES)):
+        yield part.split()
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

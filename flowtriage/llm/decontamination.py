@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowtriage.llm.common import map_texts, plain_words
+from flowtriage.llm.common import map_texts, plain_word_parts, plain_words
 
 #: Words of a window; words all items of one automaton may have together.
 WINDOW, MAX_ITEM_WORDS = 10, 4_000_000
@@ -95,7 +97,7 @@ class ItemAutomaton:
                 self.short[state] = found
         self.names = [name for name, _ in items]
 
-    def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
+    def hits(self, words: Iterable[bytes]) -> tuple[list[list[int]], set[int]]:
         """Merged [first, last] spans of hit words, and the numbers of the items found."""
         nxt, link, length = self.next, self.link, self.length
         short, size, last_window = self.short, self.window, self.last_window
@@ -178,23 +180,35 @@ def decontaminate(
         names = tree.names
 
         def one(text_bytes: bytes):
-            words = plain_words(text_bytes)
-            spans, found = tree.hits(words)
+            n_words = 0
+
+            def counted(part: list[bytes]) -> list[bytes]:
+                nonlocal n_words
+                n_words += len(part)
+                return part
+
+            spans, found = tree.hits(chain.from_iterable(map(counted, plain_word_parts(text_bytes))))
             hit = sum(b - a + 1 for a, b in spans)
             ids = sorted({names[i] for i in found} - {None})
-            coverage = hit / len(words) if words else 0.0
+            coverage = hit / n_words if n_words else 0.0
             clean = text_bytes
             cut = [s for s in spans if s[1] - s[0] + 1 >= min_span]
             if cut:
-                places = [m.span() for m in _WORD.finditer(text_bytes)]
-                rest, at = [], 0
-                for first, last in cut:
-                    rest.append(text_bytes[at : places[first][0]])
-                    at = places[last][1]
+                rest, at, ahead, start = [], 0, iter(cut), 0
+                first, last = next(ahead)
+                for place, word in enumerate(_WORD.finditer(text_bytes)):
+                    if place == first:
+                        start = word.start()
+                    if place == last:
+                        rest.append(text_bytes[at:start])
+                        at = word.end()
+                        first, last = next(ahead, (-1, -1))
+                        if last < 0:
+                            break
                 clean = b"".join([*rest, text_bytes[at:]])
             digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
             n_items = len(ids) + sum(names[i] is None for i in found)
-            return len(words), hit, n_items, ids, digest, cut, coverage, coverage > max_coverage, clean.decode()
+            return n_words, hit, n_items, ids, digest, cut, coverage, coverage > max_coverage, clean.decode()
 
         return lambda texts: list(zip(*map(one, texts)))
 

@@ -19,7 +19,7 @@ from array import array
 
 from pyspark.sql import DataFrame, types as T
 
-from flowtriage.llm.common import map_texts
+from flowtriage.llm.common import map_texts, slices
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -28,6 +28,8 @@ WORDS, PAIRS = 400_000, 1_500_000
 #: Longer words are encoded each time.
 LONGEST = 64
 _CHUNK = re.compile(rb" *[^ \n]+|\n| +")
+#: Where a long text may be cut: before the first space of a run, and before a line break.
+_PART = re.compile(rb"(?<! ) |\n")
 _CODECS: dict = {}
 
 
@@ -132,7 +134,11 @@ class PieceCodec:
             return array("I", [self.begin, self.end]).tobytes()
         if _SPACE_BYTES in text:
             text = text.replace(_SPACE_BYTES, b" ")
-        chunks = _CHUNK.findall(b" " + text)
+        begin, end = (array("I", [i]).tobytes() for i in (self.begin, self.end))
+        return b"".join([begin, *map(self._part_ids, slices(b" " + text, cut=_PART)), end])
+
+    def _part_ids(self, part: bytes) -> bytes:
+        chunks = _CHUNK.findall(part)
         known = self._ids
         fresh = set(chunks).difference(known)
         if fresh:
@@ -141,7 +147,7 @@ class PieceCodec:
                 fresh = set(chunks)
             for chunk in fresh:
                 known[chunk] = self._word_ids(chunk)
-        ids = b"".join([array("I", [self.begin]).tobytes(), *map(known.__getitem__, chunks), array("I", [self.end]).tobytes()])
+        ids = b"".join(map(known.__getitem__, chunks))
         for chunk in fresh:
             if len(chunk) > LONGEST:
                 del known[chunk]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from flowtriage.llm.common import map_texts
+from flowtriage.llm.common import map_texts, slices
 from flowtriage.llm.components import smallest_reachable
 from flowtriage.sources.workspace import durable
 
@@ -55,17 +55,20 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The unsigned fingerprint of one text; zero if it has no words."""
     from xxhash import xxh64_intdigest
 
-    parts = text.lower().split()
-    if not parts:
-        return 0
-    if len(parts) < words:
-        return xxh64_intdigest(b" ".join(parts), SEED)
-    if words == 3:
-        shingles = [xxh64_intdigest(b"%b %b %b" % w, SEED) for w in zip(parts, parts[1:], parts[2:])]
-    else:
-        shingles = [xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(len(parts) - words + 1)]
-    counts = _bit_counts(np.array(shingles, dtype=np.uint64))
-    set_bits = np.flatnonzero(2 * counts > len(shingles))
+    parts: list[bytes] = []
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for part in slices(text.lower()):
+        # The last words of a slice begin shingles that end in the next.
+        parts = parts[-(words - 1) :] + part.split() if words > 1 else part.split()
+        if words == 3:
+            shingles = [xxh64_intdigest(b"%b %b %b" % w, SEED) for w in zip(parts, parts[1:], parts[2:])]
+        else:
+            shingles = [xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(len(parts) - words + 1)]
+        counts += _bit_counts(np.array(shingles, dtype=np.uint64))
+        total += len(shingles)
+    if not total:
+        return xxh64_intdigest(b" ".join(parts), SEED) if parts else 0
+    set_bits = np.flatnonzero(2 * counts > total)
     return int(np.bitwise_or.reduce(np.uint64(1) << set_bits.astype(np.uint64))) if len(set_bits) else 0
 
 

@@ -13,14 +13,12 @@ pre-token, where the tokenizer treats them as it always does.
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
-from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowtriage.llm.common import map_texts
+from flowtriage.llm.common import SLICE, map_texts, slices
 
 #: Entries of tier one, documents it is gathered from, entries of a worker's cache.
 FREQUENT, SAMPLED_DOCS, CACHED = 65_536, 2_000, 400_000
@@ -28,26 +26,9 @@ FREQUENT, SAMPLED_DOCS, CACHED = 65_536, 2_000, 400_000
 LONGEST = 48
 PER_DOC = 4_096
 
-#: Text split at a time; bounds the memory of a task.
-SLICE = 1 << 20
-
-_SPACE = re.compile(rb"[ \t-\r]")
 _TOKENIZERS: dict = {}
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """(index, part) of the texts, long ones cut at white space after each slice."""
-    for i, text in enumerate(texts):
-        at = 0
-        while len(text) - at > SLICE:
-            space = _SPACE.search(text, at + SLICE)
-            if not space:
-                break
-            yield i, text[at : space.start()]
-            at = space.end()
-        yield i, text[at:] if at else text
-
-
 def _tokenizer(path: str):
     """One tokenizer per worker process."""
     if path not in _TOKENIZERS:
@@ -137,7 +118,7 @@ def count_tokens(
 
         def work(texts: list[bytes]):
             counts, group, size = [0] * len(texts), [], 0
-            for i, part in _slices(texts):
+            for i, part in ((i, part) for i, text in enumerate(texts) for part in slices(text)):
                 group.append((i, part))
                 size += len(part)
                 if size >= SLICE:

@@ -21,7 +21,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowtriage.llm.common import map_texts, plain_words, text_or_empty
+from flowtriage.llm.common import map_texts, plain_word_parts, text_or_empty
 from flowtriage.sources.workspace import durable
 
 #: Hashed features; lengths of word beginnings; folds; bound of the labelled rows a fit reads.
@@ -36,7 +36,7 @@ def feature_ids(text: bytes, features: int = FEATURES) -> list[int]:
     """Sorted distinct hashed features of a text."""
     from xxhash import xxh3_64_intdigest
 
-    words = set(plain_words(text))
+    words = set(chain.from_iterable(plain_word_parts(text)))
     found = {xxh3_64_intdigest(w) % features for w in words}
     for n in BEGINNINGS:
         found.update(xxh3_64_intdigest(w, n) % features for w in {w[:n] for w in words if len(w) > n})

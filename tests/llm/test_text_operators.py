@@ -9,8 +9,8 @@ import public_tokenizers
 import pytest
 from xxhash import xxh64_intdigest
 
-from flowtriage.llm import decontamination, piece_codec, simhash, token_counts
-from flowtriage.llm.common import plain_words
+from flowtriage.llm import common, decontamination, piece_codec, simhash, token_counts
+from flowtriage.llm.common import SLICE, plain_word_parts, plain_words, slices
 
 TABLE = "doc_id long, text string, n_words string, fingerprint int, n_tokens string"
 COUNTS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -46,9 +46,23 @@ def test_token_counts_equal_the_library(spark):
 
 def test_long_text_is_counted_in_slices():
     text = b"abc de\n" * 400_000
-    parts = list(token_counts._slices([b"", text]))
-    assert len(parts) > 2 and max(len(p) for _, p in parts) < token_counts.SLICE + 16
-    assert sum(len(p.split()) for _, p in parts) == len(text.split())
+    parts = list(slices(text))
+    assert len(parts) > 2 and max(map(len, parts)) < SLICE + 16
+    assert b"".join(parts) == text and sum(len(p.split()) for p in parts) == len(text.split())
+    assert list(slices(b"")) == [b""] and list(slices(b"x" * 10, 3)) == [b"x" * 10]
+
+
+def test_results_do_not_depend_on_the_slices(monkeypatch):
+    whole = piece_codec.codec(PIECES)
+    for text in odd_texts(11, 60)[5:]:
+        data = (text * 3).encode()
+        want = whole.encode(data), simhash.fingerprint(data), list(plain_word_parts(data))[0]
+        small = lambda text, size=3, cut=common._SPACE: slices(text, 3, cut)
+        with monkeypatch.context() as patch:
+            for module in (piece_codec, simhash, common):
+                patch.setattr(module, "slices", small)
+            parts = [w for part in plain_word_parts(data) for w in part]
+            assert (whole.encode(data), simhash.fingerprint(data), parts) == want
 
 
 def test_piece_codec_equals_the_library(spark):
