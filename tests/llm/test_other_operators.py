@@ -285,6 +285,11 @@ PAGE = (
 def test_marked_article():
     main = [t for k, t in page_text.blocks(PAGE) if k == page_text.TEXT]
     assert main == ["Head & more &am", "One two three", "Four five six", "Last"]
+    unclosed = "<article><p class=notice>No<p>Yes<ul><li class=ad>No<li>Yes two</ul><p>Yes three</article>After"
+    assert page_text.blocks(unclosed) == [
+        (page_text.NO_TEXT, "No"), (page_text.TEXT, "Yes"), (page_text.NO_TEXT, "No"), (page_text.TEXT, "Yes two"),
+        (page_text.TEXT, "Yes three"), (page_text.OPEN, "After"),
+    ]
     assert page_text.blocks("") == [] and page_text.blocks("<p>") == []
     assert page_text.blocks("a < b <p>c</p> <script>x") == [(page_text.OPEN, "a < b"), (page_text.OPEN, "c")]
 
