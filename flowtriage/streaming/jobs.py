@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from flowtriage import schema as S
 from flowtriage.functions import flow, triage
-from flowtriage.operators import behaviour, metrics, models, ordered, policy
+from flowtriage.operators import behaviour, clean, metrics, models, ordered, policy
 from flowtriage.sources.sinks import load_policy, load_version, save_policy, save_version
 from flowtriage.sources.workspace import new_folder
 
@@ -39,11 +42,34 @@ def triage_flows(
             F.col(packet_rate) if packet_rate else None,
         ),
     )
+    return _acted(routed, s, F.col("label"))
+
+
+def triage_raw(
+    raw: DataFrame, detectors: dict, calibrators: dict, source_file: str, keep: Mapping[str, str] | None = None
+) -> DataFrame:
+    """From raw flows in any dialect to actions, with stored detectors; the same on tables and streams.
+
+    Flows are made canonical, routed by ports, capture file and packet rate
+    (the flood route exists on streams only), scored by the detector of their
+    route and calibrated. Rows with missing or infinite features are dropped;
+    set them aside first with ``split_valid`` if they are wanted.
+    """
+    carried = {"_file": source_file, **(keep or {})}
+    flows = clean.canonicalise(raw, keep=carried, transport=True)
+    ports = [F.col("`Dst Port`"), F.col("src_port")]
+    routed = flows.withColumn("route", models.route(ports, F.col("_file"), F.col("`Flow Pkts/s`").cast("double")))
+    scored = models.score_with_routes(routed, detectors, calibrators)
+    return _acted(scored, F.col("threat_score"), F.col("Label")).drop("_file")
+
+
+def _acted(routed: DataFrame, score: Column, label: Column) -> DataFrame:
+    """Truth, threshold action, level and outcome of routed flows."""
     acted = routed.withColumns(
         {
-            "y": flow.binary_label(F.coalesce(F.col("label"), F.lit("Unknown"))),
-            "action": triage.threshold_action(s, F.col("route").isin(*SPECIALISTS)),
-            "level": triage.threat_level(s),
+            "y": flow.binary_label(F.coalesce(label, F.lit("Unknown"))),
+            "action": triage.threshold_action(score, F.col("route").isin(*SPECIALISTS)),
+            "level": triage.threat_level(score),
         }
     )
     return acted.withColumn("outcome", triage.outcome(F.col("y"), F.col("action") >= 1))
@@ -65,17 +91,26 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", purpose: str =
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, handle, output_mode: str = "append", checkpoint: str | None = None) -> None:
-    """Feed every available micro-batch to ``handle(batch, batch_id)``."""
+def run_batches(
+    stream: DataFrame, handle, output_mode: str = "append", checkpoint: str | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Feed micro-batches to ``handle(batch, batch_id)``.
+
+    Without ``every`` all that is available is processed before the call
+    returns; with it ("10 seconds") the query goes on and is returned running.
+    """
     spark = stream.sparkSession
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     query = (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint or new_folder(spark, "batches-progress"))
         .outputMode(output_mode)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
-    query.awaitTermination()
+    if not every:
+        query.awaitTermination()
+    return query
 
 
 def running_metrics(triaged: DataFrame) -> DataFrame:
