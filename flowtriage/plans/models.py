@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from flowtriage.functions import flow
 from flowtriage.operators import metrics, models, sampling
 from flowtriage.plans.aggregates import FLOW_FEATURES, ITEM_FEATURES, ITEMS_SQL, items
-from flowtriage.plans.tables import DECISIONS_SQL, decisions, flows
+from flowtriage.plans.tables import DECISIONS_SQL, FLOWS_SQL, decisions, flows
+from flowtriage.sources import sinks
+from flowtriage.sources.workspace import checkpoint_root
 
 # Registered fits use few, shallow trees over all rows; production values are
 # the defaults of DetectorSettings.
@@ -15,6 +19,21 @@ QUICK = models.DetectorSettings(rounds=3, depth=4)
 DETECTOR_FEATURES = ["dst_port", *FLOW_FEATURES]
 
 
+def _detector(spark, folder, name, rows, features, settings=QUICK):
+    """Fitted once for a folder and its settings, stored, and loaded by the other queries."""
+    key = hashlib.sha256(f"{folder.rstrip('/')}|{name}|{settings}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_root(spark).rstrip('/')}/detectors/{spark.sparkContext.applicationId}-{key}"
+    return sinks.load_detector(path, lambda: models.train_detector(rows, features, "y", settings))[0]
+
+
+def _flow_detector(spark, folder):
+    return _detector(spark, folder, "flows", _labelled(spark, folder), DETECTOR_FEATURES)
+
+
+def _item_detector(spark, folder):
+    return _detector(spark, folder, "items", items(spark, folder), ITEM_FEATURES)
+
+
 def _labelled(spark, folder):
     return flows(spark, folder).withColumn("y", flow.binary_label(F.col("label")))
 
@@ -26,8 +45,7 @@ def l01_standardise(spark, folder):
 
 def l02_train_detector(spark, folder):
     df = items(spark, folder)
-    model = models.train_detector(df, ITEM_FEATURES, "y", QUICK)
-    scored = models.score_flows(df.select("y", *ITEM_FEATURES), model)
+    scored = models.score_flows(df.select("y", *ITEM_FEATURES), _item_detector(spark, folder))
     return scored.groupBy("y", "predicted").agg(F.count("*").alias("n"), F.round(F.avg("raw_score"), 3).alias("mean_score"))
 
 
@@ -40,15 +58,13 @@ def l04_refit_with_holdout(spark, folder):
     """All rows in one fit, stopping early on a held-out tenth."""
     split = sampling.holdout_split(_labelled(spark, folder), "flow_id")
     settings = models.DetectorSettings(rounds=4, depth=4, eval_column="is_eval")
-    model = models.train_detector(split, DETECTOR_FEATURES, "y", settings)
+    model = _detector(spark, folder, "holdout", split, DETECTOR_FEATURES, settings)
     scored = models.score_flows(split, model)
     return scored.groupBy("is_eval").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("y")).cast("int")), 3).alias("accuracy"))
 
 
 def l05_predict(spark, folder):
-    df = _labelled(spark, folder)
-    model = models.train_detector(df, DETECTOR_FEATURES, "y", QUICK)
-    return models.score_flows(df, model).select("flow_id", "predicted", F.round("raw_score", 6).alias("raw_score"))
+    return models.score_flows(_labelled(spark, folder), _flow_detector(spark, folder)).select("flow_id", "predicted", F.round("raw_score", 6).alias("raw_score"))
 
 
 def l06_isotonic_calibration(spark, folder):
@@ -70,13 +86,46 @@ def l07_calibrated_score(spark, folder):
 
 
 def l09_feature_importance(spark, folder):
-    model = models.train_detector(_labelled(spark, folder), DETECTOR_FEATURES, "y", QUICK)
-    return models.feature_importance(spark, model, DETECTOR_FEATURES)
+    return models.feature_importance(spark, _flow_detector(spark, folder), DETECTOR_FEATURES)
+
+
+def l02_training_counts(spark, folder):
+    """What a fit must give whatever its trees are: a score within [0, 1] and a class for each row."""
+    rows = items(spark, folder).select("y", *ITEM_FEATURES)
+    scored = models.score_flows(rows, _item_detector(spark, folder))
+    return scored.groupBy("y").agg(
+        F.count("*").alias("n"), F.count_if(F.col("raw_score").between(0, 1)).alias("in_range"),
+        F.count_if(F.col("predicted") == (F.col("raw_score") > 0.5).cast("int")).alias("consistent"),
+    )
+
+
+def l05_prediction_counts(spark, folder):
+    """Every flow is scored once, within [0, 1], and classed by its score."""
+    scored = models.score_flows(_labelled(spark, folder), _flow_detector(spark, folder))
+    return scored.groupBy("dst_port").agg(
+        F.count_distinct("flow_id").alias("n"), F.count_if(F.col("raw_score").between(0, 1)).alias("in_range"),
+        F.count_if(F.col("predicted") == (F.col("raw_score") > 0.5).cast("int")).alias("consistent"),
+    )
+
+
+def l09_importance_total(spark, folder):
+    """Importances are not negative and sum to one."""
+    found = models.feature_importance(spark, _flow_detector(spark, folder), DETECTOR_FEATURES)
+    return found.agg(F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+def l04_holdout_counts(spark, folder):
+    """Rows on each side of the split that a refit with a hold-out uses."""
+    return l04_refit_with_holdout(spark, folder).select("is_eval", "n", F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+def l10_route_counts(spark, folder):
+    """Every flow gets a score within [0, 1] from the detector of its route."""
+    return l10_specialist_detectors(spark, folder).select("route", "n", F.col("mean_score").between(0, 1).alias("in_range"))
 
 
 def t03_top_importance(spark, folder):
-    model = models.train_detector(items(spark, folder), ITEM_FEATURES, "y", QUICK)
-    return models.feature_importance(spark, model, ITEM_FEATURES, top=5)
+    return models.feature_importance(spark, _item_detector(spark, folder), ITEM_FEATURES, top=5)
 
 
 def l10_specialist_detectors(spark, folder):
@@ -85,7 +134,7 @@ def l10_specialist_detectors(spark, folder):
     fitted, calibrators = {}, {}
     for name in ("main", "web", "auth"):
         rows = models.route_training_rows(df, name, "dst_port")
-        fitted[name] = models.train_detector(rows, DETECTOR_FEATURES, "y", QUICK)
+        fitted[name] = _detector(spark, folder, f"route-{name}", rows, DETECTOR_FEATURES)
         raw = models.score_flows(sampling.calibration_sample(rows, "chunk", "flow_id"), fitted[name])
         if models.can_calibrate(raw, F.col("y")).first()["eligible"]:
             calibrators[name] = models.fit_calibrator(raw, F.col("raw_score"), F.col("y"))
@@ -102,7 +151,8 @@ def l11_calibration_eligibility(spark, folder):
 QUERIES = {f.__name__: f for f in (
     l01_standardise, l02_train_detector, l03_class_weight, l04_refit_with_holdout, l05_predict,
     l06_isotonic_calibration, l07_calibrated_score, l09_feature_importance, t03_top_importance,
-    l10_specialist_detectors, l11_calibration_eligibility,
+    l10_specialist_detectors, l11_calibration_eligibility, l02_training_counts, l04_holdout_counts,
+    l05_prediction_counts, l09_importance_total, l10_route_counts,
 )}
 
 _HASH = "md5(concat(CAST(flow_id AS VARCHAR), ':42'))"
@@ -118,7 +168,18 @@ fits AS (SELECT p.i, p.s, max(lowest) AS calibrated FROM points p JOIN LATERAL (
   SELECT a, min(m) AS lowest FROM spans WHERE a <= p.i AND b >= p.i GROUP BY a) ON true GROUP BY p.i, p.s)
 """
 
+_WEB_PORTS, _AUTH_PORTS = "(80,443,3000,5000,8000,8080,8443,8888)", "(21,22,23,1433,3306,3389,5432,5900,6379,27017)"
+
 ORACLES = {
+    "l02_training_counts": ITEMS_SQL + "SELECT y, count(*) AS n, count(*) AS in_range, count(*) AS consistent FROM items GROUP BY 1",
+    "l04_holdout_counts": FLOWS_SQL + f""",
+split AS (SELECT row_number() OVER (ORDER BY {_HASH}) <= greatest(1, CAST(floor(count(*) OVER () * 0.1e0) AS BIGINT)) AS is_eval FROM flows)
+SELECT is_eval, count(*) AS n, true AS in_range FROM split GROUP BY 1""",
+    "l05_prediction_counts": FLOWS_SQL + "SELECT dst_port, count(*) AS n, count(*) AS in_range, count(*) AS consistent FROM flows GROUP BY 1",
+    "l09_importance_total": "SELECT 1e0 AS total, true AS none_negative",
+    "l10_route_counts": FLOWS_SQL + f"""
+SELECT CASE WHEN dst_port IN {_AUTH_PORTS} THEN 'auth' WHEN dst_port IN {_WEB_PORTS} THEN 'web' ELSE 'main' END AS route,
+  count(*) AS n, true AS in_range FROM flows GROUP BY 1""",
     "l01_standardise": ITEMS_SQL + "SELECT l_orderkey, l_linenumber, " + ", ".join(
         f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}" for c in ITEM_FEATURES
     ) + " FROM items",
