@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
 from flowtriage.functions import triage
+from flowtriage.sources.workspace import durable
 
 
 def label_counts(df: DataFrame, label: Column) -> DataFrame:
@@ -45,6 +46,8 @@ def label_medians(df: DataFrame, label: Column, features: Iterable[str], top: in
         F.when(F.lower(key) == "benign", "benign").otherwise(key).alias("label"),
         *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(names)],
     )
+    # Read several times below, so the label and its numbers are stored once, without all else.
+    keyed = durable(keyed, "medians")
     counts = keyed.groupBy("label").agg(F.count("*").alias("n"))
     attacks = (
         counts.filter(F.col("label") != "benign").orderBy(F.desc("n"), "label").limit(top).filter(F.col("n") >= minimum)
