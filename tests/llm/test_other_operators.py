@@ -310,6 +310,18 @@ def test_open_pages_lose_what_other_pages_of_the_host_repeat(spark):
     assert page_text.main_text(pages).count() == len(rows) and page_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_open_blocks_beside_marked_parts(spark):
+    menu = "home news about contact imprint terms privacy help login register now"
+    rows = [
+        (1, "<div class=story>long unique text</div><article class=comment>hi</article>"),
+        (2, f"<div>{menu}</div><div>Headline two</div><article class='post has-sidebar'><p>Card two</article><div>{menu} and more</div>"),
+        (3, f"<p>{menu}</p><article>Three<aside>No</aside></article><p>After three</p><main id=sidebar>Side</main>"),
+    ]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in page_text.main_text(pages).collect()}
+    assert found == {1: "long unique text", 2: "Headline two\nCard two\nand more", 3: "Three\nAfter three"}
+
+
 def test_repeated_runs_against_brute_force(spark):
     rnd = random.Random(7)
     pages = [[rnd.choice("abc") for _ in range(rnd.randrange(0, 60))] for _ in range(25)]
