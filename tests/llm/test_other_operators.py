@@ -337,6 +337,33 @@ def test_repeated_runs_against_brute_force(spark):
         assert found[i] == " ".join(w for k, w in enumerate(p) if k not in covered)
 
 
+def test_repeated_runs_within_known_boilerplate(spark):
+    rnd = random.Random(9)
+    pages = [[(rnd.choice(["footer", "p"]), [rnd.choice("abc") for _ in range(rnd.randrange(0, 25))]) for _ in range(4)] for _ in range(25)]
+    rows = [(i, f"http://h/{i}", "".join(f"<{tag}>{' '.join(w)}</{tag}>" for tag, w in p)) for i, p in enumerate(pages)]
+    notice = "all rights reserved by the owners of this site and others"
+    rows += [
+        (100, "http://g/0", f"<footer>Copyright 2024 Example. {notice}</footer>"),
+        (101, "http://g/1", f"<div>{notice}</div><div>unique</div>"),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: (r.text, r.n_repeated) for r in page_text.main_text(frame, min_words=5).collect()}
+    assert found[100] == ("", 0) and found[101] == ("unique", len(notice.split()))
+    streams = [[(w, tag == "p") for tag, words in p for w in words] for p in pages]
+    grams = {}
+    for i, s in enumerate(streams):
+        for j in range(len(s) - 4):
+            grams.setdefault(tuple(w for w, _ in s[j : j + 5]), set()).add(i)
+    for i, (p, s) in enumerate(zip(pages, streams)):
+        covered = {k for j in range(len(s) - 4) if len(grams[tuple(w for w, _ in s[j : j + 5])]) > 1 for k in range(j, j + 5)}
+        lines, at = [], 0
+        for tag, words in p:
+            kept = [w for k, w in enumerate(words, at) if k not in covered]
+            lines += [" ".join(kept)] if tag == "p" and kept else []
+            at += len(words)
+        assert found[i] == ("\n".join(lines), sum(is_open for k, (_, is_open) in enumerate(s) if k in covered))
+
+
 # --- metric tree
 
 
