@@ -8,7 +8,9 @@ larger record.
 
 The reader checks every record. Where a check fails it looks for the next gzip
 member or version line that passes, goes on from there, and reports the bytes
-between as a quarantined gap.
+between as a quarantined gap. A member that fails is unpacked as far as it goes:
+its records up to there are kept if it was only cut short, and if it is damaged
+those whose own digest holds (which says nothing of their other headers).
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed moment written as the capture time of converted pages.
 DATE = "2024-01-01T00:00:00Z"
 _LEVEL, _CHUNK = 4, 1 << 16
+#: Members are looked for within members this deep, so a member that holds itself has an end.
+_DEPTH = 3
+#: Headers every record has.
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 #: Headers a record has at most once; a second one means that two records ran into each other.
 SINGLE = ("warc-type", "warc-record-id", "warc-date", "content-length", "content-type", "warc-payload-digest")
 
@@ -107,20 +113,45 @@ class Found:
     headers: dict[str, str] = field(default_factory=dict)
     payload: bytes = b""
     reason: str = ""
+    checked: bool = False  # its digest was compared
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """Content and end of the gzip member that starts at ``at``, if it is whole and its check holds."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member that starts at ``at``, and what is wrong with it: "", "cut" or "damaged".
+
+    Of a member that is not whole the content is what can be unpacked.
+    """
     unpacker, parts, start = zlib.decompressobj(31), [], at
-    try:
-        while not unpacker.eof and start < len(data):
-            parts.append(unpacker.decompress(data[start : start + _CHUNK]))
-            start += _CHUNK
-    except zlib.error:
-        return None
-    if not unpacker.eof:
-        return None
-    return b"".join(parts), min(start, len(data)) - len(unpacker.unused_data)
+    while not unpacker.eof and start < len(data):
+        before, chunk = unpacker.copy(), data[start : start + _CHUNK]
+        try:
+            parts.append(unpacker.decompress(chunk))
+        except zlib.error:
+            try:
+                for i in range(len(chunk)):
+                    parts.append(before.decompress(chunk[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), start, "damaged"
+        start += _CHUNK
+    return b"".join(parts), min(start, len(data)) - len(unpacker.unused_data), "" if unpacker.eof else "cut"
+
+
+def _reach(data: bytes, at: int, size: int) -> int:
+    """Where the first ``size`` bytes of the content of the member at ``at`` have been read."""
+    unpacker, n = zlib.decompressobj(31), 0
+    while True:
+        before = unpacker.copy()
+        try:
+            got = len(unpacker.decompress(data[at : at + _CHUNK]))
+        except zlib.error:
+            got = size
+        if n + got >= size:
+            break
+        n, at = n + got, at + _CHUNK
+    while n < size:
+        n, at = n + len(before.decompress(data[at : at + 1])), at + 1
+    return at
 
 
 def _record(data: bytes, at: int) -> tuple[Found | None, str]:
@@ -147,56 +178,66 @@ def _record(data: bytes, at: int) -> tuple[Found | None, str]:
     block = data[start:end]
     payload = block.partition(BREAK)[2] if "msgtype=response" in headers.get("content-type", "") else block
     digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha256:"):
+    checked = headers.get("warc-type") == "response" and digest.startswith("sha256:")
+    if checked:
         if hashlib.sha256(payload).hexdigest() != digest[7:]:
             return None, "digest"
-    return Found(at, end + len(BREAK), headers, payload), ""
+    return Found(at, end + len(BREAK), headers, payload, checked=checked), ""
+
 
+def _whole(data: bytes, at: int, depth: int) -> tuple[list[Found], int, str]:
+    """Records that start at ``at``, where they end, and a reason if a check fails.
 
-def _whole(data: bytes, at: int) -> tuple[list[Found], int, str]:
-    """Records that start at ``at`` and where they end; an empty list and a reason if a check fails."""
+    With a reason the records are those a broken member could still give, often none.
+    """
     if data.startswith(GZIP_START, at):
-        got = _member(data, at)
-        if got is None:
+        if depth == _DEPTH:
             return [], at, "member"
-        inner, end = got
-        if not inner.startswith(VERSION):
-            return [], at, "version"
-        found = list(salvage(inner))
+        inner, end, wrong = _member(data, at)
+        found = list(salvage(inner, depth + 1))
+        if wrong == "damaged":
+            kept = [f.reason or (f.checked and f.headers.keys() >= MANDATORY) for f in found]
+            found = [f if k else Found(f.start, f.end, reason="member") for f, k in zip(found, kept)]
         if all(f.reason for f in found):
-            return [], at, found[0].reason
-        return [Found(at, end, f.headers, f.payload, f.reason) for f in found], end, ""
+            return [], at, "member" if wrong else found[0].reason if found else "version"
+        if wrong:
+            while found[-1].reason:
+                found.pop()
+            end = _reach(data, at, found[-1].end)
+        found = [Found(at, end, f.headers, f.payload, f.reason, f.checked) for f in found]
+        return found, end, "member" if wrong else ""
     if data.startswith(VERSION, at):
         record, why = _record(data, at)
         return ([record], record.end, "") if record else ([], at, why)
     return [], at, "version"
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def salvage(data: bytes, depth: int = 0) -> Iterator[Found]:
     """All sound records of an archive in order, and the gaps between them.
 
-    An empty archive has neither. Zero bytes between members are padding.
+    An empty archive has neither. Zero bytes between members are padding. All
+    records and gaps within a member have its bytes as theirs; of a broken one
+    those up to the last record it gave, and a gap of its own follows.
     """
     at, size = 0, len(data)
     while at < size:
         if data[at] == 0:
             at += 1
             continue
-        found, end, why = _whole(data, at)
-        if found:
-            yield from found
+        found, end, why = _whole(data, at, depth)
+        yield from found
+        if not why:
             at = end
             continue
-        start = at
-        while at < size and not found:
-            places = [p for p in (data.find(GZIP_START, at + 1), data.find(VERSION, at + 1)) if p >= 0]
+        start, at = end, max(end, at + 1)
+        while at < size:
+            places = [p for p in (data.find(GZIP_START, at), data.find(VERSION, at)) if p >= 0]
             at = min(places, default=size)
             if at < size:
-                found, end, _ = _whole(data, at)
+                if _whole(data, at, depth)[0]:
+                    break
+                at += 1
         yield Found(start, at, reason=why)
-        if found:
-            yield from found
-            at = end
 
 
 _OUT = (

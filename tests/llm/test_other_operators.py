@@ -185,6 +185,51 @@ def test_salvage_random_damage_loses_only_touched_records():
         assert {f"<urn:page:{i}>" for i in range(20) if i not in hit} <= got
 
 
+def test_salvage_within_members_of_several_records():
+    rnd = random.Random(6)
+    records = []
+    for i in range(40):
+        body = "".join(rnd.choice("abcdefghij <>") for _ in range(6_000)).encode()
+        records.append(warc.build_record(i, f"http://h/{i}", body, hashlib.sha256(body).hexdigest(), None))
+    ids = [f"<urn:page:{i}>" for i in range(40)]
+    for level in (0, 6):  # stored, packed
+        one, last = gzip.compress(b"".join(records[:30]), level, mtime=0), gzip.compress(b"".join(records[30:]), level, mtime=0)
+        n = len(one)
+        # A damaged first version line loses the first record only.
+        first = gzip.compress(b"X" + b"".join(records)[1:], level, mtime=0)
+        assert names(warc.salvage(first)) == [(0, len(first)), *ids[1:]]
+        # Cut short: all complete records, and a gap for the rest.
+        got = list(warc.salvage(one[: n * 2 // 3]))
+        assert names(got)[:-1] == ids[: len(got) - 1] and 18 <= len(got) - 1 <= 20
+        assert got[-1].reason == "member" and got[-1].end == n * 2 // 3 and got[-1].start == got[0].end > n // 2
+        # A wrong check sum: all records whose digest holds, none twice, and the next member whole.
+        damaged = bytearray(one + last)
+        damaged[n - 6] ^= 1
+        got = names(warc.salvage(bytes(damaged)))
+        assert [g for g in got if isinstance(g, str)] == ids and len(got) == 41
+        # Damage in the middle: what lies before it, and the next member whole.
+        damaged = bytearray(one + last)
+        damaged[n // 2 : n // 2 + 40] = b"#" * 40
+        got = [g for g in names(warc.salvage(bytes(damaged))) if isinstance(g, str)]
+        assert len(set(got)) == len(got) and {*ids[:14], *ids[30:]} <= set(got)
+        # Two broken members one after the other.
+        damaged = one[:-100] + last[:-100]
+        got = names(warc.salvage(damaged))
+        assert [g for g in got if isinstance(g, str)] == [*ids[:29], *ids[30:39]]
+    # Records without a digest of their own are kept from a member cut short, not from a damaged one.
+    again = warc.build_record(1, None, b"x" * 200, "0" * 64, 0)
+    packed = gzip.compress(again + records[0] + again, mtime=0)
+    assert names(warc.salvage(packed[:-1]))[:3] == [ids[1], ids[0], ids[1]]
+    wrong = packed[:-8] + bytes([packed[-8] ^ 1]) + packed[-7:]
+    assert [f.reason or f.headers["warc-record-id"] for f in warc.salvage(wrong)] == ["member", ids[0], "member"]
+    # Members within members, nothing, and no end of members.
+    assert names(warc.salvage(gzip.compress(gzip.compress(records[0])))) == ids[:1]
+    deep = records[0]
+    for _ in range(50):
+        deep = gzip.compress(deep)
+    assert [f.reason for f in warc.salvage(deep)] == ["member"] and len(names(warc.salvage(gzip.compress(b"")))) == 1
+
+
 def test_large_records_are_padded_not_cut():
     body = b"0" * (17 << 20)
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
