@@ -22,10 +22,11 @@ from flowtriage.llm.common import without
 
 #: Fixed marks of the template.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: An opener, backslashes, and the rest of a control string. Openers occur in no rest, so
-#: occurrences never overlap and one more backslash in each is undone by one less.
-_CONTROL = r"(<|\[)(\\*)(\|[A-Za-z_]{1,32}\|>|/?s>|/?INST\]|/?SYS>)"
-_ESCAPED = r"(<|\[)\\(\\*)(\|[A-Za-z_]{1,32}\|>|/?s>|/?INST\]|/?SYS>)"
+#: An opener and backslashes before the rest of a control string, which may hold the opener of
+#: another. More or fewer backslashes within a rest leave it one, so one more backslash after
+#: each opener is undone by one less.
+_CONTROL = r"(<|\[)(\\*)(?=\|[^\s<|>]+\|>|/?s>|/?INST\]|/?SYS>)"
+_ESCAPED = r"(<|\[)\\(\\*)(?=\|[^\s<|>]+\|>|/?s>|/?INST\]|/?SYS>)"
 UNKNOWN = "unknown"
 
 
@@ -129,11 +130,11 @@ def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataF
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, _CONTROL, r"$1\\$2$3")
+    return F.regexp_replace(text, _CONTROL, r"$1\\$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPED, r"$1$2$3")
+    return F.regexp_replace(text, _ESCAPED, r"$1$2")
 
 
 def format_turns(df: DataFrame, trained: Sequence[str] = ("assistant",)) -> DataFrame:

@@ -253,6 +253,16 @@ def test_escaping_is_reversible(spark):
         assert not any(c in r.e for c in ("<|im_end|>", "</s>", "[INST]", "[/INST]", "<|x|>"))
 
 
+def test_control_strings_of_any_name_are_escaped(spark):
+    rnd = random.Random(10)
+    marks = ["<|reserved_special_token_7|>", "<|" + "long-name_" * 9 + "|>", "<|é.1|>", "<|a[INST]|>", "<|[/INST]x|>", "[|x-1|>"]
+    made = ["".join(rnd.choice(["<", "[", "\\", "|", "|>", "a-1", "INST]", "/s>", " ", "é", *marks]) for _ in range(14)) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in [*marks, *made]], "t string")
+    for r in rows.select("t", chat_format.escape(F.col("t")).alias("e")).withColumn("u", chat_format.unescape(F.col("e"))).collect():
+        assert r.u == r.t
+        assert not any(m in r.e for m in (*marks, "[INST]", "</s>"))
+
+
 def test_layouts_become_the_same_turns(spark, tmp_path):
     lines = [
         {"id": 1, "prompt": "p", "response": "r"},
