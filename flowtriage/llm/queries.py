@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowtriage.llm import chat_format, decontamination, metric_tree, page_text, piece_codec, simhash, token_counts, token_shards, toxicity, warc
+from flowtriage.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    metric_tree,
+    page_text,
+    piece_codec,
+    simhash,
+    token_counts,
+    token_shards,
+    toxicity,
+    warc,
+)
 from flowtriage.llm.common import table
 from flowtriage.sources.workspace import new_folder
 
@@ -94,6 +106,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), path, contents=False)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model, keep=("doc_id",))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
@@ -105,6 +123,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_metric_tree": op9_metric_tree,
     "op10_piece_codec": op10_piece_codec,
+    "op11_language_id": op11_language_id,
 }
 
 ORACLES: dict[str, str] = {
