@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtriage.llm import (
     chat_format,
+    conversation_repair,
     decontamination,
     language_id,
     metric_tree,
@@ -112,6 +113,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=("doc_id",))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_shards": op2_token_shards,
@@ -124,6 +129,7 @@ QUERIES = {
     "op9_metric_tree": op9_metric_tree,
     "op10_piece_codec": op10_piece_codec,
     "op11_language_id": op11_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
