@@ -18,7 +18,8 @@ Defined results:
 - A null text, or one without a letter, gives ``und`` with score 0.0 and is
   not ambiguous; with no training language at all every row gives ``und``.
 - One training language: every text with a letter gets it with score 1.0.
-- Very long texts are read whole, n-grams of a slice at a time.
+- Very long texts are read whole, n-grams of a slice at a time. Letters are
+  those of Unicode; n-grams see A-Z lower-cased and bytes of other scripts.
 - Repeated rows are scored alike and each counts in training.
 - A null doc_id or lang keeps the row out of training; it is still scored.
 - Columns named like the results are replaced; an empty table gives none.
@@ -41,10 +42,14 @@ from flowtriage.llm.common import map_texts, slices, without
 BUCKETS, ORDERS, ALPHA, GAP = 1 << 18, (1, 2, 3, 4), 0.5, 1.0
 #: Exhaustive codes up to this many languages, random dense codes with CODE_BITS_PER_LOG2 x log2(L) bits above.
 EXHAUSTIVE, CODE_BITS_PER_LOG2 = 7, 10
+#: N-grams a training task holds before it counts them (8 bytes each).
+COUNT_CHUNK = 1 << 22
 #: Language of texts without letters.
 UNDEFINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+_ASCII_LETTER, _HIGH = re.compile(rb"[A-Za-z]"), re.compile(rb"[\x80-\xff]")
+#: Byte map before n-grams: A-Z to a-z, other ASCII but a-z to a space, bytes of other scripts kept.
+_WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,18 +58,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Bucket of every byte n-gram of the lower-cased words of a text, joined by single spaces."""
+def ngram_buckets(text: bytes) -> np.ndarray:
+    """Bucket of every byte n-gram of a UTF-8 text, A-Z lower-cased and other ASCII but a-z turned into spaces."""
     parts = []
-    for piece in slices((" " + _NOT_LETTER.sub(" ", text.lower()) + " ").encode()):
+    for piece in slices(b" " + text.translate(_WORD_BYTES) + b" "):
         data = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
         h = np.zeros(len(data), dtype=np.uint64)
         for n in ORDERS:
             if len(data) < n:
                 break
             h = h[: len(data) - n + 1] * np.uint64(257) + data[n - 1 :] + np.uint64(n)
-            parts.append(((h * _MULTIPLY) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+            parts.append((h * _MULTIPLY) >> np.uint64(64 - BUCKETS.bit_length() + 1))
+    return np.concatenate(parts).astype(np.intp) if parts else np.zeros(0, dtype=np.intp)
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or (bool(_HIGH.search(text)) and bool(_LETTER.search(text.decode("utf-8", "replace"))))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -89,16 +98,15 @@ def codewords(n: int) -> np.ndarray:
 class Model:
     languages: tuple[str, ...]
     code: np.ndarray  # languages x bits, +1/-1
-    weights: np.ndarray  # BUCKETS x bits, float32: log-likelihood ratio of each bucket per bit
+    weights: np.ndarray  # bits x BUCKETS, float32: log-likelihood ratio of each bucket per bit
 
     def predict(self, text: bytes) -> tuple[str, float, bool]:
-        decoded = text.decode("utf-8", "replace")
-        if not self.languages or not _LETTER.search(decoded):
+        if not self.languages or not has_letter(text):
             return UNDEFINED, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        grams = ngram_buckets(decoded)
-        margin = self.weights[grams].sum(axis=0, dtype=np.float64) / math.sqrt(max(len(grams), 1))
+        grams = ngram_buckets(text)
+        margin = np.take(self.weights, grams, axis=1).sum(axis=1, dtype=np.float64) / math.sqrt(max(len(grams), 1))
         loss = np.logaddexp(0.0, -margin[None, :] * self.code).sum(axis=1)
         order = np.lexsort((np.arange(len(loss)), loss))
         first, second = order[0], order[1]
@@ -107,15 +115,25 @@ class Model:
 
 
 def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per language of one task; n-grams wait in groups of at most COUNT_CHUNK before they are counted."""
     sums: dict[str, np.ndarray] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    sizes: dict[str, int] = {}
+
+    def count(lang: str) -> None:
+        found = np.bincount(np.concatenate(waiting.pop(lang)), minlength=BUCKETS)
+        sums[lang] = sums[lang] + found if lang in sums else found
+        sizes[lang] = 0
+
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        grouped: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(langs, texts):
-            grouped.setdefault(lang, []).append(ngram_buckets(text))
-        for lang, grams in grouped.items():
-            found = np.bincount(np.concatenate(grams), minlength=BUCKETS)
-            sums[lang] = sums[lang] + found if lang in sums else found
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            grams = ngram_buckets(text)
+            waiting.setdefault(lang, []).append(grams)
+            sizes[lang] = sizes.get(lang, 0) + len(grams)
+            if sizes[lang] >= COUNT_CHUNK:
+                count(lang)
+    for lang in list(waiting):
+        count(lang)
     for lang, found in sums.items():
         where = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
@@ -128,7 +146,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Counts of every training row (lang not null, doc_id not held out), naive Bayes weights per bit."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     counted = (
-        rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+        rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
         .mapInArrow(_count_partition, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -142,12 +160,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         which = np.array([place[name] for name in table.column("lang").to_pylist()], dtype=np.int64)
         counts[which, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     log_p = np.log((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * BUCKETS)) if languages else counts
-    weights = np.zeros((BUCKETS, code.shape[1]), dtype=np.float32)
+    weights = np.zeros((code.shape[1], BUCKETS), dtype=np.float32)
     for k in range(code.shape[1]):
         on, off = code[:, k] > 0, code[:, k] < 0
         mix_on = np.logaddexp.reduce(log_p[on], axis=0) - math.log(on.sum())
         mix_off = np.logaddexp.reduce(log_p[off], axis=0) - math.log(off.sum())
-        weights[:, k] = mix_on - mix_off
+        weights[k] = mix_on - mix_off
     return Model(languages, code, weights)
 
 

@@ -49,8 +49,8 @@ def test_held_out_accuracy_and_brute_force_decoding(spark):
     held = [r for r in found if r.held_out]
     assert held and sum(r.lang_pred == r.lang for r in held) == len(held)
     for r in found[:20]:  # decoding by hand: nearest codeword by summed logistic loss
-        grams = L.ngram_buckets(r.text)
-        margin = model.weights[grams].astype(float).sum(axis=0) / np.sqrt(len(grams))
+        grams = L.ngram_buckets(r.text.encode())
+        margin = model.weights[:, grams].astype(float).sum(axis=1) / np.sqrt(len(grams))
         loss = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margin, row)) for row in model.code]
         assert r.lang_pred == model.languages[int(np.argmin(loss))]
         assert 0.0 <= r.score <= 1.0
