@@ -14,6 +14,7 @@ from flowtriage.llm import (
     page_text,
     piece_codec,
     simhash,
+    token_alignment,
     token_counts,
     token_shards,
     toxicity,
@@ -113,6 +114,12 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=("doc_id",))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = token_alignment.align_corpus(table(spark, sf_dir, "documents"), a, b, keep=("doc_id",))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -129,6 +136,7 @@ QUERIES = {
     "op9_metric_tree": op9_metric_tree,
     "op10_piece_codec": op10_piece_codec,
     "op11_language_id": op11_language_id,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
