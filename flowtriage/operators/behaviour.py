@@ -1,9 +1,9 @@
 """Per-source sliding-window behaviour features.
 
 A flow's window is the last ``max_flows`` flows of its source that are not
-older than ``window_seconds``, itself included. One frame of rows collects the
-few attributes of at most ``max_flows`` flows; array functions then drop the
-old ones and measure the rest, so a flow costs at most ``max_flows`` steps.
+older than ``window_seconds``, itself included. Windows are contiguous ranges
+whose ends only move forward, so one pass of prefix sums over a run of flows
+measures all of them: a flow costs the same whatever ``max_flows`` is.
 
 No source has to fit one task: flows are ranked within their source and cut
 into runs of ``block_rows``, each run preceded by a halo of ``max_flows - 1``
@@ -13,6 +13,10 @@ distribution of flows over sources.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowtriage import schema as S
@@ -164,24 +168,116 @@ def behaviour_features(
     own = block_of(F.col("src_rank"), block_rows)
     last = block_of(F.col("src_rank") + (max_flows - 1), block_rows)
     micros = micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0).cast("long")
-    split = (
-        ranked.withColumn("_run", F.explode(F.sequence(own, last)))
-        .withColumn("_halo", F.col("_run") != own)
-        .withColumn("_us", micros)
-    )
-    capped = Window.partitionBy("_src", "_run").orderBy("_us", step).rowsBetween(-(max_flows - 1), 0)
-    kept = split.withColumn("_window", F.collect_list(observed(F.col("_us"))).over(capped)).filter(
-        ~F.col("_halo") & ~F.col("_old")
+    narrow = ranked.select(
+        "_src", "src_rank", "_old", micros.alias("_us"), F.col(step).alias("_step"),
+        F.col("dst_port").cast("int").alias("port"), F.col("flow_duration").cast("double").alias("duration"),
+        F.col("pkt_size_avg").cast("double").alias("size"), F.col("totlen_fwd_pkts").cast("double").alias("sent"),
+        F.explode(F.sequence(own, last)).alias("_run"),
+    ).withColumn("_halo", F.col("_run") != own)
+    timed, span = mode == "event_time", window_seconds * 1_000_000
+    measures = narrow.groupBy("_src", "_run").applyInPandas(
+        lambda run: window_measures(run, span, max_flows, timed), _MEASURES
     )
-    if mode == "event_time":
-        kept = kept.withColumn("_window", recent(F.col("_window"), window_seconds))
     return (
-        measured(kept, "_window", timed=mode == "event_time")
+        ranked.where(~F.col("_old"))
+        .join(measures, ["_src", "src_rank"])
         .select(*columns, *S.BEHAVIOUR_COLUMNS)
         .withColumn("behaviour_score", behaviour_score())
     )
 
 
+_MEASURES = "_src string, src_rank long, " + ", ".join(f"{c} double" for c in S.BEHAVIOUR_COLUMNS)
+
+
+def _exact(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Doubles as Python integers over one power-of-two denominator, so sums and squares are exact."""
+    ratios = [v.as_integer_ratio() for v in values.tolist()]
+    scale = max((d for _, d in ratios), default=1)
+    return np.array([n * (scale // d) for n, d in ratios] or [], dtype=object), scale
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=values.dtype if values.dtype != bool else np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def window_measures(run: pd.DataFrame, span_us: int, max_flows: int, timed: bool) -> pd.DataFrame:
+    """The seven behaviour columns of the own flows of one run, in one pass whatever ``max_flows`` is.
+
+    A flow's window is a contiguous range [s, i] of the run in (time, step)
+    order: s is the later of i - max_flows + 1 and the first flow not older
+    than the span (flows without a time come first and belong to no window).
+    Both ends only grow with i, so counts and sums are differences of prefix
+    sums, and a port counts in the windows from its own flow to the last one
+    that still starts at or before it, but only those starting after its
+    previous flow: one +1/-1 interval per flow and one cumulative sum.
+    """
+    run = run.sort_values(["_us", "_step"], na_position="first", kind="stable").reset_index(drop=True)
+    n_rows = len(run)
+    at = np.arange(n_rows)
+    known = run["_us"].notna().to_numpy()
+    us = run["_us"].fillna(0).to_numpy(dtype=np.int64)
+    unknown = int((~known).sum()) if timed else 0
+    start = np.maximum(at - (max_flows - 1), 0)
+    if timed:
+        fresh = unknown + np.searchsorted(us[unknown:], us - span_us, side="left")
+        start = np.where(known, np.maximum(start, fresh), at + 1)
+    n = at - start + 1
+    some = n > 0
+    first = np.minimum(start, n_rows - 1)
+    elapsed = np.maximum(1.0, (us - us[first]) / 1e6) if timed else np.ones(n_rows)
+    duration, size, sent, port = run["duration"], run["size"], run["sent"], run["port"]
+
+    def count(flag: pd.Series) -> np.ndarray:
+        total = _prefix(flag.fillna(False).to_numpy(dtype=bool))
+        return total[at + 1] - total[start]
+
+    def exact_sums(values: pd.Series):
+        present = values.notna().to_numpy()
+        ints, scale = _exact(values.to_numpy()[present])
+        full = np.zeros(n_rows, dtype=object)
+        full[:] = 0
+        full[present] = ints
+        m = _prefix(present.astype(np.int64))
+        s1, s2 = _prefix(full), _prefix(full * full)
+        return m[at + 1] - m[start], s1[at + 1] - s1[start], s2[at + 1] - s2[start], scale
+
+    short, large = count(duration < S.SHORT_FLOW_MICROS), count(sent > S.LARGE_PAYLOAD_BYTES)
+    m_d, s_d, _, scale_d = exact_sums(duration)
+    m_s, s1, s2, scale_s = exact_sums(size)
+    mean_duration = [s / (m * scale_d) if m else None for m, s in zip(m_d.tolist(), s_d.tolist())]
+    deviation = [
+        math.sqrt((m * b - a * a) / (m * m * scale_s * scale_s)) if m else None
+        for m, a, b in zip(m_s.tolist(), s1.tolist(), s2.tolist())
+    ]
+    # distinct ports: flow j counts for windows i in [max(j, first i with s(i) > prev(j)), last i with s(i) <= j]
+    ports = pd.DataFrame({"port": port, "j": at})[port.notna()].sort_values(["port", "j"], kind="stable")
+    j = ports["j"].to_numpy()
+    prev = np.where(ports["port"].to_numpy()[1:] == ports["port"].to_numpy()[:-1], j[:-1], -1) if len(j) else j
+    prev = np.r_[-1, prev] if len(j) else prev
+    lo = np.maximum(j, np.searchsorted(start, prev, side="right"))
+    hi = np.searchsorted(start, j, side="right") - 1
+    live = lo <= hi
+    change = np.zeros(n_rows + 1, dtype=np.int64)
+    np.add.at(change, lo[live], 1)
+    np.add.at(change, hi[live] + 1, -1)
+    distinct = np.cumsum(change[:-1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = pd.DataFrame({
+            "_src": run["_src"],
+            "src_rank": run["src_rank"],
+            "beh_conn_rate_per_min": np.where(some, n / elapsed * 60.0, 0.0),
+            "beh_short_flow_ratio": np.where(some, short / np.maximum(n, 1), np.nan),
+            "beh_unique_dst_ports": distinct.astype(float),
+            "beh_pkt_size_std": pd.array(deviation, dtype="Float64"),
+            "beh_flow_count_window": n.astype(float),
+            "beh_large_payload_ratio": np.where(some, large / np.maximum(n, 1), np.nan),
+            "beh_avg_duration": pd.array(mean_duration, dtype="Float64"),
+        })
+    return out[~(run["_halo"].to_numpy() | run["_old"].to_numpy())]
+
+
 def behaviour_score() -> Column:
     """Weighted, saturated mix of five behaviour columns, within [0, 1]."""
     c = F.col

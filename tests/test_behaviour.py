@@ -140,3 +140,85 @@ def test_a_hot_source_costs_its_cap_per_flow(spark):
     started = time.time()
     assert behaviour.behaviour_features(rows).filter("beh_flow_count_window = 200").count() == 40_000 - 199
     assert time.time() - started < 60
+
+
+def naive_measures(run, span_us, cap, timed):
+    """Every window listed flow by flow."""
+    import pandas as pd
+
+    ordered = run.sort_values(["_us", "_step"], na_position="first", kind="stable").reset_index(drop=True)
+    out = {}
+    for i in range(len(ordered)):
+        me = ordered.iloc[i]
+        rows = ordered.iloc[max(0, i - cap + 1) : i + 1]
+        if timed:
+            mine = me["_us"]
+            rows = rows.iloc[0:0] if mine is None or mine is pd.NA else rows[rows["_us"].notna() & (rows["_us"] >= mine - span_us)]
+        n = len(rows)
+        sizes = [x for x in rows["size"] if x == x]
+        durations = [x for x in rows["duration"] if x == x]
+        mean = sum(sizes) / len(sizes) if sizes else None
+        elapsed = max(1.0, (rows["_us"].iloc[-1] - rows["_us"].iloc[0]) / 1e6) if timed and n else 1.0
+        out[me["src_rank"]] = (
+            n / elapsed * 60.0 if n else 0.0,
+            sum(x < S.SHORT_FLOW_MICROS for x in rows["duration"]) / n if n else None,
+            float(rows["port"].dropna().nunique()),
+            (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5 if sizes else None,
+            float(n),
+            sum(x > S.LARGE_PAYLOAD_BYTES for x in rows["sent"]) / n if n else None,
+            sum(durations) / len(durations) if durations else None,
+        )
+    return out
+
+
+@pytest.mark.parametrize("cap,timed", [(1, True), (3, True), (7, False), (50, True), (200, True)])
+def test_window_measures_equal_listed_windows(cap, timed):
+    import pandas as pd
+
+    rnd = random.Random(cap)
+    n = 300
+    us = [rnd.choice([None] + list(range(0, 120_000_000, 700_000))) for _ in range(n)]
+    run = pd.DataFrame({
+        "_src": "s", "src_rank": range(n), "_old": False, "_halo": [i < 5 for i in range(n)],
+        "_us": pd.array([None if u is None else u for u in sorted(us, key=lambda u: (u is not None, u or 0))], dtype="Int64"),
+        "_step": range(n),
+        "port": pd.array([rnd.choice([None, 80, 443, 22, 53]) for _ in range(n)], dtype="Int32"),
+        "duration": [rnd.choice([float("nan"), 10.0, 999.0, 5000.0, 1e6 + 0.1]) for _ in range(n)],
+        "size": [rnd.choice([float("nan"), 512.0, 512.0, 0.1, 1480.25]) for _ in range(n)],
+        "sent": [rnd.choice([float("nan"), 0.0, 20000.0]) for _ in range(n)],
+    })
+    got = behaviour.window_measures(run, 60_000_000, cap, timed)
+    want = naive_measures(run, 60_000_000, cap, timed)
+    assert len(got) == n - 5
+    for row in got.itertuples(index=False):
+        values = tuple(None if pd.isna(v) else float(v) for v in row[2:])
+        for a, b in zip(values, want[row.src_rank]):
+            assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12, abs=1e-12)
+
+
+def test_equal_sizes_have_no_spread_at_all():
+    import pandas as pd
+
+    n = 500
+    run = pd.DataFrame({
+        "_src": "s", "src_rank": range(n), "_old": False, "_halo": False,
+        "_us": pd.array(range(0, n * 1000, 1000), dtype="Int64"), "_step": range(n),
+        "port": pd.array([80] * n, dtype="Int32"), "duration": 1.0, "sent": 1.0,
+        "size": [1e9 + 0.3 if i < 250 else 0.7 for i in range(n)],
+    })
+    got = behaviour.window_measures(run, 10**12, 100, True)
+    assert (got["beh_pkt_size_std"].iloc[99:240] == 0).all() and (got["beh_pkt_size_std"].iloc[350:] == 0).all()
+
+
+def test_cost_per_flow_does_not_grow_with_the_cap(spark):
+    import time
+
+    rows = spark.range(40_000).selectExpr(
+        "id AS flow_id", "id + 1 AS step", "timestamp_micros(id * 1500) AS ts", "'hot' AS src_ip",
+        "CAST(id % 50 AS INT) AS dst_port", "CAST(id % 2000 AS DOUBLE) AS flow_duration",
+        "CAST(id % 900 AS DOUBLE) AS pkt_size_avg", "CAST(id % 20000 AS DOUBLE) AS totlen_fwd_pkts",
+    )
+    started = time.time()
+    found = behaviour.behaviour_features(rows, window_seconds=10**6, max_flows=20_000)
+    assert found.filter("beh_flow_count_window = 20000").count() == 40_000 - 19_999
+    assert time.time() - started < 60
