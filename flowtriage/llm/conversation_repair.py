@@ -34,9 +34,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowtriage.sources.workspace import durable
 
@@ -49,7 +49,7 @@ NONE, BLANK, DUPLICATE, CUT = 0, 1, 2, 3
 #: Role initials s, u, a, anything else.
 INITIAL = {"s": 0, "u": 1, "a": 2}
 #: States: start, after s, after u, after a; where each role initial leads (-1: not allowed).
-_NEXT = np.array([[1, 2, -1, -1], [-1, 2, -1, -1], [-1, -1, 3, -1], [-1, 2, -1, -1]])
+_NEXT = ((1, 2, -1, -1), (-1, 2, -1, -1), (-1, -1, 3, -1), (-1, 2, -1, -1))
 #: The state an inserted or re-roled turn leads to, and its role.
 _INSERT_TO, _INSERT_ROLE = (2, 2, 3, 2), ("user", "user", "assistant", "user")
 _ACCEPT = (0, 3)
@@ -57,67 +57,63 @@ _INF = 1 << 40
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def _relax(v: np.ndarray) -> np.ndarray:
+def _relax(v: list[int]) -> list[int]:
     """Inserts before a row: v[q] = min(v[q], INSERT + v[insert_to(q)]), to the fixed point."""
     for _ in range(4):
-        for q in range(4):
-            v[q] = np.minimum(v[q], INSERT + v[_INSERT_TO[q]])
-    return v
+        v = [min(v[q], INSERT + v[_INSERT_TO[q]]) for q in range(4)]
+    return [min(x, _INF) for x in v]
 
 
-def _moves(q: int, initial: int, fault: int, ahead: np.ndarray, here: np.ndarray):
+def _moves(q: int, initial: int, fault: int, ahead: list[int], here: list[int]):
     """(letter, cost, next state, cost-to-go after) of every edit of a row in state q, in ASCII order."""
     extra = TRUNCATED if fault == CUT else 0
     yield "D", DELETE, q, ahead[q]
     yield "I", INSERT, _INSERT_TO[q], here[_INSERT_TO[q]]
     if fault in (BLANK, DUPLICATE):
         return
-    if initial < 3 and _NEXT[q, initial] >= 0:
-        yield "K", KEEP + extra, int(_NEXT[q, initial]), ahead[_NEXT[q, initial]]
-    target = 2 if q == 2 else 1
-    if target != initial:
+    if initial < 3 and _NEXT[q][initial] >= 0:
+        yield "K", KEEP + extra, _NEXT[q][initial], ahead[_NEXT[q][initial]]
+    if (2 if q == 2 else 1) != initial:
         yield "R", REROLE + extra, _INSERT_TO[q], ahead[_INSERT_TO[q]]
 
 
-def _back(ahead: np.ndarray, initial: int, fault: int) -> np.ndarray:
-    """Cost-to-go before a row from that after it (vectors, or 4 x k matrices column by column)."""
-    here = np.full_like(ahead, _INF)
-    extra = TRUNCATED if fault == CUT else 0
-    for q in range(4):
-        here[q] = DELETE + ahead[q]
-        if fault in (BLANK, DUPLICATE):
-            continue
-        if initial < 3 and _NEXT[q, initial] >= 0:
-            here[q] = np.minimum(here[q], KEEP + extra + ahead[_NEXT[q, initial]])
-        if (2 if q == 2 else 1) != initial:
-            here[q] = np.minimum(here[q], REROLE + extra + ahead[_INSERT_TO[q]])
+def _back(ahead: list[int], initial: int, fault: int) -> list[int]:
+    """Cost-to-go before a row from that after it."""
+    here = [DELETE + a for a in ahead]
+    if fault not in (BLANK, DUPLICATE):
+        extra = TRUNCATED if fault == CUT else 0
+        for q in range(4):
+            to = _NEXT[q][initial] if initial < 3 else -1
+            if to >= 0:
+                here[q] = min(here[q], KEEP + extra + ahead[to])
+            if (2 if q == 2 else 1) != initial:
+                here[q] = min(here[q], REROLE + extra + ahead[_INSERT_TO[q]])
     return _relax(here)
 
 
-def end_vector() -> np.ndarray:
-    return _relax(np.array([0 if q in _ACCEPT else _INF for q in range(4)], dtype=np.int64))
+def end_vector() -> list[int]:
+    return _relax([0 if q in _ACCEPT else _INF for q in range(4)])
 
 
-def transfer(initials: np.ndarray, faults: np.ndarray) -> np.ndarray:
+def transfer(initials, faults) -> list[list[int]]:
     """Least cost from each state before the first row to each state after the last (inserts after it excluded)."""
-    m = np.full((4, 4), _INF, dtype=np.int64)
-    np.fill_diagonal(m, 0)
+    columns = [[0 if q == t else _INF for q in range(4)] for t in range(4)]
     for i in range(len(initials) - 1, -1, -1):
-        m = _back(m, int(initials[i]), int(faults[i]))
-    return np.minimum(m, _INF)
+        columns = [_back(c, initials[i], faults[i]) for c in columns]
+    return [[columns[t][q] for t in range(4)] for q in range(4)]
 
 
-def walk(initials, faults, end: np.ndarray, last: bool, start: int) -> tuple[int, int, list[str], str]:
+def walk(initials, faults, end: list[int], last: bool, start: int) -> tuple[int, int, list[str], str]:
     """Exit state, cost, one token per row (its inserts then its letter) and the inserts after the end."""
     n = len(initials)
-    values = [None] * (n + 1)
-    values[n] = end
+    values: list = [None] * (n + 1)
+    values[n] = list(end)
     for i in range(n - 1, -1, -1):
-        values[i] = _back(values[i + 1], int(initials[i]), int(faults[i]))
+        values[i] = _back(values[i + 1], initials[i], faults[i])
     q, cost, tokens, token = start, 0, [], ""
     i = 0
     while i < n:
-        for letter, step, to, rest in _moves(q, int(initials[i]), int(faults[i]), values[i + 1], values[i]):
+        for letter, step, to, rest in _moves(q, initials[i], faults[i], values[i + 1], values[i]):
             if step + rest == values[i][q]:
                 break
         cost += step
@@ -164,49 +160,83 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _transfers(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    ini, flt = rows["initial"].to_numpy(), rows["fault"].to_numpy()
-    pairs = [f"{'sua?'[a]}{'sua?'[b]}" for a, b in zip(ini[:-1], ini[1:])]
-    illegal = sum(p not in ("su", "ua", "au") for p in pairs)
-    return pd.DataFrame({
-        "conv_id": [rows["conv_id"].iloc[0]], "blk": [rows["blk"].iloc[0]], "matrix": [transfer(ini, flt).ravel().tolist()],
-        "illegal": [illegal], "first_role": [rows["role"].iloc[0]], "last_role": [rows["role"].iloc[-1]],
-    })
-
-
-def _ends(blocks: pd.DataFrame) -> pd.DataFrame:
-    blocks = blocks.sort_values("blk", ascending=False)
-    v, ends = end_vector(), []
-    for m in blocks["matrix"]:
-        ends.append(v.tolist())
-        v = np.minimum((np.array(m, dtype=np.int64).reshape(4, 4) + v[None, :]).min(axis=1), _INF)
-    firsts, lasts = blocks["first_role"].tolist()[::-1], blocks["last_role"].tolist()[::-1]
-    between = sum(f"{a[:1]}{b[:1]}" not in ("su", "ua", "au") for a, b in zip(lasts[:-1], firsts[1:]))
-    return pd.DataFrame({
-        "conv_id": blocks["conv_id"], "blk": blocks["blk"], "end": ends,
-        "last": blocks["blk"] == blocks["blk"].max(), "illegal": int(blocks["illegal"].sum()) + between,
-    })
-
-
-def _walks(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    ini, flt = rows["initial"].to_numpy(), rows["fault"].to_numpy()
-    end, last = np.array(rows["end"].iloc[0], dtype=np.int64), bool(rows["last"].iloc[0])
+def _legal(a: str, b: str) -> bool:
+    return a[:1] + b[:1] in ("su", "ua", "au")
+
+
+def _transfers(rows: list[tuple]) -> list[tuple]:
+    """Rows (conv_id, blk, pos, initial, fault, role) of one block: its matrix, inner illegal pairs, first and last role."""
+    initials, faults, roles = [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]
+    illegal = sum(not _legal(a, b) for a, b in zip(roles, roles[1:]))
+    matrix = [x for line in transfer(initials, faults) for x in line]
+    return [(rows[0][0], rows[0][1], matrix, illegal, roles[0], roles[-1])]
+
+
+def _ends(blocks: list[tuple]) -> list[tuple]:
+    """Block summaries of one conversation in order: the cost-to-go vector at each block end, folded from the last."""
+    v, out = end_vector(), []
+    illegal = sum(b[3] for b in blocks) + sum(not _legal(a[5], b[4]) for a, b in zip(blocks, blocks[1:]))
+    for k in range(len(blocks) - 1, -1, -1):
+        conv, blk, matrix = blocks[k][:3]
+        out.append((conv, blk, list(v), k == len(blocks) - 1, illegal))
+        v = [min(min(matrix[q * 4 + t] + v[t] for t in range(4)), _INF) for q in range(4)]
+    return out[::-1]
+
+
+def _walks(rows: list[tuple]) -> list[tuple]:
+    """Rows (conv_id, blk, pos, initial, fault, end, last) of one block: a walk from each entry state."""
+    initials, faults = [r[3] for r in rows], [r[4] for r in rows]
     out = []
     for q in range(4):
-        exit_state, cost, tokens, tail = walk(ini, flt, end, last, q)
-        out.append((rows["conv_id"].iloc[0], rows["blk"].iloc[0], q, exit_state, cost, "".join(tokens) + tail, tokens, tail, len(rows)))
-    return pd.DataFrame(out, columns=["conv_id", "blk", "entry", "exit", "cost", "piece", "tokens", "tail", "n_rows"])
+        exit_state, cost, tokens, tail = walk(initials, faults, rows[0][5], rows[0][6], q)
+        out.append((rows[0][0], rows[0][1], q, exit_state, cost, "".join(tokens) + tail, tokens, tail, len(rows)))
+    return out
 
 
-def _chain(walks: pd.DataFrame) -> pd.DataFrame:
-    q, chosen = 0, []
-    for blk, part in walks.sort_values(["blk", "entry"]).groupby("blk", sort=True):
-        row = part[part["entry"] == q].iloc[0]
-        chosen.append((row["conv_id"], blk, q))
-        q = int(row["exit"])
-    return pd.DataFrame(chosen, columns=["conv_id", "blk", "entry"])
+def _chain(walks: list[tuple]) -> list[tuple]:
+    """Rows (conv_id, blk, entry, exit) of one conversation by block and entry: the entry state of every block."""
+    q, chosen, by = 0, [], {}
+    for conv, blk, entry, exit_state in walks:
+        by[blk, entry] = exit_state
+    for blk in sorted({w[1] for w in walks}):
+        chosen.append((walks[0][0], blk, q))
+        q = by[blk, q]
+    return chosen
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """``work`` on the rows of every group, groups dealt by key and read in order; many groups to an Arrow batch.
+
+    A task holds one group's rows at a time (a block, or a conversation's block summaries).
+    """
+    out_schema = T._parse_datatype_string(schema)
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, done = None, [], []
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                key = values[:width]
+                if rows and key != current:
+                    done += work(rows)
+                    rows = []
+                current = key
+                rows.append(values)
+            if len(done) >= 4096:
+                yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, r)) for r in done], schema=_arrow(out_schema))
+                done = []
+        if rows:
+            done += work(rows)
+        if done:
+            yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, r)) for r in done], schema=_arrow(out_schema))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
 
 
 def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +258,7 @@ def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if letter == "D":
                     continue
                 if letter == "K":
-                    line, state = f"{role}:{text}", int(_NEXT[state, INITIAL.get(role[:1], 3)])
+                    line, state = f"{role}:{text}", _NEXT[state][INITIAL.get(role[:1], 3)]
                 else:  # I or R
                     line = f"{_INSERT_ROLE[state]}:{text if letter == 'R' else ''}"
                     state = _INSERT_TO[state]
@@ -245,19 +275,25 @@ def repair(conversations: DataFrame) -> DataFrame:
     """One row per original conv_id: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
     rows = durable(damaged(conversations), "repair-rows")
     same = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))
-    blocks = rows.groupBy("conv_id", "blk").applyInPandas(
-        _transfers, "conv_id long, blk long, matrix array<long>, illegal long, first_role string, last_role string"
+    blocks = by_group(
+        rows.select("conv_id", "blk", "pos", "initial", "fault", "role"), ["conv_id", "blk"], ["pos"], _transfers,
+        "conv_id long, blk long, matrix array<long>, illegal long, first_role string, last_role string",
+    )
+    ends = durable(
+        by_group(blocks, ["conv_id"], ["blk"], _ends, "conv_id long, blk long, end array<long>, last boolean, illegal long"),
+        "repair-ends",
     )
-    ends = durable(blocks.groupBy("conv_id").applyInPandas(_ends, "conv_id long, blk long, end array<long>, last boolean, illegal long"), "repair-ends")
     walks = durable(
-        rows.alias("l")
-        .join(ends.alias("r"), same & (F.col("l.blk") == F.col("r.blk")))
-        .select("l.conv_id", "l.blk", "pos", "initial", "fault", "end", "last")
-        .groupBy("conv_id", "blk")
-        .applyInPandas(_walks, "conv_id long, blk long, entry int, exit int, cost long, piece string, tokens array<string>, tail string, n_rows long"),
+        by_group(
+            rows.alias("l")
+            .join(ends.alias("r"), same & (F.col("l.blk") == F.col("r.blk")))
+            .select("l.conv_id", "l.blk", "pos", "initial", "fault", "end", "last"),
+            ["conv_id", "blk"], ["pos"], _walks,
+            "conv_id long, blk long, entry int, exit int, cost long, piece string, tokens array<string>, tail string, n_rows long",
+        ),
         "repair-walks",
     )
-    entries = walks.select("conv_id", "blk", "entry", "exit").groupBy("conv_id").applyInPandas(_chain, "conv_id long, blk long, entry int")
+    entries = by_group(walks.select("conv_id", "blk", "entry", "exit"), ["conv_id"], ["blk", "entry"], _chain, "conv_id long, blk long, entry int")
     chosen = durable(
         walks.alias("l").join(entries.alias("r"), same & (F.col("l.blk") == F.col("r.blk")) & (F.col("l.entry") == F.col("r.entry")))
         .select("l.conv_id", "l.blk", "cost", "piece", "tokens", "tail", "n_rows"),
