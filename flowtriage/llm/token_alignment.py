@@ -32,8 +32,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowtriage.llm.common import map_texts, without
+from flowtriage.llm.common import TEXT, text_or_empty, without
 from flowtriage.sources.workspace import durable
 
 #: Pairs of the counted table at most for a broadcast lookup (about 17 bytes each).
@@ -79,7 +80,35 @@ def tokenizers(a_path: str, b_path: str):
         else:
             b_bytes.append(piece.replace(SPACE, " ").encode())
     lengths = (np.array([len(x) for x in a_bytes], dtype=np.int64), np.array([len(x) for x in b_bytes], dtype=np.int64))
-    return a, b, a_bytes, b_bytes, lengths
+    return a, b, a_bytes, b_bytes, lengths, _digits(max(len(a_bytes), len(b_bytes)))
+
+
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of every id as a row of bytes, and their count."""
+    width = len(str(size))
+    table, counts = np.zeros((size, width), dtype=np.uint8), np.zeros(size, dtype=np.int64)
+    for i in range(size):
+        text = str(i).encode()
+        table[i, : len(text)] = np.frombuffer(text, dtype=np.uint8)
+        counts[i] = len(text)
+    return table, counts
+
+
+def group_string(a_ids, b_ids, a_last, b_last, digits) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: every group's A ids, then its B ids, groups in order; built without a loop over tokens."""
+    table, counts = digits
+    group = np.concatenate([np.cumsum(np.r_[0, a_last[:-1]]) * 2, np.cumsum(np.r_[0, b_last[:-1]]) * 2 + 1])
+    order = np.argsort(group, kind="stable")
+    ids = np.concatenate([a_ids, b_ids])[order]
+    marks = np.concatenate([np.where(a_last, ord("|"), ord(",")), np.where(b_last, ord(";"), ord(","))])[order]
+    n, width = len(ids), table.shape[1]
+    rows = np.zeros((n, width + 1), dtype=np.uint8)
+    rows[:, :width] = table[ids]
+    used = counts[ids]
+    rows[np.arange(n), used] = marks
+    used = used + 1
+    used[-1] -= 1  # nothing after the last B id
+    return rows[np.arange(width + 1)[None, :] < used[:, None]].tobytes()
 
 
 def groups(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
@@ -95,38 +124,26 @@ def groups(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
         point = ahead
 
 
-def align(text: bytes, a, b, a_bytes, b_bytes, lengths):
+def align(text: bytes, a_ids: list[int], b_ids: list[int], a_bytes, b_bytes, lengths, digits):
     """n_a, n_b, n_groups, n_links, groups string and packed links of one text (zeros when the bytes disagree)."""
-    none = (0, 0, 0, 0, "", np.zeros(0, dtype=np.int64))
-    if not text:
-        return none
-    decoded = text.decode("utf-8", "replace")
     target = b" " + text
-    a_ids = np.array(a.encode(" " + decoded, add_special_tokens=False).ids, dtype=np.int64)
-    b_ids = np.array(b.encode(decoded), dtype=np.int64)
-    if b"".join(map(a_bytes.__getitem__, a_ids)) != target or b"".join(map(b_bytes.__getitem__, b_ids)) != target:
-        return none
+    if not text or b"".join(map(a_bytes.__getitem__, a_ids)) != target or b"".join(map(b_bytes.__getitem__, b_ids)) != target:
+        return 0, 0, 0, 0, b"", _NO_LINKS
+    a_ids, b_ids = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
     a_end, b_end = np.cumsum(lengths[0][a_ids]), np.cumsum(lengths[1][b_ids])
     terminal = groups(a_end, b_end)
     na = len(a_ids)
     ta, tb = terminal[:na], terminal[na:]
     a_last = np.r_[ta[1:] != ta[:-1], True]
     b_last = np.r_[tb[1:] != tb[:-1], True]
-    a_sep = np.where(a_last, "|", ",")
-    b_sep = np.where(b_last, ";", ",")
-    b_sep[-1] = ""
-    # group k: its A ids, then its B ids; A and B runs are both in group order
-    a_run = np.r_[0, np.flatnonzero(a_last) + 1]
-    b_run = np.r_[0, np.flatnonzero(b_last) + 1]
-    a_words = [f"{i}{s}" for i, s in zip(a_ids.tolist(), a_sep.tolist())]
-    b_words = [f"{i}{s}" for i, s in zip(b_ids.tolist(), b_sep.tolist())]
-    parts = []
-    for k in range(len(a_run) - 1):
-        parts.append("".join(a_words[a_run[k] : a_run[k + 1]]))
-        parts.append("".join(b_words[b_run[k] : b_run[k + 1]]))
     ends, ai, bi = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
     links = (a_ids[ai] << _SHIFT) | b_ids[bi]
-    return na, len(b_ids), len(a_run) - 1, len(ends), "".join(parts), links
+    return na, len(b_ids), int(a_last.sum()), len(ends), group_string(a_ids, b_ids, a_last, b_last, digits), links
+
+
+_NO_LINKS = np.zeros(0, dtype=np.int64)
+#: Texts encoded and aligned at a time; bounds a task's memory beside the texts themselves.
+CHUNK = 256
 
 
 FIELDS = (
@@ -141,22 +158,32 @@ FIELDS = (
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Every row with counts, its groups' hash and its packed links; one pass, no shuffle."""
-
-    def make():
-        loaded = tokenizers(a_path, b_path)
-
-        def work(texts: list[bytes]) -> list[list]:
-            out = [align(t, *loaded) for t in texts]
-            return [
-                [o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out],
-                [hashlib.sha256(o[4].encode()).hexdigest() if o[0] else "" for o in out],
-                [o[5].tolist() for o in out],
-            ]
-
-        return work
-
     kept = without(docs, [f.name for f in FIELDS] + ["n_best", "count_sum"]) if keep is None else list(keep)
-    return map_texts(docs, text, kept, FIELDS, make)
+    kept = [c for c in kept if c.lower() not in {f.name for f in FIELDS}]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *FIELDS])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, a_bytes, b_bytes, lengths, digits = tokenizers(a_path, b_path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                texts = [t or b"" for t in part.column(len(kept)).cast(pa.binary()).to_pylist()]
+                words = [t.decode("utf-8", "replace") for t in texts]
+                a_all = a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+                b_all = b.encode(words)
+                out = [align(t, x.ids, y, a_bytes, b_bytes, lengths, digits) for t, x, y in zip(texts, a_all, b_all)]
+                links = [o[5] for o in out]
+                offsets = np.r_[0, np.cumsum([len(x) for x in links])].astype(np.int32)
+                columns = [part.column(i) for i in range(len(kept))] + [
+                    pa.array([o[k] for o in out], pa.int64()) for k in range(4)
+                ] + [
+                    pa.array([hashlib.sha256(o[4]).hexdigest() if o[0] else "" for o in out], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([_NO_LINKS, *links]), pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.select(*kept, text_or_empty(text).alias(TEXT)).mapInArrow(run, schema)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
