@@ -116,7 +116,8 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    found = token_alignment.align_corpus(table(spark, sf_dir, "documents"), a, b, keep=("doc_id",))
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = token_alignment.align_corpus(table(spark, sf_dir, "documents"), a, b, keep=("doc_id",), a_ranks=ranks)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

@@ -85,12 +85,15 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [A.BROADCAST_PAIRS, 0])
-def test_corpus_against_brute_force(spark, monkeypatch, limit):
+RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("limit,ranks", [(A.BROADCAST_PAIRS, None), (0, None), (A.BROADCAST_PAIRS, RANKS), (0, RANKS)])
+def test_corpus_against_brute_force(spark, monkeypatch, limit, ranks):
     monkeypatch.setattr(A, "BROADCAST_PAIRS", limit)
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_best string")
-    got = {r.doc_id: r for r in A.align_corpus(df, *PATHS).collect()}
+    got = {r.doc_id: r for r in A.align_corpus(df, *PATHS, a_ranks=ranks).collect()}
     want = brute(TEXTS)
     counts = Counter(p for w in want for p in w[5])
     top = Counter()
@@ -107,6 +110,13 @@ def test_corpus_against_brute_force(spark, monkeypatch, limit):
     assert got[6].n_a > 0 and got[4].n_a > 0
 
 
+def test_ranks_give_the_json_ids():
+    a = A.tokenizers(*PATHS)[0]
+    fast = A.tokenizers(*PATHS, RANKS)[0]
+    texts = [" " + t for t in TEXTS if t] + [" <|endoftext|>x", " \u00a0\u2028 a\r\n\r\n  b"]
+    assert A.encode_a(fast, texts) == A.encode_a(a, texts)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert A.align_corpus(empty, *PATHS).count() == 0
