@@ -13,7 +13,8 @@ from flowtriage.plans.tables import (
 from flowtriage.plans.windows import BLOCK, DAY_SECONDS, WINDOW_SQL, _ALL, _COUNTS_SQL, _EXPR, _ROUNDED
 from flowtriage.sources.sinks import load_policy
 from flowtriage.sources.workspace import new_folder
-from flowtriage.streaming import jobs
+from flowtriage import schema as S
+from flowtriage.streaming import jobs, restore
 
 
 def flow_stream(spark, folder):
@@ -90,9 +91,38 @@ def r09_state_reset(spark, folder):
     return _batched_behaviour(spark, stream, 10 * DAY_SECONDS).select("flow_id", "beh_flow_count_window")
 
 
+def _keyed(spark, folder, seconds, max_flows=S.BEHAVIOUR_MAX_FLOWS, control=False):
+    """Keyed RocksDB state over four parts of the events: a restart after each, a hand-over to a fresh query after two."""
+    events = table(spark, folder, "events")
+
+    def prepare(raw):
+        found = events_as_flows(raw)
+        return found.withColumn("control", F.when(F.col("k") == 0, "reset")) if control else found
+
+    return restore.behaviour_over_parts(events, prepare, "event_id", window_seconds=seconds, max_flows=max_flows)
+
+
+def r03_keyed_state(spark, folder):
+    found, _, _ = _keyed(spark, folder, DAY_SECONDS)
+    return found.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in _ALL])
+
+
+def r09_keyed_reset(spark, folder):
+    found, _, _ = _keyed(spark, folder, 10 * DAY_SECONDS, control=True)
+    return found.select("flow_id", "beh_flow_count_window")
+
+
+def s11_state_restored(spark, folder):
+    """The last five flows of every source, read back from the state the streams left."""
+    _, first, second = _keyed(spark, folder, DAY_SECONDS, max_flows=5)
+    tail = restore.last_state(spark, first, second)
+    return tail.select(F.col("src_key").alias("src_ip"), "us", F.col("port").alias("dst_port"))
+
+
 QUERIES = {f.__name__: f for f in (
     r01_stream_triage, r02_running_metrics, r03_stateful_behaviour, r04_online_learning, r05_progress_snapshots,
     r06_header_and_summary, r07_dead_letters, r08_event_time_windows, r09_state_reset,
+    r03_keyed_state, r09_keyed_reset, s11_state_restored,
 )}
 
 _TRIAGED_SQL = FLOWS_SQL + f""",
@@ -141,3 +171,10 @@ counted AS (SELECT flow_id, k, count(*) FILTER (WHERE k > 0) OVER (PARTITION BY
   count(*) FILTER (WHERE k > 0) OVER (PARTITION BY src_ip, spell ORDER BY step ROWS UNBOUNDED PRECEDING) AS r FROM spells)
 SELECT flow_id, CAST(least(c, r, 200) AS DOUBLE) AS beh_flow_count_window FROM counted WHERE k > 0""",
 }
+
+ORACLES["r03_keyed_state"] = ORACLES["r03_stateful_behaviour"]
+ORACLES["r09_keyed_reset"] = ORACLES["r09_state_reset"]
+ORACLES["s11_state_restored"] = FLOWS_SQL + """,
+keyed AS (SELECT *, coalesce(src_ip, 'row_' || CAST(CAST(dst_port AS INT) AS VARCHAR), 'row_') AS src_key FROM flows)
+SELECT src_key AS src_ip, epoch_us(ts) AS us, CAST(dst_port AS INT) AS dst_port
+FROM (SELECT *, row_number() OVER (PARTITION BY src_key ORDER BY step DESC) AS rn FROM keyed) WHERE rn <= 5"""

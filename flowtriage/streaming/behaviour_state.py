@@ -44,6 +44,13 @@ class SourceWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState("flows", BUFFER_SCHEMA, ttlDurationMs=self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A buffer handed over from elsewhere (see ``read_buffers``): its flows in time order, the last ``max_flows`` kept."""
+        ordered = initialState.sort_values(["us", "position"], kind="stable").tail(self.max_flows)
+        kept = list(zip(ordered["us"], ordered["port"], ordered["duration"], ordered["size"], ordered["sent"]))
+        if kept:
+            self.buffer.put(kept)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One micro-batch of one source; the trigger bounds its size.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "flow_id"], kind="stable")
@@ -74,9 +81,14 @@ def stream_behaviour(
     window_seconds: int = S.BEHAVIOUR_WINDOW_SECONDS,
     max_flows: int = S.BEHAVIOUR_MAX_FLOWS,
     ttl_hours: int | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Behaviour columns and score of every streamed flow.
 
+    ``initial`` (columns src_key, position, us, port, duration, size, sent, as
+    ``read_buffers`` gives them) fills the buffers before the first batch of a
+    query that starts without a checkpoint.
+
     The state only keeps flows; the measures are the column expressions that
     tables use. ``src_ip`` comes out as the key: the source, or one made of the
     destination port where a flow has none.
@@ -103,8 +115,21 @@ def stream_behaviour(
         outputStructType=OUTPUT_SCHEMA,
         outputMode="append",
         timeMode="ProcessingTime" if ttl_hours else "None",
+        initialState=None if initial is None else initial.groupBy("src_key"),
     )
     window = recent(F.arrays_zip(*[f.name for f in BUFFER_SCHEMA]), window_seconds)
     kept = windows.select(F.col("src_key").alias("src_ip"), "flow_id", window.alias("_window"))
     found = measured(kept, "_window").select("src_ip", "flow_id", *S.BEHAVIOUR_COLUMNS)
     return found.withColumn("behaviour_score", behaviour_score())
+
+
+def read_buffers(spark, checkpoint: str) -> DataFrame:
+    """The buffers a query left in its checkpoint, read by the state store reader: one row per kept flow, in buffer order."""
+    spark.streams.active  # the reader needs the state store coordinator, which the query manager starts
+    state = (
+        spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "flows")
+        .option("flattenCollectionTypes", "false").load()
+    )
+    return state.select(F.col("key.src_key").alias("src_key"), F.posexplode("list_value").alias("position", "flow")).select(
+        "src_key", "position", *[F.col(f"flow.{f.name}").alias(f.name) for f in BUFFER_SCHEMA]
+    )

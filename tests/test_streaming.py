@@ -126,3 +126,25 @@ def test_dead_letters(spark):
     df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None), (4, "NaN"), (5, "1e3")], "id int, v string")
     usable, broken = jobs.split_valid(df, ["v"])
     assert [r["id"] for r in usable.collect()] == [1, 5] and [r["id"] for r in broken.collect()] == [2, 3, 4]
+
+
+def test_parts_with_restarts_and_a_hand_over(spark):
+    from flowtriage.streaming import restore
+
+    rows = make_rows(600, seed=31, ties=False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, first, second = restore.behaviour_over_parts(df, lambda raw: raw, "step", parts=4, hand_over=2, window_seconds=60, max_flows=20)
+    assert (first.batches, second.batches) == (2, 2)
+    assert_same(collect(found), brute_force(rows, 60, 20))
+    tail = restore.last_state(spark, first, second)
+    want = behaviour.behaviour_tail(df, 20).select("src_ip", "flow_duration").collect()
+    got = tail.select(F.col("src_key").alias("src_ip"), F.col("duration").alias("flow_duration")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_parts_of_an_empty_table(spark):
+    from flowtriage.streaming import restore
+
+    empty = spark.createDataFrame([], SCHEMA)
+    found, first, second = restore.behaviour_over_parts(empty, lambda raw: raw, "step", window_seconds=60, max_flows=20)
+    assert found.count() == 0 and restore.last_state(spark, first, second).count() == 0
