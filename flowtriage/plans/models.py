@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from flowtriage.functions import flow
-from flowtriage.operators import metrics, models, sampling
+from flowtriage.operators import boosting, metrics, models, sampling
 from flowtriage.plans.aggregates import FLOW_FEATURES, ITEM_FEATURES, ITEMS_SQL, items
 from flowtriage.plans.tables import DECISIONS_SQL, FLOWS_SQL, decisions, flows
 from flowtriage.sources import sinks
@@ -148,7 +148,43 @@ def l11_calibration_eligibility(spark, folder):
     return by_port
 
 
+#: The depth-1 case that SQL repeats: penalties on gain (gamma), weights (L2) and gradients (L1), margin 0.
+SPLIT_SETTINGS = boosting.BoostSettings(rounds=1, depth=1, eta=1.0, gamma=0.1, l2=1.0, l1=0.5, min_child_weight=1.0)
+SPLIT_FEATURES = ["l_discount", "l_tax"]
+
+
+def _returns(spark, folder):
+    from flowtriage.plans.tables import table
+
+    rows = table(spark, folder, "lineitem")
+    return rows.select(*SPLIT_FEATURES, "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+
+
+def _tree_rows(spark, ensemble, first=0):
+    rows = ensemble.table(spark).where(F.col("tree") >= first)
+    return rows.select("tree", "node", "feature", "threshold", F.round("weight", 8).alias("weight"))
+
+
+def l02_histogram_split(spark, folder):
+    """One second-order histogram split of every lineitem row: is a line returned, by discount and tax."""
+    fitted = boosting.fit(_returns(spark, folder), SPLIT_FEATURES, "returned", SPLIT_SETTINGS, base_margin=0.0)
+    return _tree_rows(spark, fitted)
+
+
+def l04_continued_boosting(spark, folder):
+    """Trees fitted on the lines of even orders, stored, loaded and continued on the odd ones."""
+    rows = _returns(spark, folder)
+    settings = boosting.BoostSettings(rounds=3, depth=3, eta=0.3, gamma=0.05, l2=1.0, l1=0.1, row_sample=0.8)
+    first = boosting.fit(rows.where(F.col("l_orderkey") % 2 == 0), SPLIT_FEATURES, "returned", settings)
+    store = f"{checkpoint_root(spark).rstrip('/')}/ensembles/{hashlib.sha256(folder.encode()).hexdigest()[:12]}-{spark.sparkContext.applicationId}"
+    first.table(spark).write.mode("overwrite").parquet(store)
+    loaded = boosting.Ensemble.from_table(spark.read.parquet(store), SPLIT_FEATURES)
+    continued = boosting.fit(rows.where(F.col("l_orderkey") % 2 == 1), SPLIT_FEATURES, "returned", settings, start=loaded)
+    return _tree_rows(spark, continued, first=-1)
+
+
 QUERIES = {f.__name__: f for f in (
+    l02_histogram_split, l04_continued_boosting,
     l01_standardise, l02_train_detector, l03_class_weight, l04_refit_with_holdout, l05_predict,
     l06_isotonic_calibration, l07_calibrated_score, l09_feature_importance, t03_top_importance,
     l10_specialist_detectors, l11_calibration_eligibility, l02_training_counts, l04_holdout_counts,
@@ -171,6 +207,22 @@ fits AS (SELECT p.i, p.s, max(lowest) AS calibrated FROM points p JOIN LATERAL (
 _WEB_PORTS, _AUTH_PORTS = "(80,443,3000,5000,8000,8080,8443,8888)", "(21,22,23,1433,3306,3389,5432,5900,6379,27017)"
 
 ORACLES = {
+    "l02_histogram_split": """WITH r AS (
+  SELECT CAST(l_discount AS DOUBLE) AS x0, CAST(l_tax AS DOUBLE) AS x1, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+gh AS (SELECT x0, x1, 0.5 - y AS g, 0.25 AS h FROM r),
+tot AS (SELECT sum(g) AS G, sum(h) AS H FROM gh),
+v AS (
+  SELECT 0 AS fi, 'l_discount' AS feature, x0 AS t, sum(g) AS g, sum(h) AS h FROM gh GROUP BY x0
+  UNION ALL SELECT 1, 'l_tax', x1, sum(g), sum(h) FROM gh GROUP BY x1),
+c AS (SELECT fi, feature, t, sum(g) OVER w AS GL, sum(h) OVER w AS HL FROM v
+      WINDOW w AS (PARTITION BY fi ORDER BY t NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT c.*, G - GL AS GR, H - HL AS HR, G, H FROM c, tot WHERE t IS NOT NULL AND HL >= 1 AND H - HL >= 1),
+k AS (SELECT *, 0.5 * ((sign(GL) * greatest(abs(GL) - 0.5, 0)) ^ 2 / (HL + 1) + (sign(GR) * greatest(abs(GR) - 0.5, 0)) ^ 2 / (HR + 1) - (sign(G) * greatest(abs(G) - 0.5, 0)) ^ 2 / (H + 1)) - 0.1 AS gain FROM s),
+best AS (SELECT * FROM k WHERE gain > 0 ORDER BY gain DESC, fi, t LIMIT 1)
+SELECT 0 AS tree, 0 AS node, feature, t AS threshold, CAST(NULL AS DOUBLE) AS weight FROM best
+UNION ALL SELECT 0, 1, NULL, NULL, round(-(sign(GL) * greatest(abs(GL) - 0.5, 0)) / (HL + 1), 8) FROM best
+UNION ALL SELECT 0, 2, NULL, NULL, round(-(sign(GR) * greatest(abs(GR) - 0.5, 0)) / (HR + 1), 8) FROM best
+UNION ALL SELECT 0, 0, NULL, NULL, round(-(sign(G) * greatest(abs(G) - 0.5, 0)) / (H + 1), 8) FROM tot WHERE NOT EXISTS (SELECT 1 FROM best)""",
     "l02_training_counts": ITEMS_SQL + "SELECT y, count(*) AS n, count(*) AS in_range, count(*) AS consistent FROM items GROUP BY 1",
     "l04_holdout_counts": FLOWS_SQL + f""",
 split AS (SELECT row_number() OVER (ORDER BY {_HASH}) <= greatest(1, CAST(floor(count(*) OVER () * 0.1e0) AS BIGINT)) AS is_eval FROM flows)
