@@ -85,13 +85,19 @@ def tokenizers(a_path: str, b_path: str, a_ranks: tuple[str, str] | None = None)
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(a_path)
-    a.encode_special_tokens = True
     table = _byte_level_table()
-    a_bytes = []
-    for i in range(a.get_vocab_size(with_added_tokens=True)):
-        token = a.id_to_token(i) or ""
-        a_bytes.append(bytes(table[c] for c in token) if all(c in table for c in token) else token.encode())
+    if a_ranks:  # only the entries are needed: read them from the json, build no second encoder
+        import json
+
+        with open(a_path, encoding="utf-8") as source:
+            spec = json.load(source)
+        entries = {i: token for token, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        names = [entries.get(i, "") for i in range(max(entries) + 1)]
+    else:
+        a = Tokenizer.from_file(a_path)
+        a.encode_special_tokens = True
+        names = [a.id_to_token(i) or "" for i in range(a.get_vocab_size(with_added_tokens=True))]
+    a_bytes = [bytes(table[c] for c in token) if all(c in table for c in token) else token.encode() for token in names]
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     b_bytes = []
     for i in range(b.get_piece_size()):
