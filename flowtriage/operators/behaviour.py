@@ -314,6 +314,26 @@ def behaviour_tail(
     return last.drop("src_rank", "_last", "_src")
 
 
+#: Size of stored source sketches: 2^12 registers, relative standard error 1.04 / 64, about 1.6 %.
+SKETCH_LG_K = 12
+
+
+def source_sketches(flows: DataFrame, by: list[str], source: str = "src_ip", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """One mergeable HyperLogLog sketch of the sources per group (a chunk, a day), to be stored and united later."""
+    return flows.groupBy(*by).agg(F.hll_sketch_agg(F.col(source).cast("string"), lg_k).alias("sketch"), F.count("*").alias("flows"))
+
+
+def united_sources(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct sources of any union of stored sketches, without reading a flow again."""
+    return sketches.groupBy(*(by or [])).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch", True)).alias("sources"), F.count("*").alias("sketches")
+    )
+
+
+def relative_error_bound(lg_k: int = SKETCH_LG_K, sigmas: float = 3.0) -> float:
+    return sigmas * 1.04 / (2 ** lg_k) ** 0.5
+
+
 def tracked_sources(flows: DataFrame, source: str = "src_ip", approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct(source) if approximate else F.count_distinct(source)
     return flows.agg(count.alias("sources"))

@@ -186,6 +186,19 @@ def a22_distinct_sources(spark, folder):
     return behaviour.tracked_sources(flows(spark, folder))
 
 
+def a22_sketched_sources(spark, folder):
+    """Sketches stored per chunk and read back, united without the flows; checked against the exact count."""
+    rows = flows(spark, folder)
+    stored = durable(behaviour.source_sketches(rows, ["chunk"]), "source-sketches")
+    united = behaviour.united_sources(stored)
+    exact = behaviour.tracked_sources(rows).withColumnRenamed("sources", "exact")
+    bound = behaviour.relative_error_bound()
+    return united.crossJoin(exact).select(  # one row each
+        "sketches", F.col("exact").alias("sources"),
+        (F.abs(F.col("sources") - F.col("exact")) <= F.lit(bound) * F.col("exact")).alias("within_bound"),
+    )
+
+
 def a23_summary_card(spark, folder):
     card = metrics.summary_card(decisions(spark, folder), F.col("y"), F.col("action"), F.col("reward"))
     return rounded(rounded(card, ["f1"]), ["total_reward"], 2)
@@ -208,7 +221,7 @@ QUERIES = {f.__name__: f for f in (
     a09_quality_rates_labels, a10_family_breakdown, a11_action_level_counts, a12_actions_by_load,
     a12_actions_by_load_policy, a13_action_proportions, a14_label_action_matrix, a15_score_histogram,
     a16_reward_distribution, a17_outcome_share, a18_kpi_counters, a19_policy_heatmap, a20_chunk_quality,
-    a21_calibration_summary, a22_distinct_sources, a23_summary_card, a24_dataset_inventory, l08_heldout_accuracy,
+    a21_calibration_summary, a22_distinct_sources, a22_sketched_sources, a23_summary_card, a24_dataset_inventory, l08_heldout_accuracy,
 )}
 
 _TRUTH = "(CASE WHEN k % 9 = 0 THEN NULL WHEN lower(trim(label)) = 'benign' THEN 0 ELSE 1 END)"
@@ -302,6 +315,7 @@ SELECT month, count(*) AS n, round(avg(CASE WHEN predicted = y THEN 1e0 ELSE 0e0
   round(avg(y), 6) AS threat_rate FROM items GROUP BY 1""",
     "a21_calibration_summary": DECISIONS_SQL + "SELECT count(*) AS n, round(avg(y), 5) AS label_rate, round(avg(threat_score), 5) AS mean_score FROM decisions",
     "a22_distinct_sources": FLOWS_SQL + "SELECT count(DISTINCT src_ip) AS sources FROM flows",
+    "a22_sketched_sources": FLOWS_SQL + "SELECT count(DISTINCT coalesce(CAST(chunk AS VARCHAR), '-')) AS sketches, count(DISTINCT src_ip) AS sources, TRUE AS within_bound FROM flows",
     "a23_summary_card": DECISIONS_SQL + """
 , c AS (SELECT count(*) FILTER (WHERE y=1 AND action>=1) AS tp, count(*) FILTER (WHERE y=0 AND action=2) AS fp,
   count(*) FILTER (WHERE y=1 AND action=0) AS fn, sum(reward) AS total, count(*) AS steps FROM decisions),

@@ -222,3 +222,14 @@ def test_cost_per_flow_does_not_grow_with_the_cap(spark):
     found = behaviour.behaviour_features(rows, window_seconds=10**6, max_flows=20_000)
     assert found.filter("beh_flow_count_window = 20000").count() == 40_000 - 19_999
     assert time.time() - started < 60
+
+
+def test_stored_sketches_unite_like_one_sketch(spark):
+    rows = spark.range(30_000).selectExpr("CAST(id % 7 AS INT) AS chunk", "CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(id % 9000 AS STRING) END AS src_ip")
+    stored = behaviour.source_sketches(rows, ["chunk"])
+    united = behaviour.united_sources(stored).first()
+    whole = behaviour.united_sources(behaviour.source_sketches(rows.withColumn("chunk", F.lit(0)), ["chunk"])).first()
+    assert united.sketches == 7 and united.sources == whole.sources
+    assert abs(united.sources - 9000) <= behaviour.relative_error_bound() * 9000
+    by_half = behaviour.united_sources(stored.withColumn("half", F.col("chunk") % 2), ["half"]).collect()
+    assert len(by_half) == 2 and all(r.sources <= united.sources for r in by_half)
