@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -228,6 +229,21 @@ def aligned(
     return docs.select(*kept, text_or_empty(text).alias(TEXT)).mapInArrow(run, schema)
 
 
+@contextmanager
+def _arrow_rows(spark, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; the session's setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(before or rows))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def pair_counts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pair, count, best) of pairs linked more than once, and (b, top) for every B id.
 
@@ -250,7 +266,8 @@ def align_corpus(
 ) -> DataFrame:
     """Every row with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
     spark = docs.sparkSession
-    found = durable(aligned(docs, a_path, b_path, text, keep, a_ranks), "alignment")
+    with _arrow_rows(spark, CHUNK):  # a batch of very long texts must not reach a worker whole
+        found = durable(aligned(docs, a_path, b_path, text, keep, a_ranks), "alignment")
     repeated, top = pair_counts(found)
     repeated = durable(repeated, "alignment-pairs")
     tops = top.toArrow()  # at most one row per B id
