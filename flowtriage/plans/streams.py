@@ -80,6 +80,24 @@ def r07_dead_letters(spark, folder):
     )
 
 
+_MESSY = "CASE k % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL ELSE CAST(k AS VARCHAR(10)) END"
+
+
+def r07_one_pass(spark, folder):
+    """The same split from one read of each micro-batch: the events in four parts, one file a batch."""
+    events = table(spark, folder, "events")
+    staged = new_folder(spark, "events-parts")
+    for k, (low, high) in enumerate(restore.step_ranges(events, "event_id", 4)):
+        events.where((F.col("event_id") >= low) & (F.col("event_id") < high)).write.parquet(f"{staged}/part-{k}")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{staged}/*")
+    messy = events_as_flows(raw).withColumn("raw", F.expr(_MESSY)).select("flow_id", "raw")
+    letters = jobs.DeadLetters(new_folder(spark, "letters"), ["raw"])
+    jobs.run_batches(messy, letters)
+    good, bad = letters.read(spark, messy.schema)
+    totals = [F.count("*").alias("n"), F.sum("flow_id").alias("ids")]
+    return good.agg(*totals).withColumn("part", F.lit("usable")).unionByName(bad.agg(*totals).withColumn("part", F.lit("dead")))
+
+
 def r08_event_time_windows(spark, folder):
     done = jobs.all_windows(flow_stream(spark, folder), flows(spark, folder), "1 hour", "24 hours", "12 hours")
     return done.select("src_ip", F.unix_seconds("window_start").alias("start"), "flows", "short", "ports", F.round("avg_duration", 5).alias("avg_duration"))
@@ -122,7 +140,7 @@ def s11_state_restored(spark, folder):
 QUERIES = {f.__name__: f for f in (
     r01_stream_triage, r02_running_metrics, r03_stateful_behaviour, r04_online_learning, r05_progress_snapshots,
     r06_header_and_summary, r07_dead_letters, r08_event_time_windows, r09_state_reset,
-    r03_keyed_state, r09_keyed_reset, s11_state_restored,
+    r03_keyed_state, r09_keyed_reset, s11_state_restored, r07_one_pass,
 )}
 
 _TRIAGED_SQL = FLOWS_SQL + f""",
@@ -173,6 +191,7 @@ SELECT flow_id, CAST(least(c, r, 200) AS DOUBLE) AS beh_flow_count_window FROM c
 }
 
 ORACLES["r03_keyed_state"] = ORACLES["r03_stateful_behaviour"]
+ORACLES["r07_one_pass"] = ORACLES["r07_dead_letters"]
 ORACLES["r09_keyed_reset"] = ORACLES["r09_state_reset"]
 ORACLES["s11_state_restored"] = FLOWS_SQL + """,
 keyed AS (SELECT *, coalesce(src_ip, 'row_' || CAST(CAST(dst_port AS INT) AS VARCHAR), 'row_') AS src_key FROM flows)

@@ -11,7 +11,7 @@ from flowtriage import schema as S
 from flowtriage.functions import flow, triage
 from flowtriage.operators import behaviour, clean, metrics, models, ordered, policy
 from flowtriage.sources.sinks import load_policy, load_version, save_policy, save_version
-from flowtriage.sources.workspace import new_folder
+from flowtriage.sources.workspace import exists, new_folder
 
 SPECIALISTS = ("auth", "web", "flood")
 
@@ -151,6 +151,33 @@ def split_valid(records: DataFrame, required: list[str]) -> tuple[DataFrame, Dat
     return tagged.filter("_usable").drop("_usable"), tagged.filter("NOT _usable").drop("_usable")
 
 
+class DeadLetters:
+    """foreachBatch handler: every batch read once and written once, usable rows and dead letters as two partitions.
+
+    A repeated batch overwrites its own folder, so a retried micro-batch leaves
+    no duplicates.
+    """
+
+    def __init__(self, folder: str, required: list[str]) -> None:
+        self.root, self.required = folder.rstrip("/"), list(required)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        usable = F.lit(True)
+        for column in self.required:
+            usable = usable & F.coalesce(flow.is_finite(F.col(column).try_cast("double")), F.lit(False))
+        tagged = batch.withColumn("part", F.when(usable, "usable").otherwise("dead"))
+        tagged.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/batch={number}")
+
+    def read(self, spark: SparkSession, schema) -> tuple[DataFrame, DataFrame]:
+        """Usable rows and dead letters of all batches so far."""
+        if not exists(spark, self.root):
+            empty = spark.createDataFrame([], schema)
+            return empty, empty
+        found = spark.read.option("basePath", self.root).parquet(f"{self.root}/batch=*")
+        columns = [f.name for f in schema]
+        return found.where("part = 'usable'").select(*columns), found.where("part = 'dead'").select(*columns)
+
+
 def windowed_behaviour(flows: DataFrame, delay: str = "60 seconds", length: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
     """Sliding event-time windows per source with late-data handling; on a table, all windows."""
     timed = flows.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -148,3 +148,18 @@ def test_parts_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     found, first, second = restore.behaviour_over_parts(empty, lambda raw: raw, "step", window_seconds=60, max_flows=20)
     assert found.count() == 0 and restore.last_state(spark, first, second).count() == 0
+
+
+def test_dead_letters_one_write_per_batch_and_retries(spark, tmp_path):
+    letters = jobs.DeadLetters(str(tmp_path / "letters"), ["raw"])
+    schema = "flow_id long, raw string"
+    first = spark.createDataFrame([(1, "3"), (2, "n/a"), (3, None)], schema)
+    second = spark.createDataFrame([(4, "NaN"), (5, "7.5")], schema)
+    empty_good, empty_bad = letters.read(spark, first.schema)
+    assert empty_good.count() == 0 and empty_bad.count() == 0
+    letters(first, 0)
+    letters(first, 0)  # a retried batch rewrites its own folder
+    letters(second, 1)
+    good, bad = letters.read(spark, first.schema)
+    assert sorted(r.flow_id for r in good.collect()) == [1, 5]
+    assert sorted(r.flow_id for r in bad.collect()) == [2, 3, 4]
