@@ -171,6 +171,13 @@ def l02_histogram_split(spark, folder):
     return _tree_rows(spark, fitted)
 
 
+def l05_histogram_predict(spark, folder):
+    """Probabilities of the depth-1 model of l02_histogram_split for every line."""
+    rows = _returns(spark, folder)
+    fitted = boosting.fit(rows, SPLIT_FEATURES, "returned", SPLIT_SETTINGS, base_margin=0.0)
+    return boosting.predict(rows, fitted).select("l_orderkey", "l_linenumber", F.round("probability", 8).alias("probability"))
+
+
 def l04_continued_boosting(spark, folder):
     """Trees fitted on the lines of even orders, stored, loaded and continued on the odd ones."""
     rows = _returns(spark, folder)
@@ -184,7 +191,7 @@ def l04_continued_boosting(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    l02_histogram_split, l04_continued_boosting,
+    l02_histogram_split, l04_continued_boosting, l05_histogram_predict,
     l01_standardise, l02_train_detector, l03_class_weight, l04_refit_with_holdout, l05_predict,
     l06_isotonic_calibration, l07_calibrated_score, l09_feature_importance, t03_top_importance,
     l10_specialist_detectors, l11_calibration_eligibility, l02_training_counts, l04_holdout_counts,
@@ -206,9 +213,8 @@ fits AS (SELECT p.i, p.s, max(lowest) AS calibrated FROM points p JOIN LATERAL (
 
 _WEB_PORTS, _AUTH_PORTS = "(80,443,3000,5000,8000,8080,8443,8888)", "(21,22,23,1433,3306,3389,5432,5900,6379,27017)"
 
-ORACLES = {
-    "l02_histogram_split": """WITH r AS (
-  SELECT CAST(l_discount AS DOUBLE) AS x0, CAST(l_tax AS DOUBLE) AS x1, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+_SPLIT_SQL = """WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) AS x0, CAST(l_tax AS DOUBLE) AS x1, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
 gh AS (SELECT x0, x1, 0.5 - y AS g, 0.25 AS h FROM r),
 tot AS (SELECT sum(g) AS G, sum(h) AS H FROM gh),
 v AS (
@@ -219,10 +225,19 @@ c AS (SELECT fi, feature, t, sum(g) OVER w AS GL, sum(h) OVER w AS HL FROM v
 s AS (SELECT c.*, G - GL AS GR, H - HL AS HR, G, H FROM c, tot WHERE t IS NOT NULL AND HL >= 1 AND H - HL >= 1),
 k AS (SELECT *, 0.5 * ((sign(GL) * greatest(abs(GL) - 0.5, 0)) ^ 2 / (HL + 1) + (sign(GR) * greatest(abs(GR) - 0.5, 0)) ^ 2 / (HR + 1) - (sign(G) * greatest(abs(G) - 0.5, 0)) ^ 2 / (H + 1)) - 0.1 AS gain FROM s),
 best AS (SELECT * FROM k WHERE gain > 0 ORDER BY gain DESC, fi, t LIMIT 1)
-SELECT 0 AS tree, 0 AS node, feature, t AS threshold, CAST(NULL AS DOUBLE) AS weight FROM best
+"""
+_PREDICT_SQL = """SELECT r.l_orderkey, r.l_linenumber, round(1 / (1 + exp(-(CASE
+    WHEN b.feature IS NULL THEN (SELECT -(sign(G) * greatest(abs(G) - 0.5, 0)) / (H + 1) FROM tot)
+    WHEN (b.feature = 'l_discount' AND (r.x0 IS NULL OR r.x0 <= b.t)) OR (b.feature = 'l_tax' AND (r.x1 IS NULL OR r.x1 <= b.t))
+      THEN -(sign(b.GL) * greatest(abs(b.GL) - 0.5, 0)) / (b.HL + 1) ELSE -(sign(b.GR) * greatest(abs(b.GR) - 0.5, 0)) / (b.HR + 1) END))), 8) AS probability
+FROM r LEFT JOIN best b ON TRUE"""
+
+ORACLES = {
+    "l02_histogram_split": _SPLIT_SQL + """SELECT 0 AS tree, 0 AS node, feature, t AS threshold, CAST(NULL AS DOUBLE) AS weight FROM best
 UNION ALL SELECT 0, 1, NULL, NULL, round(-(sign(GL) * greatest(abs(GL) - 0.5, 0)) / (HL + 1), 8) FROM best
 UNION ALL SELECT 0, 2, NULL, NULL, round(-(sign(GR) * greatest(abs(GR) - 0.5, 0)) / (HR + 1), 8) FROM best
 UNION ALL SELECT 0, 0, NULL, NULL, round(-(sign(G) * greatest(abs(G) - 0.5, 0)) / (H + 1), 8) FROM tot WHERE NOT EXISTS (SELECT 1 FROM best)""",
+    "l05_histogram_predict": _SPLIT_SQL + _PREDICT_SQL,
     "l02_training_counts": ITEMS_SQL + "SELECT y, count(*) AS n, count(*) AS in_range, count(*) AS consistent FROM items GROUP BY 1",
     "l04_holdout_counts": FLOWS_SQL + f""",
 split AS (SELECT row_number() OVER (ORDER BY {_HASH}) <= greatest(1, CAST(floor(count(*) OVER () * 0.1e0) AS BIGINT)) AS is_eval FROM flows)
