@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowtriage.llm.common import text_or_empty
 
-#: Tokens of a sequence, sequences of a shard, entries of a worker's cache, input splits of one call.
-LENGTH, PER_SHARD, CACHED, MAX_SPLITS = 1_024, 8_192, 300_000, 2_000_000
+#: Tokens of a sequence, sequences of a shard, input splits of one call.
+LENGTH, PER_SHARD, MAX_SPLITS = 1_024, 8_192, 2_000_000
 ROUNDS = 8
 MARK = "\n\n"
-#: White space other than single spaces and line breaks, as a text may hold it inside: in ASCII, and by
-#: the first byte of its UTF-8 form.
-_SPECIAL_SPACE = [s.encode() for s in ("\t", "\r", "\v", "\f", "  ", " \n", "\n\n")]
-_FAR_SPACE: dict[bytes, list[bytes]] = {}
-for _space in ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"):
-    _FAR_SPACE.setdefault(_space.encode()[:1], []).append(_space.encode())
-
-
-def _only_plain_space(text: bytes) -> bool:
-    """True if all white space is single spaces and line breaks between words."""
-    return bool(
-        text and text[0] not in b" \n" and text[-1] not in b" \n"
-        and not any(map(text.__contains__, _SPECIAL_SPACE))
-        and not any(lead in text and any(map(text.__contains__, far)) for lead, far in _FAR_SPACE.items())
-    )
 _ENCODERS: dict = {}
 
 
@@ -90,16 +74,10 @@ class Permutation:
         return self._walk(slots, self.keys[::-1], False)
 
 
-class CachedEncoder:
-    """Byte-pair ids of whole texts as 16-bit numbers, with a bounded cache of words.
+class Encoder:
+    """Byte-pair ids of whole texts as 16-bit numbers, by the library's own encoder; nothing is cached."""
 
-    Where white space is single spaces and line breaks, tokens never reach over
-    the start of a space or of a line break before a word, so words are encoded one by one;
-    all words a slice misses go through the tokenizer in one call. Other texts
-    are encoded whole.
-    """
-
-    def __init__(self, path: str, pattern: str, cached: int = CACHED):
+    def __init__(self, path: str, pattern: str):
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -108,59 +86,19 @@ class CachedEncoder:
             raise ValueError("ids beyond 16 bits")
         self.end = len(ranks)
         self._encoding = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._sizes = np.zeros(len(ranks), dtype=np.int64)
-        for token, rank in ranks.items():
-            self._sizes[rank] = len(token)
-        self._known: dict[bytes, bytes] = {}
-        self._cached = cached
-
-    def _plain(self, text: bytes) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text.decode()), dtype="<u2").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode `` word`` or ``\\nword`` for all words in one call and cut the ids at their ends."""
-        fresh = list(words)
-        pieces = [w if w[:1] == b"\n" else b" " + w for w in fresh]
-        ids = np.array(self._encoding.encode_ordinary(b"".join(pieces).decode()), dtype="<u2")
-        ends = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum([len(p) for p in pieces]), side="left") + 1
-        data, start = ids.tobytes(), 0
-        known = self._known
-        for word, end in zip(fresh, (2 * ends).tolist()):
-            known[word] = data[start:end]
-            start = end
-
-    def _split(self, texts: list[bytes]) -> list[tuple[bytes, list[bytes]]]:
-        """Each text as a part to be encoded whole and words that are known by then."""
-        split: list[tuple[bytes, list[bytes]]] = []
-        for text in texts:
-            if not _only_plain_space(text):
-                split.append((text, ()))
-                continue
-            first, *words = text.replace(b"\n", b" \n").split(b" ")
-            split.append((first, words))
-        here = set(chain.from_iterable(words for _, words in split))
-        missing = here.difference(self._known)
-        if missing:
-            if len(self._known) + len(missing) > self._cached:
-                # Words of this slice stay; among them are the frequent ones.
-                self._known = {w: self._known[w] for w in here.difference(missing)}
-            self._learn(missing)
-        return split
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        split, get = self._split(texts), self._known.__getitem__
-        return [b"".join([self._plain(first), *map(get, words)]) for first, words in split]
+        return [np.array(self._encoding.encode_ordinary(t.decode()), dtype="<u2").tobytes() for t in texts]
 
     def count(self, texts: list[bytes]) -> list[int]:
         """Numbers of ids of each text."""
-        split, get = self._split(texts), self._known.__getitem__
-        return [(len(self._plain(first)) + sum(map(len, map(get, words)))) // 2 for first, words in split]
+        return [len(self._encoding.encode_ordinary(t.decode())) for t in texts]
 
 
-def encoder(path: str, pattern: str) -> CachedEncoder:
+def encoder(path: str, pattern: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path, pattern)
+        _ENCODERS[path] = Encoder(path, pattern)
     return _ENCODERS[path]
 
 
@@ -174,7 +112,7 @@ def _in_slices(texts: list[bytes], work, slice_bytes: int = 1 << 20) -> Iterator
             start, size = i + 1, 0
 
 
-_WHERE = ("_metadata.file_path", "_metadata.file_block_start")
+_WHERE = ("file_path", "file_block_start")
 
 
 def write_shards(
@@ -198,7 +136,9 @@ def write_shards(
     """
     spark = docs.sparkSession
     placed = docs.select(
-        F.col(_WHERE[0]).alias("file"), F.col(_WHERE[1]).alias("block"), text_or_empty(text).alias("text")
+        # the hidden file column, found even where the data has a column of that name
+        docs.metadataColumn("_metadata")[_WHERE[0]].alias("file"), docs.metadataColumn("_metadata")[_WHERE[1]].alias("block"),
+        text_or_empty(text).alias("text"),
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,7 +77,7 @@ def test_shards_hold_the_stream_in_slot_order(spark, tmp_path):
     made = token_shards.write_shards(
         docs, str(tmp_path / "out"), path, public_tokenizers.PATTERN, "k", length=16, per_shard=32
     )
-    engine = token_shards.CachedEncoder(path, public_tokenizers.PATTERN)
+    engine = token_shards.Encoder(path, public_tokenizers.PATTERN)
     placed = docs.select("text", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
     stream = [i for r in placed for i in (*engine._encoding.encode_ordinary(r.text or ""), 50_256)]
     assert made["tokens"] == len(stream) and made["shards"] == -(-made["sequences"] // 32) > 1
@@ -458,3 +458,14 @@ def test_search_of_few_or_no_rows(spark):
     assert metric_tree.search(frame.where("vec_id = 5")).count() == 0
     assert metric_tree.search(frame.limit(0)).count() == 0
     assert metric_tree.search(frame.where("vec_id = 0")).count() == 0
+
+
+def test_shards_of_a_table_with_a_metadata_column(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 5), ("clash",), i) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, _metadata struct<file_path:string>, extra long").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    made = token_shards.write_shards(docs, str(tmp_path / "out"), path, public_tokenizers.PATTERN, "k", length=16, per_shard=8)
+    engine = token_shards.Encoder(path, public_tokenizers.PATTERN)
+    assert made["tokens"] == sum(len(engine._encoding.encode_ordinary(r[1])) + 1 for r in rows)
+    assert token_shards.read_slots(spark, str(tmp_path / "out"), made).count() == made["sequences"]

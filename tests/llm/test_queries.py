@@ -44,7 +44,7 @@ def test_toxic_documents_are_found(spark, tables):
 
 def test_shards(spark, tables):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    library = token_shards.CachedEncoder(path, public_tokenizers.PATTERN)._encoding
+    library = token_shards.Encoder(path, public_tokenizers.PATTERN)._encoding
     ids = [i for (t,) in tables.execute("SELECT coalesce(text, '') FROM documents").fetchall() for i in (*library.encode_ordinary(t), 50_256)]
     ids += [50_256] * (-len(ids) % 1_024)
     want = [hashlib.sha256(r.tobytes()).hexdigest() for r in np.array(ids, dtype="<u2").reshape(-1, 1_024)]
