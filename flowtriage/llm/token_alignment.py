@@ -284,20 +284,24 @@ def align_corpus(
         schema = T.StructType([*(found.schema[c] for c in rest), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokenizers.cache_clear()  # a reused worker needs no encoder here
             keys, counts, best, lone_best = shared.value
-            for batch in batches:
-                lists = batch.column("links")
-                offsets = lists.offsets.to_numpy()
-                pairs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-                known = (keys[at] == pairs) if len(keys) else np.zeros(len(pairs), dtype=bool)
-                count = np.where(known, counts[at] if len(keys) else 1, 1)
-                good = np.where(known, best[at] if len(keys) else False, lone_best[pairs & ((1 << _SHIFT) - 1)])
-                ends = np.cumsum(np.r_[0, good.astype(np.int64)]), np.cumsum(np.r_[0, count])
-                n_best = ends[0][offsets[1:]] - ends[0][offsets[:-1]]
-                count_sum = ends[1][offsets[1:]] - ends[1][offsets[:-1]]
-                columns = [batch.column(c) for c in rest] + [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest, "n_best", "count_sum"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, CHUNK):  # bounded arrays however many links a batch has
+                    batch = whole.slice(start, CHUNK)
+                    lists = batch.column("links")
+                    offsets = lists.offsets.to_numpy()
+                    offsets = offsets - offsets[0]
+                    pairs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+                    known = (keys[at] == pairs) if len(keys) else np.zeros(len(pairs), dtype=bool)
+                    count = np.where(known, counts[at] if len(keys) else 1, 1)
+                    good = np.where(known, best[at] if len(keys) else False, lone_best[pairs & ((1 << _SHIFT) - 1)])
+                    ends = np.cumsum(np.r_[0, good.astype(np.int64)]), np.cumsum(np.r_[0, count])
+                    n_best = ends[0][offsets[1:]] - ends[0][offsets[:-1]]
+                    count_sum = ends[1][offsets[1:]] - ends[1][offsets[:-1]]
+                    columns = [batch.column(c) for c in rest] + [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*rest, "n_best", "count_sum"])
 
         return found.mapInArrow(look, schema)
     b_id = F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1))

@@ -91,6 +91,7 @@ RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATT
 @pytest.mark.parametrize("limit,ranks", [(A.BROADCAST_PAIRS, None), (0, None), (A.BROADCAST_PAIRS, RANKS), (0, RANKS)])
 def test_corpus_against_brute_force(spark, monkeypatch, limit, ranks):
     monkeypatch.setattr(A, "BROADCAST_PAIRS", limit)
+    monkeypatch.setattr(A, "CHUNK", 3)  # batches and slices of three texts
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_best string")
     got = {r.doc_id: r for r in A.align_corpus(df, *PATHS, a_ranks=ranks).collect()}
