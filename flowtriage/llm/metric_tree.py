@@ -220,6 +220,10 @@ def build_nodes(vectors: DataFrame, dims: int, pivots: np.ndarray) -> DataFrame:
     return dealt.sortWithinPartitions("pivot").mapInArrow(pack, _NODES)
 
 
+#: Largest squared norm of the integer vectors that keeps every score within 64 bits (with room for rounding).
+_LIMIT = 2.0**62
+
+
 def search(
     rows: DataFrame,
     vec_id: str = "vec_id",
@@ -237,7 +241,8 @@ def search(
     ids, null vectors and vectors with null or non-finite components take no
     part; a shorter vector counts as filled up with zeros. No rows or no queries
     give no rows. Queries go in blocks of ``block``, whose size bounds what the
-    driver and a task hold of them.
+    driver and a task hold of them. Vectors whose largest squared norm reaches
+    2^62 raise OverflowError, as their scores could leave 64 bits.
     """
     spark = rows.sparkSession
     condition = (F.col("vec_id") % 100 == 0) if query is None else query
@@ -249,6 +254,8 @@ def search(
         return spark.createDataFrame([], out)
     dims = max(1, dims)
     largest = float(largest)
+    if largest >= _LIMIT:  # |x . y| and every partial sum of it are at most the largest squared norm
+        raise OverflowError(f"inner products may pass 64 bits: largest squared norm {largest:.3g}")
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(PIVOTS).toArrow()
     pivots = _matrix(sample.combine_chunks().to_batches()[0], dims)
     nodes = durable(build_nodes(vectors, dims, pivots), "tree-nodes")

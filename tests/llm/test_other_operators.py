@@ -469,3 +469,11 @@ def test_shards_of_a_table_with_a_metadata_column(spark, tmp_path):
     engine = token_shards.Encoder(path, public_tokenizers.PATTERN)
     assert made["tokens"] == sum(len(engine._encoding.encode_ordinary(r[1])) + 1 for r in rows)
     assert token_shards.read_slots(spark, str(tmp_path / "out"), made).count() == made["sequences"]
+
+
+def test_metric_tree_refuses_scores_beyond_64_bits(spark):
+    big = spark.createDataFrame([(0, [3.0e6] * 300), (1, [1.0] * 300), (100, [2.0e6] * 300)], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        metric_tree.search(big).count()
+    fine = spark.createDataFrame([(0, [3.0e3] * 300), (1, [1.0] * 300), (100, [2.0e3] * 300)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in metric_tree.search(fine).orderBy("query_id", "rank").collect()] == [100, 1, 0, 1]
