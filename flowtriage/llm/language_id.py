@@ -23,6 +23,8 @@ Defined results:
 - Repeated rows are scored alike and each counts in training.
 - A null doc_id or lang keeps the row out of training; it is still scored.
 - Columns named like the results are replaced; an empty table gives none.
+- More than MAX_LANGUAGES distinct training languages raise ValueError before
+  any count reaches the driver.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ BUCKETS, ORDERS, ALPHA, GAP = 1 << 18, (1, 2, 3, 4), 0.5, 1.0
 EXHAUSTIVE, CODE_BITS_PER_LOG2 = 7, 10
 #: N-grams a training task holds before it counts them (8 bytes each).
 COUNT_CHUNK = 1 << 22
+#: Languages a model may learn at most: the driver builds languages x BUCKETS counts (2 MB each).
+MAX_LANGUAGES = 256
 #: Language of texts without letters.
 UNDEFINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -145,6 +149,9 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Counts of every training row (lang not null, doc_id not held out), naive Bayes weights per bit."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
+    found = rows.agg(F.count_distinct(F.col(lang).cast("string"))).first()[0]
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"{found} training languages; at most {MAX_LANGUAGES} fit the driver's count table")
     counted = (
         rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
         .mapInArrow(_count_partition, "lang string, bucket int, n long")

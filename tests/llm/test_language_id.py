@@ -94,3 +94,9 @@ def test_query_shape(spark):
     assert got.columns[:5] == ["doc_id", "held_out", "lang_pred", "score", "ambiguous"]
     total = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert got.count() == total
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="training languages"):
+        L.fit(corpus(spark))
