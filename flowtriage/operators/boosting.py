@@ -17,7 +17,7 @@ Bins: a feature with at most ``bins`` distinct values splits between any two
 of them (exact); others split at ``bins`` quantiles of a sketch. Nulls go
 left. Rows and features are sampled per tree by hashing, so a refit sees the
 same sample. An ensemble is stored as rows (tree, node, feature, threshold,
-weight); ``fit(..., start=stored)`` computes the stored trees' margins and
+weight, gain); importance is each feature's share of the split gains; ``fit(..., start=stored)`` computes the stored trees' margins and
 adds rounds after them, leaving the stored trees as they are.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from flowtriage.sources.workspace import durable
 
-TREE_SCHEMA = "tree int, node int, feature string, threshold double, weight double"
+TREE_SCHEMA = "tree int, node int, feature string, threshold double, weight double, gain double"
 
 
 @dataclass(frozen=True)
@@ -55,14 +55,24 @@ class Ensemble:
     features: list[str]
     base_margin: float
     trees: list[dict[int, tuple]] = field(default_factory=list)  # node -> ("split", feature, threshold) | ("leaf", weight)
+    gains: dict[tuple[int, int], float] = field(default_factory=dict)  # (tree, node) of a split -> its gain
 
     def rows(self) -> list[tuple]:
-        out = [(-1, 0, None, None, self.base_margin)]
+        out = [(-1, 0, None, None, self.base_margin, None)]
         for t, tree in enumerate(self.trees):
             for node, what in sorted(tree.items()):
-                out.append((t, node, what[1], what[2], None) if what[0] == "split" else (t, node, None, None, what[1]))
+                gain = self.gains.get((t, node))
+                out.append((t, node, what[1], what[2], None, gain) if what[0] == "split" else (t, node, None, None, what[1], None))
         return out
 
+    def importance(self) -> dict[str, float]:
+        """Share of the summed split gains per feature (every feature listed, zero if unused)."""
+        total = {f: 0.0 for f in self.features}
+        for (t, node), gain in self.gains.items():
+            total[self.trees[t][node][1]] += gain
+        whole = sum(total.values())
+        return {f: (g / whole if whole > 0 else 0.0) for f, g in total.items()}
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), TREE_SCHEMA)
 
@@ -71,10 +81,14 @@ class Ensemble:
         rows = table.collect()  # the trees: at most rounds x 2^(depth+1) rows
         base = next(r.weight for r in rows if r.tree == -1)
         trees: dict[int, dict] = {}
+        gains = {}
         for r in rows:
             if r.tree >= 0:
                 trees.setdefault(r.tree, {})[r.node] = ("split", r.feature, r.threshold) if r.feature else ("leaf", r.weight)
-        return cls(features, base, [trees[t] for t in sorted(trees)])
+                gain = r.asDict().get("gain")  # tables stored without gains load too
+                if r.feature and gain is not None:
+                    gains[r.tree, r.node] = gain
+        return cls(features, base, [trees[t] for t in sorted(trees)], gains)
 
     def margin(self) -> Column:
         total = F.lit(self.base_margin)
@@ -181,7 +195,7 @@ def fit(
             base_margin = math.log((pos + 0.5) / (n - pos + 0.5)) if n else 0.0
         ensemble = Ensemble(list(features), base_margin)
     else:
-        ensemble = Ensemble(list(features), start.base_margin, list(start.trees))
+        ensemble = Ensemble(list(features), start.base_margin, list(start.trees), dict(start.gains))
     edges = bin_edges(rows, features, s.bins)
     key = F.col(row_key) if row_key else F.monotonically_increasing_id()
     work = rows.select(
@@ -196,15 +210,16 @@ def fit(
     first = len(ensemble.trees)
     for r in range(s.rounds):
         t = first + r
-        tree = _grow(work, features, edges, s, t)
+        tree, gains = _grow(work, features, edges, s, t)
         ensemble.trees.append(tree)
+        ensemble.gains.update({(t, node): gain for node, gain in gains.items()})
         work = work.withColumn("_m", F.col("_m") + tree_value(tree))
         if (r + 1) % s.checkpoint_every == 0 and r + 1 < s.rounds:
             work = durable(work, "boosting")
     return ensemble
 
 
-def _grow(work: DataFrame, features: list[str], edges: dict[str, list[float]], s: BoostSettings, t: int) -> dict[int, tuple]:
+def _grow(work: DataFrame, features: list[str], edges: dict[str, list[float]], s: BoostSettings, t: int) -> tuple[dict, dict]:
     p = 1 / (1 + F.exp(-F.col("_m")))
     used = _feature_sample(features, s.column_sample, s.seed, t)
     index = {f: i for i, f in enumerate(features)}
@@ -217,6 +232,7 @@ def _grow(work: DataFrame, features: list[str], edges: dict[str, list[float]], s
     totals = rows.agg(F.sum("_g"), F.sum("_h")).first()
     open_nodes = {0: (totals[0] or 0.0, totals[1] or 0.0)}
     tree: dict[int, tuple] = {}
+    gains: dict[int, float] = {}
     for level in range(s.depth + 1):
         if not open_nodes:
             break
@@ -246,9 +262,10 @@ def _grow(work: DataFrame, features: list[str], edges: dict[str, list[float]], s
             if choice is None:
                 tree[node] = ("leaf", leaf_weight(g, h, s))
                 continue
-            _, i, b, gl, hl = choice
+            gain, i, b, gl, hl = choice
             f = used[i]
             tree[node] = ("split", f, float(edges[f][b]))
+            gains[node] = gain
             moves[node] = (i, b)
             next_open[2 * node + 1] = (gl, hl)
             next_open[2 * node + 2] = (g - gl, h - hl)
@@ -259,7 +276,7 @@ def _grow(work: DataFrame, features: list[str], edges: dict[str, list[float]], s
                 child = F.when(F.col("_node") == node, F.lit(2 * node + 1) + goes_right.cast("int")).otherwise(child)
             rows = rows.withColumn("_node", child)
         open_nodes = next_open
-    return tree
+    return tree, gains
 
 
 def predict(df: DataFrame, ensemble: Ensemble, out: str = "probability") -> DataFrame:

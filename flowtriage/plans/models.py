@@ -178,6 +178,13 @@ def l05_histogram_predict(spark, folder):
     return boosting.predict(rows, fitted).select("l_orderkey", "l_linenumber", F.round("probability", 8).alias("probability"))
 
 
+def l09_histogram_importance(spark, folder):
+    """Share of the split gains per feature in the depth-1 model of l02_histogram_split."""
+    fitted = boosting.fit(_returns(spark, folder), SPLIT_FEATURES, "returned", SPLIT_SETTINGS, base_margin=0.0)
+    shares = fitted.importance()
+    return spark.createDataFrame([(f, float(shares[f])) for f in SPLIT_FEATURES], "feature string, importance double")
+
+
 def l04_continued_boosting(spark, folder):
     """Trees fitted on the lines of even orders, stored, loaded and continued on the odd ones."""
     rows = _returns(spark, folder)
@@ -191,7 +198,7 @@ def l04_continued_boosting(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    l02_histogram_split, l04_continued_boosting, l05_histogram_predict,
+    l02_histogram_split, l04_continued_boosting, l05_histogram_predict, l09_histogram_importance,
     l01_standardise, l02_train_detector, l03_class_weight, l04_refit_with_holdout, l05_predict,
     l06_isotonic_calibration, l07_calibrated_score, l09_feature_importance, t03_top_importance,
     l10_specialist_detectors, l11_calibration_eligibility, l02_training_counts, l04_holdout_counts,
@@ -238,6 +245,8 @@ UNION ALL SELECT 0, 1, NULL, NULL, round(-(sign(GL) * greatest(abs(GL) - 0.5, 0)
 UNION ALL SELECT 0, 2, NULL, NULL, round(-(sign(GR) * greatest(abs(GR) - 0.5, 0)) / (HR + 1), 8) FROM best
 UNION ALL SELECT 0, 0, NULL, NULL, round(-(sign(G) * greatest(abs(G) - 0.5, 0)) / (H + 1), 8) FROM tot WHERE NOT EXISTS (SELECT 1 FROM best)""",
     "l05_histogram_predict": _SPLIT_SQL + _PREDICT_SQL,
+    "l09_histogram_importance": _SPLIT_SQL + """SELECT f.feature, CASE WHEN b.feature = f.feature THEN 1.0 ELSE 0.0 END AS importance
+FROM (VALUES ('l_discount'), ('l_tax')) f(feature) LEFT JOIN best b ON TRUE""",
     "l02_training_counts": ITEMS_SQL + "SELECT y, count(*) AS n, count(*) AS in_range, count(*) AS consistent FROM items GROUP BY 1",
     "l04_holdout_counts": FLOWS_SQL + f""",
 split AS (SELECT row_number() OVER (ORDER BY {_HASH}) <= greatest(1, CAST(floor(count(*) OVER () * 0.1e0) AS BIGINT)) AS is_eval FROM flows)

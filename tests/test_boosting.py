@@ -46,6 +46,10 @@ def test_depth_one_split_equals_brute_force(spark, nulls):
     gain, feature, t, wl, wr = brute_split(rows, s)
     assert tree[0] == ("split", feature, t)
     assert tree[1][1] == pytest.approx(wl) and tree[2][1] == pytest.approx(wr)
+    fitted = B.fit(df, ["a", "b"], "y", s, base_margin=0.0)
+    assert fitted.gains[0, 0] == pytest.approx(gain)
+    assert fitted.importance() == {"a": 1.0 if feature == "a" else 0.0, "b": 1.0 if feature == "b" else 0.0}
+    assert B.Ensemble.from_table(fitted.table(spark), ["a", "b"]).gains == fitted.gains
 
 
 def test_continued_fit_equals_one_fit_tree_for_tree(spark):
