@@ -8,12 +8,14 @@ measures all of them: a flow costs the same whatever ``max_flows`` is.
 No source has to fit one task: flows are ranked within their source and cut
 into runs of ``block_rows``, each run preceded by a halo of ``max_flows - 1``
 flows. That halo is all a window can reach, so the result is exact for any
-distribution of flows over sources.
+distribution of flows over sources. Most sources are small, so a task measures
+many runs in one pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -175,9 +177,8 @@ def behaviour_features(
         F.explode(F.sequence(own, last)).alias("_run"),
     ).withColumn("_halo", F.col("_run") != own)
     timed, span = mode == "event_time", window_seconds * 1_000_000
-    measures = narrow.groupBy("_src", "_run").applyInPandas(
-        lambda run: window_measures(run, span, max_flows, timed), _MEASURES
-    )
+    runs = narrow.repartition("_src", "_run").sortWithinPartitions("_src", "_run", "_us", "_step")
+    measures = runs.mapInPandas(lambda batches: stream_measures(batches, span, max_flows, timed), _MEASURES)
     return (
         ranked.where(~F.col("_old"))
         .join(measures, ["_src", "src_rank"])
@@ -203,26 +204,85 @@ def _prefix(values: np.ndarray) -> np.ndarray:
 
 
 def window_measures(run: pd.DataFrame, span_us: int, max_flows: int, timed: bool) -> pd.DataFrame:
-    """The seven behaviour columns of the own flows of one run, in one pass whatever ``max_flows`` is.
-
-    A flow's window is a contiguous range [s, i] of the run in (time, step)
-    order: s is the later of i - max_flows + 1 and the first flow not older
-    than the span (flows without a time come first and belong to no window).
-    Both ends only grow with i, so counts and sums are differences of prefix
-    sums, and a port counts in the windows from its own flow to the last one
-    that still starts at or before it, but only those starting after its
-    previous flow: one +1/-1 interval per flow and one cumulative sum.
+    """The seven behaviour columns of the own flows of one run, in one pass whatever ``max_flows`` is."""
+    ordered = run.sort_values(["_us", "_step"], na_position="first", kind="stable").reset_index(drop=True)
+    return _measured_runs(ordered, np.zeros(len(ordered), dtype=np.int64), span_us, max_flows, timed)
+
+
+#: Flows measured at a time; sources are mostly small, so one pass takes many runs.
+CHUNK_ROWS = 50_000
+
+
+def stream_measures(batches: Iterator[pd.DataFrame], span_us: int, max_flows: int, timed: bool) -> Iterator[pd.DataFrame]:
+    """``window_measures`` of a partition's runs, which come sorted by source, run, time and step.
+
+    Whole chunks are measured, however many runs they hold. A run that goes on
+    in the next chunk leaves its last ``max_flows - 1`` flows there as a halo,
+    so memory is bounded by the chunk and ``max_flows``.
+    """
+    held: list[pd.DataFrame] = []
+    own = 0
+
+    def measure() -> pd.DataFrame:
+        chunk = pd.concat(held, ignore_index=True)
+        first = _first_of_run(chunk)
+        rest = chunk.iloc[max(int(first[-1]), len(chunk) - (max_flows - 1)) :]
+        held[:] = [rest.assign(_halo=True)] if len(rest) else []
+        return _measured_runs(chunk, first, span_us, max_flows, timed)
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            own += len(batch)
+        if own >= max(CHUNK_ROWS, 4 * max_flows):
+            own = 0
+            yield measure()
+    if own:
+        yield measure()
+
+
+def _first_of_run(flows: pd.DataFrame) -> np.ndarray:
+    """Per flow the place of its run's first flow."""
+    source, run = flows["_src"].to_numpy(dtype=object), flows["_run"].to_numpy()
+    begins = np.r_[True, (source[1:] != source[:-1]) | (run[1:] != run[:-1])]
+    return np.maximum.accumulate(np.where(begins, np.arange(len(flows)), 0))
+
+
+def _first_fresh(us: np.ndarray, first_row: np.ndarray, known: np.ndarray, span_us: int) -> np.ndarray:
+    """Per flow with a time the place of the first one of its run that is not older than the span."""
+    (place,) = np.nonzero(known)
+    times, runs = us[place], first_row[place]
+    n = len(place)
+    # Merge the limits into the flows' order: a limit comes before a flow of the same time.
+    order = np.lexsort((np.r_[np.ones(n), np.zeros(n)], np.r_[times, times - span_us], np.r_[runs, runs]))
+    is_flow = order < n
+    before = np.cumsum(is_flow)
+    found = np.zeros(n, dtype=np.int64)
+    found[order[~is_flow] - n] = before[~is_flow]
+    out = np.arange(len(us)) + 1
+    out[place] = place[found] if n else place
+    return out
+
+
+def _measured_runs(run: pd.DataFrame, first_row: np.ndarray, span_us: int, max_flows: int, timed: bool) -> pd.DataFrame:
+    """The behaviour columns of the own flows of ordered runs; ``first_row`` is where a flow's run begins.
+
+    A flow's window is a contiguous range [s, i] of its run in (time, step)
+    order: s is the latest of i - max_flows + 1, the run's begin and the first
+    flow not older than the span (flows without a time come first and belong to
+    no window). Both ends only grow with i, over all runs, so counts and sums
+    are differences of prefix sums, and a port counts in the windows from its
+    own flow to the last one that still starts at or before it, but only those
+    starting after its previous flow: one +1/-1 interval per flow and one
+    cumulative sum.
     """
-    run = run.sort_values(["_us", "_step"], na_position="first", kind="stable").reset_index(drop=True)
     n_rows = len(run)
     at = np.arange(n_rows)
     known = run["_us"].notna().to_numpy()
     us = run["_us"].fillna(0).to_numpy(dtype=np.int64)
-    unknown = int((~known).sum()) if timed else 0
-    start = np.maximum(at - (max_flows - 1), 0)
+    start = np.maximum(at - (max_flows - 1), first_row)
     if timed:
-        fresh = unknown + np.searchsorted(us[unknown:], us - span_us, side="left")
-        start = np.where(known, np.maximum(start, fresh), at + 1)
+        start = np.where(known, np.maximum(start, _first_fresh(us, first_row, known, span_us)), at + 1)
     n = at - start + 1
     some = n > 0
     first = np.minimum(start, n_rows - 1)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowtriage.operators import models, sampling
+from flowtriage.operators import behaviour, models, sampling
 
 
 def test_training_rows_are_dealt_evenly(spark, monkeypatch):
@@ -38,3 +38,45 @@ def test_a_sample_shuffles_no_rows_by_group(spark, adaptive):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("cap,timed,rows", [(1, True, 7), (4, True, 7), (9, False, 16), (30, True, 40), (200, True, 13)])
+def test_chunks_of_many_runs_equal_each_run_alone(monkeypatch, cap, timed, rows):
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(rows)
+    runs, rank = [], 0
+    for source in range(25):
+        for run in range(rnd.choice([1, 1, 3])):
+            n = rnd.choice([1, 2, 5, 60])
+            us = sorted((rnd.choice([None, *range(0, 120_000_000, 900_000)]) for _ in range(n)), key=lambda u: (u is not None, u or 0))
+            runs.append(pd.DataFrame({
+                "_src": f"s{source}", "_run": run, "src_rank": range(rank, rank + n), "_old": False, "_halo": [i == 0 and run > 0 for i in range(n)],
+                "_us": pd.array(us, dtype="Int64"), "_step": range(n),
+                "port": pd.array([rnd.choice([None, 80, 443, 22]) for _ in range(n)], dtype="Int32"),
+                "duration": [rnd.choice([float("nan"), 10.0, 999.0, 1e6 + 0.1]) for _ in range(n)],
+                "size": [rnd.choice([float("nan"), 512.0, 0.1, 1480.25]) for _ in range(n)],
+                "sent": [rnd.choice([float("nan"), 0.0, 20000.0]) for _ in range(n)],
+            }))
+            rank += n
+    whole = pd.concat(runs, ignore_index=True)
+    monkeypatch.setattr(behaviour, "CHUNK_ROWS", rows)
+    parts = [whole.iloc[i : i + 5] for i in range(0, len(whole), 5)]
+    got = pd.concat(list(behaviour.stream_measures(iter(parts), 60_000_000, cap, timed))).reset_index(drop=True)
+    want = pd.concat([behaviour.window_measures(r, 60_000_000, cap, timed) for r in runs]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_exact=True)
+
+
+def test_small_sources_share_a_pass(spark):
+    import time
+
+    rows = spark.range(40_000).selectExpr(
+        "id AS flow_id", "id + 1 AS step", "timestamp_micros(id * 1500) AS ts", "CAST(id % 20000 AS STRING) AS src_ip",
+        "CAST(id % 50 AS INT) AS dst_port", "CAST(id % 2000 AS DOUBLE) AS flow_duration",
+        "CAST(id % 900 AS DOUBLE) AS pkt_size_avg", "CAST(id % 20000 AS DOUBLE) AS totlen_fwd_pkts",
+    )
+    started = time.time()
+    assert behaviour.behaviour_features(rows).filter("beh_flow_count_window = 2").count() == 20_000
+    assert time.time() - started < 30
