@@ -178,7 +178,7 @@ def behaviour_features(
     ).withColumn("_halo", F.col("_run") != own)
     timed, span = mode == "event_time", window_seconds * 1_000_000
     runs = narrow.repartition("_src", "_run").sortWithinPartitions("_src", "_run", "_us", "_step")
-    measures = runs.mapInPandas(lambda batches: stream_measures(batches, span, max_flows, timed), _MEASURES)
+    measures = runs.mapInPandas(lambda batches: stream_measures(batches, span, max_flows, timed), MEASURES)
     return (
         ranked.where(~F.col("_old"))
         .join(measures, ["_src", "src_rank"])
@@ -187,7 +187,7 @@ def behaviour_features(
     )
 
 
-_MEASURES = "_src string, src_rank long, " + ", ".join(f"{c} double" for c in S.BEHAVIOUR_COLUMNS)
+MEASURES = "_src string, src_rank long, " + ", ".join(f"{c} double" for c in S.BEHAVIOUR_COLUMNS)
 
 
 def _exact(values: np.ndarray) -> tuple[np.ndarray, int]:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtriage import schema as S
 from flowtriage.functions.flow import micros_of, source_key
-from flowtriage.operators.behaviour import ATTRIBUTES, behaviour_score, measured, recent
+from flowtriage.operators.behaviour import ATTRIBUTES, MEASURES, behaviour_score, stream_measures
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,17 +23,32 @@ BUFFER_SCHEMA = T.StructType(
         T.StructField("sent", T.DoubleType()),
     ]
 )
-#: What the state hands on: a flow and its window as one array per attribute.
+#: What the state hands on: the flows of a source's windows in order, the buffered ones marked as halo.
 OUTPUT_SCHEMA = T.StructType(
-    [T.StructField("src_key", T.StringType()), T.StructField("flow_id", T.LongType())]
-    + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in BUFFER_SCHEMA]
+    [
+        T.StructField("_src", T.StringType()),
+        T.StructField("_run", T.LongType()),
+        T.StructField("src_rank", T.LongType()),
+        T.StructField("_old", T.BooleanType()),
+        T.StructField("_halo", T.BooleanType()),
+        T.StructField("_us", T.LongType()),
+    ]
+    + [f for f in BUFFER_SCHEMA if f.name != "us"]
 )
+#: Run of the flows without a time, which belong to no window.
+UNTIMED = -1
+
+
+def _whole(value) -> int | None:
+    """An integer of a pandas column, which holds floats where there are nulls."""
+    return None if pd.isna(value) else int(value)
 
 
 class SourceWindow(StatefulProcessor):
-    """Keeps the last ``max_flows`` flows of a source and hands on each new one's window.
+    """Keeps the last ``max_flows`` flows of a source; hands them on once, followed by the new ones.
 
-    A row whose ``control`` is 'reset' empties the source's buffer. State of
+    Every flow leaves once per batch, not once per window it is in, so a batch
+    costs its rows and the buffers of its sources. A row whose ``control`` is 'reset' empties the source's buffer. State of
     silent sources expires after ``ttl_ms``, if given.
     """
 
@@ -53,19 +68,26 @@ class SourceWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One micro-batch of one source; the trigger bounds its size.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "flow_id"], kind="stable")
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if len(batch) > 1:
+            batch = batch.sort_values(["us", "flow_id"], kind="stable")
         kept = list(self.buffer.get()) if self.buffer.exists() else []
-        result = []
+        # src_rank carries the flow's id; a reset begins another run.
+        result = [(key[0], 0, 0, False, True, *flow) for flow in kept if flow[0] is not None]
+        run = 0
         for flow_id, us, port, duration, size, sent, control in zip(
             batch["flow_id"], batch["us"], batch["dst_port"], batch["flow_duration"],
             batch["pkt_size_avg"], batch["totlen_fwd_pkts"], batch["control"],
         ):
             if control == "reset":
                 kept = []
+                run += 1
                 continue
-            kept.append((us, port, duration, size, sent))
-            del kept[: -self.max_flows]
-            result.append((key[0], flow_id, *map(list, zip(*kept))))
+            flow = (_whole(us), _whole(port), duration, size, sent)
+            kept.append(flow)
+            result.append((key[0], UNTIMED if flow[0] is None else run, flow_id, False, False, *flow))
+        kept = kept[-self.max_flows :]
         if kept:
             self.buffer.put(kept)
         else:
@@ -89,8 +111,8 @@ def stream_behaviour(
     ``read_buffers`` gives them) fills the buffers before the first batch of a
     query that starts without a checkpoint.
 
-    The state only keeps flows; the measures are the column expressions that
-    tables use. ``src_ip`` comes out as the key: the source, or one made of the
+    The state only keeps flows; behind it the measures of many sources are taken
+    in one pass, as on tables. ``src_ip`` comes out as the key: the source, or one made of the
     destination port where a flow has none.
 
     Flows of one source must arrive in time order between micro-batches;
@@ -117,9 +139,11 @@ def stream_behaviour(
         timeMode="ProcessingTime" if ttl_hours else "None",
         initialState=None if initial is None else initial.groupBy("src_key"),
     )
-    window = recent(F.arrays_zip(*[f.name for f in BUFFER_SCHEMA]), window_seconds)
-    kept = windows.select(F.col("src_key").alias("src_ip"), "flow_id", window.alias("_window"))
-    found = measured(kept, "_window").select("src_ip", "flow_id", *S.BEHAVIOUR_COLUMNS)
+    span = window_seconds * 1_000_000
+    # No shuffle lies between: a source's flows arrive together, in the order the state hands them on.
+    found = windows.mapInPandas(lambda batches: stream_measures(batches, span, max_flows, True), MEASURES).select(
+        F.col("_src").alias("src_ip"), F.col("src_rank").alias("flow_id"), *S.BEHAVIOUR_COLUMNS
+    )
     return found.withColumn("behaviour_score", behaviour_score())
 
 

@@ -80,3 +80,32 @@ def test_small_sources_share_a_pass(spark):
     started = time.time()
     assert behaviour.behaviour_features(rows).filter("beh_flow_count_window = 2").count() == 20_000
     assert time.time() - started < 30
+
+
+def test_state_hands_on_each_flow_once():
+    """Not a window of up to ``max_flows`` flows per flow."""
+    import pandas as pd
+
+    from flowtriage.streaming import behaviour_state
+
+    class Buffer:
+        flows = [(i, 80, 1.0, 1.0, 1.0) for i in range(50)]
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return iter(self.flows)
+
+        def put(self, flows):
+            self.flows = flows
+
+    state = behaviour_state.SourceWindow(50, None)
+    state.buffer = Buffer()
+    batch = pd.DataFrame({
+        "flow_id": range(1_000), "us": range(100, 1_100), "dst_port": 80, "flow_duration": 1.0, "pkt_size_avg": 1.0,
+        "totlen_fwd_pkts": 1.0, "control": None,
+    })
+    (handed,) = state.handleInputRows(("s",), iter([batch]), None)
+    assert len(handed) == 1_050 and handed["_halo"].sum() == 50 and len(state.buffer.flows) == 50
+    assert not any(isinstance(v, list) for v in handed.iloc[-1])
