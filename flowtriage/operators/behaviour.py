@@ -15,11 +15,12 @@ many runs in one pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowtriage import schema as S
 from flowtriage.functions.flow import micros_of, source_key
@@ -143,6 +144,8 @@ def behaviour_features(
     mode: str = "event_time",
     history: DataFrame | None = None,
     block_rows: int = RUN_ROWS,
+    reset: Column | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the seven behaviour columns and ``behaviour_score``.
 
@@ -153,38 +156,71 @@ def behaviour_features(
     seen earlier (see ``behaviour_tail``); they feed windows but are not
     returned, and must precede all flows in step order. A flow without a source
     is keyed by its destination port (see ``source_key``); no row is lost.
+    A row for which ``reset`` is true clears its source (or port key) and is
+    not returned. ``keep`` names the columns to return beside the new ones, all
+    by default: rows go through the measuring tasks, so unwanted columns cost.
     """
     if mode not in ("event_time", "arrival"):
         raise ValueError("mode must be 'event_time' or 'arrival'")
-    columns = flows.columns
+    columns = list(flows.columns if keep is None else keep)
+    micros = micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0).cast("long")
     if history is not None:
         flows = flows.withColumn("_old", F.lit(False)).unionByName(
             history.withColumn("_old", F.lit(True)), allowMissingColumns=True
         )
     else:
         flows = flows.withColumn("_old", F.lit(False))
-    flows = flows.withColumn("_src", F.coalesce(source_key(F.col(source), F.col("dst_port")), F.lit("row_")))
-    # History keeps its own numbering below the new flows, so steps may start
-    # anywhere; only their order matters for ranking.
-    ranked = with_source_rank(flows, "_src", step, block_rows)
-    own = block_of(F.col("src_rank"), block_rows)
-    last = block_of(F.col("src_rank") + (max_flows - 1), block_rows)
-    micros = micros_of(F.col(ts), dict(flows.dtypes)[ts]) if mode == "event_time" else F.lit(0).cast("long")
-    narrow = ranked.select(
-        "_src", "src_rank", "_old", micros.alias("_us"), F.col(step).alias("_step"),
+    carried = {f"_c{i}": c for i, c in enumerate(columns)}
+    cleared = [] if reset is None else [F.coalesce(reset, F.lit(False)).alias("_reset")]
+    keyed = flows.select(
+        _source_of(source), F.col(step).alias("_step"), "_old", micros.alias("_us"),
         F.col("dst_port").cast("int").alias("port"), F.col("flow_duration").cast("double").alias("duration"),
         F.col("pkt_size_avg").cast("double").alias("size"), F.col("totlen_fwd_pkts").cast("double").alias("sent"),
-        F.explode(F.sequence(own, last)).alias("_run"),
-    ).withColumn("_halo", F.col("_run") != own)
+        *cleared, *[F.col(f"`{c}`").alias(n) for n, c in carried.items()],
+    )
+    runs = _runs(keyed, max_flows, block_rows).repartition("_src", "_run")
+    order = ["_src", "_run", "_us", "_step"]
+    if reset is not None:
+        # A run's resets cut it further; counted in step order behind the same shuffle.
+        seen = Window.partitionBy("_src", "_run").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+        runs = runs.withColumn("_spell", F.sum(F.col("_reset").cast("long")).over(seen)).filter(~F.col("_reset")).drop("_reset")
+        order.insert(2, "_spell")
     timed, span = mode == "event_time", window_seconds * 1_000_000
-    runs = narrow.repartition("_src", "_run").sortWithinPartitions("_src", "_run", "_us", "_step")
-    measures = runs.mapInPandas(lambda batches: stream_measures(batches, span, max_flows, timed), MEASURES)
-    return (
-        ranked.where(~F.col("_old"))
-        .join(measures, ["_src", "src_rank"])
-        .select(*columns, *S.BEHAVIOUR_COLUMNS)
-        .withColumn("behaviour_score", behaviour_score())
+    kinds = runs.schema
+    schema = T.StructType(
+        [T.StructField(n, kinds[n].dataType) for n in carried] + [T.StructField(c, T.DoubleType()) for c in S.BEHAVIOUR_COLUMNS]
+    )
+    names, marks = list(carried), order[:-2]
+    found = runs.sortWithinPartitions(*order).mapInArrow(
+        lambda batches: carry_measures(batches, names, marks, span, max_flows, timed), schema
     )
+    return found.select(
+        *[F.col(n).alias(c) for n, c in carried.items()], *S.BEHAVIOUR_COLUMNS
+    ).withColumn("behaviour_score", behaviour_score())
+
+
+def _source_of(source: str) -> Column:
+    return F.coalesce(source_key(F.col(source), F.col("dst_port")), F.lit("row_")).alias("_src")
+
+
+#: A source of at most this many runs is one run: a task streams through it, no rank needed.
+WHOLE_RUNS = 4
+
+
+def _runs(keyed: DataFrame, max_flows: int, block_rows: int) -> DataFrame:
+    """Add ``_run`` and ``_halo``: small sources whole, others cut by rank into runs that begin with a halo.
+
+    Only the names of the large sources are broadcast, at most one per
+    ``WHOLE_RUNS * block_rows`` flows, and only their flows are ranked.
+    """
+    sizes = keyed.groupBy("_src").agg(F.count("*").alias("n"))
+    large = F.broadcast(sizes.filter(F.col("n") > WHOLE_RUNS * block_rows).select("_src"))
+    whole = keyed.join(large, "_src", "left_anti").withColumns({"_run": F.lit(0).cast("long"), "_halo": F.lit(False)})
+    ranked = with_source_rank(keyed.join(large, "_src", "left_semi"), "_src", "_step", block_rows)
+    own = block_of(F.col("src_rank"), block_rows)
+    last = block_of(F.col("src_rank") + (max_flows - 1), block_rows)
+    cut = ranked.withColumn("_own", own).withColumn("_run", F.explode(F.sequence("_own", last)))
+    return whole.unionByName(cut.withColumn("_halo", F.col("_run") != F.col("_own")).drop("src_rank", "_own"))
 
 
 MEASURES = "_src string, src_rank long, " + ", ".join(f"{c} double" for c in S.BEHAVIOUR_COLUMNS)
@@ -241,10 +277,45 @@ def stream_measures(batches: Iterator[pd.DataFrame], span_us: int, max_flows: in
         yield measure()
 
 
-def _first_of_run(flows: pd.DataFrame) -> np.ndarray:
+def carry_measures(
+    batches: Iterator[pa.RecordBatch], carried: list[str], marks: list[str], span_us: int, max_flows: int, timed: bool
+) -> Iterator[pa.RecordBatch]:
+    """``stream_measures`` that returns the ``carried`` columns of every own flow as they came; a run is one value of ``marks``."""
+    held: list[pa.Table] = []
+    own = 0
+
+    def measure() -> pa.Table:
+        chunk = pa.concat_tables(held).combine_chunks()
+        flows = chunk.drop_columns(carried).to_pandas()
+        first = _first_of_run(flows, marks)
+        begin = max(int(first[-1]), len(flows) - (max_flows - 1))
+        rest = chunk.slice(begin)
+        place = rest.schema.get_field_index("_halo")
+        held[:] = [rest.set_column(place, rest.schema.field(place), pa.array(np.ones(len(rest), dtype=bool)))] if len(rest) else []
+        mine = ~(flows["_halo"].to_numpy(dtype=bool) | flows["_old"].to_numpy(dtype=bool))
+        found = _all_measures(flows, first, span_us, max_flows, timed)[mine]
+        out = chunk.select(carried).filter(pa.array(mine))
+        for name in S.BEHAVIOUR_COLUMNS:
+            out = out.append_column(name, pa.array(found[name], pa.float64(), from_pandas=True))
+        return out
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            own += batch.num_rows
+        if own >= max(CHUNK_ROWS, 4 * max_flows):
+            own = 0
+            yield from measure().to_batches()
+    if own:
+        yield from measure().to_batches()
+
+
+def _first_of_run(flows: pd.DataFrame, marks: Sequence[str] = ("_src", "_run")) -> np.ndarray:
     """Per flow the place of its run's first flow."""
-    source, run = flows["_src"].to_numpy(dtype=object), flows["_run"].to_numpy()
-    begins = np.r_[True, (source[1:] != source[:-1]) | (run[1:] != run[:-1])]
+    begins = np.r_[True, np.zeros(len(flows) - 1, dtype=bool)]
+    for mark in marks:
+        value = flows[mark].to_numpy(dtype=object if mark == "_src" else np.int64)
+        begins[1:] |= value[1:] != value[:-1]
     return np.maximum.accumulate(np.where(begins, np.arange(len(flows)), 0))
 
 
@@ -265,7 +336,15 @@ def _first_fresh(us: np.ndarray, first_row: np.ndarray, known: np.ndarray, span_
 
 
 def _measured_runs(run: pd.DataFrame, first_row: np.ndarray, span_us: int, max_flows: int, timed: bool) -> pd.DataFrame:
-    """The behaviour columns of the own flows of ordered runs; ``first_row`` is where a flow's run begins.
+    """The behaviour columns of the own flows of ordered runs, with source and rank."""
+    out = _all_measures(run, first_row, span_us, max_flows, timed)
+    out.insert(0, "_src", run["_src"])
+    out.insert(1, "src_rank", run["src_rank"])
+    return out[~(run["_halo"].to_numpy() | run["_old"].to_numpy())]
+
+
+def _all_measures(run: pd.DataFrame, first_row: np.ndarray, span_us: int, max_flows: int, timed: bool) -> pd.DataFrame:
+    """The behaviour columns of all flows of ordered runs; ``first_row`` is where a flow's run begins.
 
     A flow's window is a contiguous range [s, i] of its run in (time, step)
     order: s is the latest of i - max_flows + 1, the run's begin and the first
@@ -324,9 +403,7 @@ def _measured_runs(run: pd.DataFrame, first_row: np.ndarray, span_us: int, max_f
     np.add.at(change, hi[live] + 1, -1)
     distinct = np.cumsum(change[:-1])
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = pd.DataFrame({
-            "_src": run["_src"],
-            "src_rank": run["src_rank"],
+        return pd.DataFrame({
             "beh_conn_rate_per_min": np.where(some, n / elapsed * 60.0, 0.0),
             "beh_short_flow_ratio": np.where(some, short / np.maximum(n, 1), np.nan),
             "beh_unique_dst_ports": distinct.astype(float),
@@ -335,7 +412,6 @@ def _measured_runs(run: pd.DataFrame, first_row: np.ndarray, span_us: int, max_f
             "beh_large_payload_ratio": np.where(some, large / np.maximum(n, 1), np.nan),
             "beh_avg_duration": pd.array(mean_duration, dtype="Float64"),
         })
-    return out[~(run["_halo"].to_numpy() | run["_old"].to_numpy())]
 
 
 def behaviour_score() -> Column:
@@ -357,6 +433,10 @@ def behaviour_vector() -> Column:
     return F.array(*[F.col(c).cast("float") for c in S.BEHAVIOUR_COLUMNS])
 
 
+#: Up to this rank Spark drops rows before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+PRUNED_RANK = 1_000
+
+
 def behaviour_tail(
     flows: DataFrame,
     max_flows: int = S.BEHAVIOUR_MAX_FLOWS,
@@ -364,14 +444,28 @@ def behaviour_tail(
     step: str = "step",
     ts: str = "ts",
     block_rows: int = RUN_ROWS,
+    reset: Column | None = None,
 ) -> DataFrame:
-    """The last ``max_flows`` flows of every source: the state a later run needs."""
-    kept = flows.select(source, step, ts, *ATTRIBUTES)
-    keyed = kept.withColumn("_src", F.coalesce(source_key(F.col(source), F.col("dst_port")), F.lit("row_")))
-    ranked = with_source_rank(keyed, "_src", step, block_rows)
-    totals = keyed.groupBy("_src").agg(F.count("*").alias("_last"))
-    last = ranked.join(totals, "_src").filter(F.col("src_rank") > F.col("_last") - max_flows)
-    return last.drop("src_rank", "_last", "_src")
+    """The last ``max_flows`` flows of every source: the state a later run needs.
+
+    Only those after the last row for which ``reset`` is true. Every task first
+    cuts its share of a source to the last ``max_flows`` rows, so a large source
+    is not gathered in one task; for longer tails step blocks are cut first.
+    """
+    cleared = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
+    keyed = flows.select(_source_of(source), source, step, ts, *ATTRIBUTES, cleared.cast("long").alias("_reset"))
+    latest = F.col(step).desc()
+    if max_flows > PRUNED_RANK:
+        keyed = keyed.withColumn("_sb", block_of(F.col(step), block_rows * RANK_BLOCKS))
+        rank = F.row_number().over(Window.partitionBy("_src", "_sb").orderBy(latest))
+        keyed = keyed.withColumn("_rn", rank).filter(F.col("_rn") <= max_flows).drop("_sb", "_rn")
+    mine = Window.partitionBy("_src").orderBy(latest)
+    last = keyed.withColumn("_rn", F.row_number().over(mine)).filter(F.col("_rn") <= max_flows)
+    if reset is not None:
+        # Rows come latest first: the sum counts the resets at or after a row.
+        later = mine.rowsBetween(Window.unboundedPreceding, 0)
+        last = last.withColumn("_later", F.sum("_reset").over(later)).filter(F.col("_later") == 0).drop("_later")
+    return last.drop("_src", "_reset", "_rn")
 
 
 #: Size of stored source sketches: 2^12 registers, relative standard error 1.04 / 64, about 1.6 %.

@@ -22,7 +22,7 @@ _ROUNDED = {
 
 
 def _windowed(spark, folder, columns, seconds=DAY_SECONDS, cap=S.BEHAVIOUR_MAX_FLOWS, mode="event_time"):
-    df = behaviour_features(flows(spark, folder), window_seconds=seconds, max_flows=cap, block_rows=BLOCK, mode=mode)
+    df = behaviour_features(flows(spark, folder), window_seconds=seconds, max_flows=cap, block_rows=BLOCK, mode=mode, keep=["flow_id"])
     return df.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in columns])
 
 
@@ -39,7 +39,7 @@ def w01_arrival_window(spark, folder):
 def w01_missing_source(spark, folder):
     """A quarter of the flows lack a source: they are keyed by port, and none is lost."""
     df = flows(spark, folder).withColumn("src_ip", F.when(F.col("k") % 4 > 0, F.col("src_ip")))
-    found = behaviour_features(df, window_seconds=DAY_SECONDS, block_rows=BLOCK)
+    found = behaviour_features(df, window_seconds=DAY_SECONDS, block_rows=BLOCK, keep=["flow_id"])
     return found.select("flow_id", *[F.round(c, _ROUNDED.get(c, 8)).alias(c) for c in _ALL])
 
 
@@ -76,7 +76,7 @@ def w09_behaviour_score(spark, folder):
 
 
 def w10_behaviour_vector(spark, folder):
-    df = behaviour_features(flows(spark, folder), window_seconds=DAY_SECONDS, block_rows=BLOCK)
+    df = behaviour_features(flows(spark, folder), window_seconds=DAY_SECONDS, block_rows=BLOCK, keep=["flow_id"])
     vector = behaviour.behaviour_vector()
     return df.select("flow_id", F.size(vector).alias("width"),
                      *[F.round(vector[i].cast("double"), 2).alias(f"v{i}") for i in (1, 2, 4, 5)])

@@ -235,34 +235,20 @@ class BehaviourBatches:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        if "control" not in batch.columns:
-            batch = batch.withColumn("control", F.lit(None).cast("string"))
+        reset = F.col("control") == "reset" if "control" in batch.columns else None
         history, _ = load_version(spark, f"{self.root}/tails", at_most=number)
-        needed = ["src_ip", "step", "ts", *behaviour.ATTRIBUTES]
-        everything = batch.withColumn("_seen", F.lit(False))
+        everything = batch
         if history is not None:
-            everything = everything.unionByName(
-                history.withColumn("ts", F.col("ts").cast(batch.schema["ts"].dataType)).withColumn("_seen", F.lit(True)),
-                allowMissingColumns=True,
-            )
-        is_reset = F.col("control") == "reset"
-        spelled = behaviour.reset_spells(everything, is_reset, block_rows=self.block_rows).filter(
-            F.col("control").isNull() | ~is_reset
-        )
-        keyed = spelled.withColumn(
-            "src_key", F.concat_ws("#", flow.source_key(F.col("src_ip"), F.col("dst_port")), "spell")
-        )
+            history = history.withColumn("ts", F.col("ts").cast(batch.schema["ts"].dataType))
+            everything = batch.unionByName(history, allowMissingColumns=True)
         measured = behaviour.behaviour_features(
-            keyed, self.seconds, self.max_flows, source="src_key", block_rows=self.block_rows
-        ).filter(~F.col("_seen"))
-        save_version(measured.drop("_seen", "spell", "src_key", "control"), self.results_folder, number)
-        last_spell = everything.filter(~F.col("_seen")).groupBy("src_ip").agg(F.count_if(is_reset).alias("spell"))
-        # Sources absent from this batch keep spell 0, their only one.
-        current = keyed.join(last_spell, "src_ip", "left").filter(
-            keyed["spell"] == F.coalesce(last_spell["spell"], F.lit(0))
-        ).select(*[keyed[c] for c in needed])
+            batch, self.seconds, self.max_flows, history=history, block_rows=self.block_rows, reset=reset,
+            keep=[c for c in batch.columns if c != "control"],
+        )
+        save_version(measured, self.results_folder, number)
         save_version(
-            behaviour.behaviour_tail(current, self.max_flows, block_rows=self.block_rows), f"{self.root}/tails", number + 1
+            behaviour.behaviour_tail(everything, self.max_flows, block_rows=self.block_rows, reset=reset),
+            f"{self.root}/tails", number + 1,
         )
 
 

@@ -109,3 +109,66 @@ def test_state_hands_on_each_flow_once():
     (handed,) = state.handleInputRows(("s",), iter([batch]), None)
     assert len(handed) == 1_050 and handed["_halo"].sum() == 50 and len(state.buffer.flows) == 50
     assert not any(isinstance(v, list) for v in handed.iloc[-1])
+
+
+def test_windows_with_resets_need_no_second_ranking(spark):
+    """Resets cut the runs of the one pass; large sources are split, small ones are whole."""
+    from collections import defaultdict
+
+    from tests.test_behaviour import SCHEMA, make_rows
+
+    rows = make_rows(600, seed=44, ties=False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    reset = (F.col("flow_id") % 37 == 5) | (F.col("src_ip") == "s1") & (F.col("flow_id") % 11 == 0)
+    found = behaviour.behaviour_features(df, 10**6, 9, block_rows=12, reset=reset, keep=["flow_id"])
+    assert found.columns[0] == "flow_id" and "src_ip" not in found.columns
+    seen, want = defaultdict(int), {}
+    for flow_id, _, _, source, *_ in rows:
+        if flow_id % 37 == 5 or source == "s1" and flow_id % 11 == 0:
+            seen[source] = 0
+        else:
+            seen[source] += 1
+            want[flow_id] = float(min(9, seen[source]))
+    assert {r["flow_id"]: r["beh_flow_count_window"] for r in found.collect()} == want
+
+
+def test_a_reset_without_source_clears_its_port_key_only(spark, tmp_path):
+    from flowtriage.streaming import jobs
+    from tests.test_behaviour import BASE, SCHEMA
+
+    def flows(first, ports):
+        rows = [(first + i, first + i + 1, BASE.replace(second=first + i), None, p, 1.0, 1.0, 1.0) for i, p in enumerate(ports)]
+        return spark.createDataFrame(rows, SCHEMA).withColumn("control", F.when(F.col("flow_id") == 2, "reset"))
+
+    batches = jobs.BehaviourBatches(str(tmp_path), 3_600, 200)
+    batches(flows(0, [80, 22, 80, 22, 80]), 0)
+    batches(flows(5, [80, 22]), 1)
+    found = spark.read.option("basePath", batches.results_folder).parquet(batches.results_folder)
+    counts = {r["flow_id"]: r["beh_flow_count_window"] for r in found.collect()}
+    assert counts == {0: 1.0, 1: 1.0, 3: 2.0, 4: 1.0, 5: 2.0, 6: 3.0}
+
+
+def test_measured_flows_are_not_joined_back(spark):
+    """Rows keep their columns on the way; only the offsets of large sources are joined."""
+    from tests.test_behaviour import SCHEMA, make_rows
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = spark.createDataFrame(make_rows(50, seed=45), SCHEMA)
+        plan = behaviour.behaviour_features(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "MapInArrow" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_tail_of_a_large_source_is_cut_before_the_shuffle(spark):
+    from tests.test_behaviour import SCHEMA, make_rows
+
+    rows = make_rows(400, seed=46)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert "WindowGroupLimit" in behaviour.behaviour_tail(df, 30)._jdf.queryExecution().executedPlan().toString()
+    for cap in (30, 1_001):
+        want = {r[0] for s in {r[3] for r in rows} for r in [x for x in rows if x[3] == s][-cap:]}
+        got = behaviour.behaviour_tail(df.withColumn("ts", F.col("ts")), cap, block_rows=1).select("step").collect()
+        assert {r["step"] - 1 for r in got} == want
