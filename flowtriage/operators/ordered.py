@@ -50,10 +50,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
-def row_positions(df: DataFrame, step: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number rows 1..N along a unique step that may have gaps."""
+def row_positions(
+    df: DataFrame, step: str, out: str, block_rows: int = BLOCK_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
+    """Number rows 1..N along a unique step that may have gaps.
+
+    ``counted`` is a table of the same steps that is cheaper to count than ``df``.
+    """
     based = df.withColumn("_pb", block_of(F.col(step), block_rows))
-    offsets = preceding_totals(based.groupBy("_pb").agg(F.count("*").alias("n")), "_pb", ["n"])
+    blocks = (df if counted is None else counted).select(block_of(F.col(step), block_rows).alias("_pb"))
+    offsets = preceding_totals(blocks.groupBy("_pb").agg(F.count("*").alias("n")), "_pb", ["n"])
     local = based.withColumn(out, F.row_number().over(Window.partitionBy("_pb").orderBy(step)))
     return local.join(offsets, "_pb").withColumn(out, F.col(out) + F.col("before_n")).drop("_pb", "before_n")
 
@@ -65,16 +71,18 @@ def threat_density(
     rows: int = S.DENSITY_ROWS,
     block_rows: int = BLOCK_ROWS,
     dense: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of the latest ``rows`` scores, without and with the current row.
 
     ``density_before`` is what a decision sees (0 on the first row),
     ``density_after`` what the following policy update sees. Steps may have
     gaps, as after a filter; rows are then numbered first. ``dense=True`` says
-    that the steps are 1..N without gaps and saves that shuffle.
+    that the steps are 1..N without gaps and saves that shuffle. ``counted`` is a
+    stored table of the same steps, so ``df`` is not computed twice to count them.
     """
     place = step if dense else "_place"
-    placed = df if dense else row_positions(df, step, place, block_rows)
+    placed = df if dense else row_positions(df, step, place, block_rows, counted)
     blocked = with_halo(placed, F.col(place), block_rows, rows)
     within = Window.partitionBy("block").orderBy(place)
     before = F.avg(score).over(within.rowsBetween(-rows, -1))

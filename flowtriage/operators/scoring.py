@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowtriage import schema as S
 from flowtriage.functions import flow, triage
 from flowtriage.operators import behaviour, metrics, models, ordered, policy
+from flowtriage.sources.workspace import durable
 
 # Working names of the canonical columns that later steps read.
 _NAMES = {
@@ -28,6 +31,7 @@ def score_table(
     window_seconds: int = S.BEHAVIOUR_WINDOW_SECONDS,
     max_flows: int = S.BEHAVIOUR_MAX_FLOWS,
     block_rows: int = ordered.BLOCK_ROWS,
+    keep: Sequence[str] = tuple(S.FEATURES),
 ) -> DataFrame:
     """Route, detector score, calibration, behaviour, fusion and policy action of every flow.
 
@@ -36,7 +40,10 @@ def score_table(
     instant (``mode="arrival"``), a log with times uses ``mode="event_time"``
     and a ``ts`` column. Every row is scored once, by the detector of its
     route, and keeps its place: no row is lost for a missing source, label or
-    port. ``known`` is the policy, frozen for this table.
+    port. ``known`` is the policy, frozen for this table. ``keep`` names the
+    canonical features that stay beside the scores: all, unless the caller needs
+    fewer. The scored rows are stored once, below ``spark.checkpoint.dir``; what
+    follows reads them more than once.
     """
     named = flows.withColumns({n: F.col(f"`{c}`").cast("double") for n, c in _NAMES.items()})
     named = named.withColumn("dst_port", F.col("dst_port").cast("int"))
@@ -45,10 +52,11 @@ def score_table(
     ports = [F.col(p) for p in ("dst_port", "src_port") if p in named.columns]
     routed = named.withColumn("route", models.route(ports))
     scored = models.score_with_routes(routed, detectors, calibrators)
+    stored = durable(scored.drop(*[f for f in S.FEATURES if f not in keep]), "scored")
     seen = behaviour.behaviour_features(
-        scored, window_seconds, max_flows, step=step, mode=mode, block_rows=block_rows
+        stored, window_seconds, max_flows, step=step, mode=mode, block_rows=block_rows
     ).withColumn("fused_score", triage.fused_score(F.col("threat_score"), F.col("behaviour_score")))
-    placed = ordered.threat_density(seen, "fused_score", step=step, block_rows=block_rows)
+    placed = ordered.threat_density(seen, "fused_score", step=step, block_rows=block_rows, counted=stored)
     decided = policy.decide(placed, known, "fused_score", load, step=step)
     return decided.withColumns(
         {

@@ -45,7 +45,8 @@ def _scored(spark, folder):
     (path,) = readers.list_files(spark, target)
     flows = readers.read_upload(spark, path).withColumn("step", F.col("src_port").cast("long") + 1)
     detectors = {"main": _stored_detector(spark, 1.0), "web": _stored_detector(spark, 0.5)}
-    return scoring.score_table(flows, detectors, {}, policy.empty_policy(spark), F.lit(0.5), block_rows=BLOCK)
+    # The report and the score table read no feature once the flows are scored.
+    return scoring.score_table(flows, detectors, {}, policy.empty_policy(spark), F.lit(0.5), block_rows=BLOCK, keep=())
 
 
 def x01_score_table(spark, folder):

@@ -172,3 +172,23 @@ def test_the_tail_of_a_large_source_is_cut_before_the_shuffle(spark):
         want = {r[0] for s in {r[3] for r in rows} for r in [x for x in rows if x[3] == s][-cap:]}
         got = behaviour.behaviour_tail(df.withColumn("ts", F.col("ts")), cap, block_rows=1).select("step").collect()
         assert {r["step"] - 1 for r in got} == want
+
+
+def test_a_scored_table_reads_its_upload_for_the_scores_only(spark):
+    """What follows reads the stored scores, without the features, and counts the steps there."""
+    from flowtriage import schema as S
+    from flowtriage.plans import composed
+
+    scored = composed._scored(spark, "/root/testdata/sf0.001")
+    files = scored.inputFiles()
+    assert files and not [f for f in files if f.endswith(".csv")]
+    assert not set(S.FEATURES) & set(scored.columns)
+    assert {"step", "Label", "threat_score", "fused_score", "density_before", "action", "y", "detected"} <= set(scored.columns)
+
+
+def test_positions_may_be_counted_on_another_table(spark):
+    from flowtriage.operators import ordered
+
+    rows = spark.range(500).selectExpr("id * 3 + 1 AS step", "CAST(id AS DOUBLE) AS score")
+    found = ordered.row_positions(rows, "step", "at", 64, counted=rows.select("step"))
+    assert found.filter("at != (step - 1) / 3 + 1").count() == 0 and found.count() == 500
