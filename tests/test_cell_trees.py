@@ -99,7 +99,7 @@ def test_odd_rows(spark):
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are absent")
 @pytest.mark.parametrize("name,fits", [
-    ("l02_train_detector", 1), ("t03_top_importance", 1), ("l09_feature_importance", 1),
+    ("l02_train_detector", 1), ("t03_top_importance", 1), ("l09_feature_importance", 1), ("l10_specialist_detectors", 3),
 ])
 def test_registered_detectors_are_fitted_with_all_rounds_and_depth(spark, tmp_path, monkeypatch, name, fits):
     for source in Path(FOLDER).iterdir():  # a folder of its own, so no stored detector is met
